@@ -71,13 +71,16 @@ def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 7):
 
 
 def labelled_tree():
-    """The tree of LABELLED. Where place, naming, length or links settle a label, the row also stands beside other neighbours."""
+    """The tree of LABELLED. Where place, naming, length or links settle a label, the row also stands beside other
+    neighbours and, where the first two do, with other lengths."""
     near = [(0, 0.0), (3, 1.0), (12, 0.0), (60, 0.0), (200, 0.0)]
     rows = []
     for n, k, n0, k0, n1, k1, place, called, y in (map(float, r.split()) for line in LABELLED.strip().splitlines() for r in line.split("|")):
         rows.append((place, called, n, k, n0, k0, n1, k1, y))
         if place or called < 0 or (n >= 15 if y else k >= 0.5):
             rows += [(place, called, n, k, *a, *b, y) for a in near for b in near]
+        if (place < 0 or called < 0) if not y else (place > 0 and k <= 0.5):
+            rows += [(place, called, w, k, *a, *b, y) for w in (1, 4, 11, 30, 120) for a in near for b in near]
     rows = np.array(rows)
     return fit_tree(rows[:, :-1], rows[:, -1].astype(int))
 
