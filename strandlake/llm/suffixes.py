@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_table, ship
+from .runs import with_heads
 from .words import prefix_sums, run_hashes, word_hashes
 
 MIN_WORDS, GRAM = 50, 25
@@ -82,54 +83,9 @@ def describe(docs: DataFrame, gram: int, least: int) -> DataFrame:
 
 def matches(described: DataFrame) -> DataFrame:
     """(k, start, end, doc0, k0, start0): suffix runs and the first run of equal words in another document before."""
-    spark = described.sparkSession
-    rows = described.select("doc_id", "k", F.explode(F.arrays_zip("start", "size", "key")).alias("s")).select(F.col("s.key").alias("key"), "doc_id", "k", F.col("s.start").alias("start"), F.col("s.size").alias("size"))
-    order = ["key", "doc_id", "k", "start"]
-    schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("k", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("doc0", pa.int64()), ("k0", pa.int64()), ("start0", pa.int32())])
-
-    def run(batches):
-        """kind 0: a match. 1: a row whose run began in an earlier partition. 2: the last run's head; 3: as 2, but all rows share one key."""
-        from pyspark import TaskContext
-
-        part, head, opening, one = TaskContext.get().partitionId(), None, None, True
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            key, k, start, size = (b.column(c).to_numpy() for c in ("key", "k", "start", "size"))
-            doc = b.column("doc_id")
-            new = np.concatenate([[head is None or key[0] != head[0]], key[1:] != key[:-1]])
-            if opening is None:
-                opening = key[0]
-            one = one and bool((key == opening).all())
-            first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-            # rows before the batch's first new run carry on the run of the batch before
-            carried = first < 0
-            at = np.where(carried, 0, first)
-            k0, s0 = k[at], start[at]
-            doc0 = doc.take(pa.array(at))
-            if carried.any():
-                k0, s0 = np.where(carried, head[2], k0), np.where(carried, head[3], s0)
-                doc0 = pa.array([head[1] if c else d for c, d in zip(carried, doc0.to_pylist(), strict=True)], pa.int64())
-            keep = np.flatnonzero((k != k0) | (key == opening))
-            kind = (key[keep] == opening).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), part, np.int32)), pa.array(kind), pa.array(key[keep]), pa.array(k[keep]), pa.array(start[keep]), pa.array(size[keep]), doc0.take(pa.array(keep)), pa.array(k0[keep]), pa.array(s0[keep].astype(np.int32))], schema=schema)
-            last = int(at[-1])
-            head = head if carried[-1] else (key[-1], doc[last].as_py(), k[last], start[last])
-        if head is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, 3 if one else 2, head[0], 0, 0, 0, head[1], head[2], head[3]), schema, strict=True)], schema=schema)
-
-    found = shared_table(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "part int, kind int, key long, k long, start int, size int, doc0 long, k0 long, start0 int"))
-    heads, last = [], None
-    for r in found.where("kind >= 2").orderBy("part").collect():  # one row a partition
-        begun = last if last is not None and last[0] == r["key"] and r["kind"] == 3 else None
-        heads.append((r["part"], *(last or (None, None, None, None))))
-        last = begun or (r["key"], r["doc0"], r["k0"], r["start0"])
-    edge = F.broadcast(spark.createDataFrame(heads, "part int, key long, h_doc long, h_k long, h_start int"))
-    opened = found.where("kind = 1").join(edge, ["part", "key"], "left")
-    opened = opened.select("k", "start", "size", F.when(F.col("h_k").isNotNull(), F.col("h_doc")).otherwise(F.col("doc0")).alias("doc0"), F.coalesce("h_k", "k0").alias("k0"), F.coalesce("h_start", "start0").alias("start0"))
-    both = found.where("kind = 0").select("k", "start", "size", "doc0", "k0", "start0").unionByName(opened)
-    return both.where("k <> k0").select("k", "start", (F.col("start") + F.col("size")).alias("end"), "doc0", "k0", "start0")
+    rows = described.select("doc_id", "k", F.explode(F.arrays_zip("start", "size", "key")).alias("s")).select("s.key", "doc_id", "k", "s.start", "s.size")
+    met = with_heads(rows, "key", ["doc_id", "k", "start"]).where("k <> h_k")
+    return met.select("k", "start", (F.col("start") + F.col("size")).alias("end"), F.col("h_doc_id").alias("doc0"), F.col("h_k").alias("k0"), F.col("h_start").alias("start0"))
 
 
 def chains(found: DataFrame, slack: int) -> DataFrame:
