@@ -12,7 +12,7 @@ import re
 from array import array
 
 PLAIN = "\\t\\n\\r -~\u00a1-\u00ac\u00ae-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u017e\u2010-\u2027\u2030-\u203a\u20ac"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 END = b"\0\0\0\0"
 #: The vocabularies' own word patterns, written for the standard library; on plain characters they cut alike.
 PATTERNS = {
