@@ -4,8 +4,8 @@ Texts with the same n-gram set are one class. The global n-gram order runs from
 document counts (any order is exact; this one keeps common passages out of prefixes). Two sets that link share an n-gram in
 their prefixes; the places of the first shared one and the sizes bound the overlap. Candidates come in two rounds, so that
 no group of near copies is expanded into its pairs: first every class meets, for each n-gram of its prefix, only the class
-that has it earliest; then, with the components so found, only classes of different components meet. The n-gram order is
-cut into FRAGMENTS fragments of like weight; overlaps are counted fragment by fragment and summed for each pair.
+that has it earliest; then, with the components so found, only classes of different components meet. What prefixes hold of both sets bounds the
+overlap of a candidate again. The n-gram order is cut into FRAGMENTS fragments of like weight; overlaps are counted fragment by fragment and summed for each pair.
 
 Defined cases: null text and texts without words have an empty set and link with nothing; fewer words than n make one
 n-gram; rows that repeat a doc_id are rows of their own; null ids take no part in a smallest doc_id; empty tables give
@@ -52,12 +52,13 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         counts = np.zeros(1 << BITS, np.uint32)
         for b in batches:
-            sizes, classes = [], []
+            sizes, classes, buckets = [], [], [np.zeros(0, np.int32)]
             for text in b.column("text"):
                 g = ngrams(text.as_py(), n)
                 sizes.append(len(g))
                 classes.append(class_of(g))
-                np.add.at(counts, (g >> np.uint64(64 - BITS)).astype(np.int64), 1)
+                buckets.append((g >> np.uint64(64 - BITS)).astype(np.int32))
+            counts += np.bincount(np.concatenate(buckets), minlength=1 << BITS).astype(np.uint32)
             none = pa.nulls(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         for block, part in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
@@ -94,7 +95,7 @@ def order_table(described: DataFrame) -> np.ndarray:
 
 
 def order_key(g: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The place of an n-gram in the global order."""
+    """The place of an n-gram in the global order: its level, then 56 bits of its hash."""
     return (table[(g >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (g << np.uint64(8) >> np.uint64(8))
 
 
@@ -117,32 +118,46 @@ def _at_least(over: str, a: str, b: str, percent: int):
 
 
 def prefixes(docs: DataFrame, table, n: int, percent: int) -> DataFrame:
-    """(g, cls, n, pos): the prefix of every set, rarest first. pos counts the n-grams before g."""
-    schema = pa.schema([("g", pa.int64()), ("cls", pa.binary()), ("n", pa.int32()), ("pos", pa.int32())])
+    """(cls, n, keys): the places in the global order of every set's prefix, rarest first (as signed numbers in that order)."""
+    schema = pa.schema([("cls", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
-            gs, classes, sizes, places = [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.int32)]
+            out = []
             for text in b.column("text"):
                 g = ngrams(text.as_py(), n)
                 if len(g):
                     take = len(g) - -(-percent * len(g) // 100) + 1
                     o = order_key(g, table.value)
-                    first = np.argpartition(o, take - 1)[:take] if take < len(g) else np.arange(len(g))
-                    gs.append(g[first[np.argsort(o[first])]])
-                    classes += [class_of(g)] * take
-                    sizes += [len(g)] * take
-                    places.append(np.arange(take, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gs).view(np.int64)), pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(places))], schema=schema)
+                    first = np.sort(np.partition(o, take - 1)[:take] if take < len(g) else o)
+                    out.append((class_of(g), len(g), (first ^ np.uint64(1 << 63)).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+
+    return shared_table(docs.select("text").mapInArrow(run, "cls binary, n int, keys array<long>"))
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast where it is counted as small and shuffled where not."""
+    ids = shared_table(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
-    return docs.select("text").mapInArrow(run, "g long, cls binary, n int, pos int")
+
+def _classes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
+def bounded(pairs: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """Of pairs those that their prefixes still allow: what both hold up to the nearer end of the two prefixes is known."""
+    own = prefix.join(_few(_classes_of(pairs)), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "keys")
+    both = pairs.join(own.select(F.col("cls").alias("a"), F.col("keys").alias("ka")), "a").join(own.select(F.col("cls").alias("b"), F.col("keys").alias("kb")), "b")
+    both = both.withColumn("end", F.least(F.element_at("ka", -1), F.element_at("kb", -1))).withColumn("c", F.size(F.array_intersect("ka", "kb")))
+    rest = lambda k, n: F.col(n) - F.size(F.filter(k, lambda x: x <= F.col("end")))
+    return both.withColumn("most", F.col("c") + F.least(rest("ka", "na"), rest("kb", "nb"))).where(_at_least("most", "na", "nb", percent)).select("a", "na", "b", "nb")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, class_rows: DataFrame, table, cuts: np.ndarray, n: int, percent: int) -> DataFrame:
     """Of pairs (a, na, b, nb) of classes those that link, by partial overlaps summed over the fragments."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    ids = shared_table(class_rows.join(wanted, "cls").select("k").distinct())
-    some = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "k", "left_semi")
+    some = docs.join(_few(class_rows.join(_classes_of(pairs), "cls").select("k").distinct()), "k", "left_semi")
     schema = pa.schema([("cls", pa.binary()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -154,10 +169,11 @@ def verified(docs: DataFrame, pairs: DataFrame, class_rows: DataFrame, table, cu
                 out += [(cls, f, g[where == f].view(np.int64)) for f in np.unique(where).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    parts = shared_table(some.select("text").mapInArrow(run, "cls binary, fragment int, grams array<long>").dropDuplicates(["cls", "fragment"]))
-    left = pairs.join(parts.select(F.col("cls").alias("a"), "fragment", F.col("grams").alias("ga")), "a")
+    parts = some.select("text").mapInArrow(run, "cls binary, fragment int, grams array<long>")
+    apart = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))))
+    left = apart.join(parts.select(F.col("cls").alias("a"), "fragment", F.col("grams").alias("ga")), ["a", "fragment"])
     both = left.join(parts.select(F.col("cls").alias("b"), "fragment", F.col("grams").alias("gb")), ["b", "fragment"])
-    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("overlap"))
+    partial = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).alias("overlap")).distinct()  # repeated rows count once
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     return summed.where(_at_least("overlap", "na", "nb", percent)).select("a", "b")
 
@@ -184,8 +200,13 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
 
     copies = shared_table(each.where("n > 0").select("k", "cls").distinct().join(classes.select("cls", F.col("k").alias("k0")), "cls").where("k <> k0").select("k"))
     lone = rows.join(F.broadcast(copies), "k", "left_anti") if copies.count() <= BROADCAST_IDS else rows.join(classes.select("k"), "k", "left_semi")
-    met = shared_table(with_heads(prefixes(lone, carried, n, percent), "g", ["pos", "cls"]))  # only n-grams that two rows share
-    check = lambda pairs: shared_table(verified(rows, pairs, classes, carried, cuts, n, percent))
+    prefix = prefixes(lone, carried, n, percent)
+    places = prefix.select("cls", "n", F.posexplode("keys").alias("pos", "g"))
+    met = shared_table(with_heads(places, "g", ["pos", "cls"]))  # only n-grams that two rows share
+
+    def check(pairs):
+        left = shared_table(bounded(pairs, prefix, percent))
+        return shared_table(verified(rows, left, classes, carried, cuts, n, percent))
 
     links = check(shared_table(_candidates(met, percent)))
     root = components(links)
