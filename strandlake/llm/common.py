@@ -25,6 +25,7 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent).as_posix())
     spark.sparkContext.addPyFile(target)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # whole texts: bounds a worker's memory
     _SHIPPED.add(app)
 
 

@@ -111,49 +111,45 @@ def start_of_rest(model: Model) -> np.ndarray:
     return p / p.sum()
 
 
-def log_likelihood(model: Model, docs: list[np.ndarray], chunk: int = 256) -> np.ndarray:
-    """Natural log of the probability of each whole sequence of ids, by the scaled forward recursion."""
+def log_likelihood(model: Model, docs: list[np.ndarray], whole: int = 4096, chunk: int = 256) -> np.ndarray:
+    """Natural log of the probability of each whole sequence of ids, by the scaled forward recursion. Sequences of up to
+    whole ids go side by side; the full chunks of longer ones are K x K operators, all computed side by side, then chained."""
     k = len(model.start)
     flat = np.concatenate(docs)
     size = np.array([len(d) for d in docs])
     begin = np.cumsum(size) - size
-    total = np.zeros(len(docs))
-    one = np.flatnonzero(size <= chunk)  # short texts: one row each
-    if len(one):
-        one = one[np.argsort(-size[one], kind="stable")]
-        live = np.searchsorted(-size[one], -np.arange(size[one[0]]), side="left")
-        x = model.start * model.emit[flat[begin[one]]]
+    total, state = np.zeros(len(docs)), np.broadcast_to(model.start, (len(docs), k)).copy()
+    full = np.where(size > whole, size // chunk, 0)
+    if full.any():
+        owner = np.repeat(np.arange(len(docs)), full)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full)
+        at = begin[owner] + nth * chunk
+        logs = np.zeros(len(owner))
+        op = np.where((nth == 0)[:, None, None], np.eye(k)[None], model.move[None]) * model.emit[flat[at]][:, None, :]
+        for t in range(1, chunk):
+            op = (op.reshape(-1, k) @ model.move).reshape(-1, k, k) * model.emit[flat[at + t]][:, None, :]
+            s = op.sum(axis=(1, 2))
+            op /= s[:, None, None]
+            logs += np.log(s)
+        for j, i in enumerate(owner.tolist()):
+            x = state[i] @ op[j]
+            s = x.sum()
+            state[i], total[i] = x / s, total[i] + np.log(s) + logs[j]
+    done = full * chunk
+    left = size - done
+    order = np.flatnonzero(left > 0)
+    order = order[np.argsort(-left[order], kind="stable")]
+    if len(order):
+        live = np.searchsorted(-left[order], -np.arange(left[order[0]]), side="left")
+        at = begin[order] + done[order]
+        x = np.where((done[order] > 0)[:, None], state[order] @ model.move, state[order]) * model.emit[flat[at]]
         for t in range(len(live)):
             n = live[t]
             if t:
-                x = (x[:n] @ model.move) * model.emit[flat[begin[one[:n]] + t]]
+                x = (x[:n] @ model.move) * model.emit[flat[at[:n] + t]]
             s = x.sum(axis=1)
-            total[one[:n]] += np.log(s)
+            total[order[:n]] += np.log(s)
             x = x / s[:, None]
-    for at in np.flatnonzero(size > chunk):  # long texts: their chunks side by side, from every state
-        ids = flat[begin[at] : begin[at] + size[at]]
-        whole = len(ids) // chunk
-        grid = ids[: whole * chunk].reshape(whole, chunk)
-        op, logs = np.broadcast_to(np.eye(k), (whole, k, k)).copy(), np.zeros(whole)
-        for t in range(chunk):
-            b = model.emit[grid[:, t]][:, None, :]
-            if t:
-                op = (op @ model.move) * b
-            else:
-                op = np.where(np.arange(whole)[:, None, None] > 0, model.move[None] * b, np.eye(k)[None] * b)
-            s = op.sum(axis=(1, 2))
-            op /= s[:, None, None]
-            logs += np.log(s)
-        x, sum_ = model.start.copy(), 0.0
-        for c in range(whole):
-            x = x @ op[c]
-            s = x.sum()
-            x, sum_ = x / s, sum_ + np.log(s) + logs[c]
-        for w in ids[whole * chunk :]:
-            x = (x @ model.move) * model.emit[w]
-            s = x.sum()
-            x, sum_ = x / s, sum_ + np.log(s)
-        total[at] = sum_
     return total
 
 

@@ -2,8 +2,8 @@
 
 Of all suffixes of all texts (in words), those that start at content-selected positions stay: the minimisers of GRAM-word
 grams over windows that span MIN_WORDS words, so any two equal passages of MIN_WORDS words hold the same selected position.
-A suffix is keyed by its gram and, so that an earlier document with an edit close by does not hide another, by the two
-whole MIN_WORDS-word runs that start and that end with it. All keys are sorted over the whole corpus; neighbours
+A suffix is keyed by its gram and, so that an earlier document with an edit close by does not hide another, by the
+whole MIN_WORDS-word run that starts there. All keys are sorted over the whole corpus; neighbours
 with equal keys form runs that point to their first suffix (a run may span any number of partitions). Matches on the
 same offset join into chains, which are then verified and extended left and right word by word against the earlier text.
 
@@ -52,10 +52,9 @@ def suffix_keys(h: np.ndarray, gram: int = GRAM, least: int = MIN_WORDS) -> tupl
     n = len(h)
     s = prefix_sums(h)
     at = selected(s, n, gram, least)
-    right, left = at[at + least <= n], at[at + gram >= least]
-    starts = np.concatenate([at, right, left + gram - least])
-    ends = np.concatenate([at + gram, right + least, left + gram])
-    keys = np.concatenate([run_hashes(s, at, gram, 1), run_hashes(s, right, least, 2), run_hashes(s, left + gram - least, least, 2)])
+    right = at[at + least <= n]
+    starts, ends = np.concatenate([at, right]), np.concatenate([at + gram, right + least])
+    keys = np.concatenate([run_hashes(s, at, gram), run_hashes(s, right, least)])
     return starts, ends, keys.view(np.int64)
 
 
