@@ -3,13 +3,16 @@
 Of all suffixes of all texts (in words), those that start at content-selected positions stay: the minimisers of GRAM-word
 grams over windows that span MIN_WORDS words, so any two equal passages of MIN_WORDS words hold the same selected position.
 A suffix is keyed by its gram and, so that an earlier document with an edit close by does not hide another, by the
-whole MIN_WORDS-word run that starts there. All keys are sorted over the whole corpus; neighbours
+whole MIN_WORDS-word runs that start and that end with it. All keys are sorted over the whole corpus; neighbours
 with equal keys form runs that point to their first suffix (a run may span any number of partitions). Matches on the
 same offset join into chains, which are then verified and extended left and right word by word against the earlier text.
 
 A passage of a document counts as repeated when at least MIN_WORDS words of it stand in another document before it (by
 doc_id, then by hash). Texts that are word for word equal are matched as a whole. Words: A-Z lower-cased, ASCII white space.
 
+A document with a passage of MIN_WORDS + GRAM words and more from an earlier one is always found; of shorter passages those are
+missed whose every selected gram stands first in a document that shares less than MIN_WORDS words around it.
+
 Defined cases: null and short texts have no passages; rows that repeat doc_id and text are one document; a repetition
 inside one document does not count; ids may be null (first in order); empty tables give empty results.
 """
@@ -52,9 +55,9 @@ def suffix_keys(h: np.ndarray, gram: int = GRAM, least: int = MIN_WORDS) -> tupl
     n = len(h)
     s = prefix_sums(h)
     at = selected(s, n, gram, least)
-    right = at[at + least <= n]
-    starts, ends = np.concatenate([at, right]), np.concatenate([at + gram, right + least])
-    keys = np.concatenate([run_hashes(s, at, gram), run_hashes(s, right, least)])
+    right, left = at[at + least <= n], at[at + gram >= least] + gram - least
+    starts, ends = np.concatenate([at, right, left]), np.concatenate([at + gram, right + least, left + least])
+    keys = np.concatenate([run_hashes(s, at, gram), run_hashes(s, right, least), run_hashes(s, left, least)])
     return starts, ends, keys.view(np.int64)
 
 
@@ -122,7 +125,7 @@ def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM) -> DataF
     own = described.dropDuplicates(["k"]).join(copies.select("k"), "k", "left_anti")
     linked = shared_table(chains(matches(own), slack))
 
-    schema = pa.schema([("k", pa.int64()), ("doc0", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.list_(pa.int64())), ("lead", pa.int32())])
+    schema = pa.schema([("k", pa.int64()), ("doc0", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.binary()), ("lead", pa.int32())])
 
     def quote(batches):
         for b in batches:
@@ -131,11 +134,11 @@ def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM) -> DataF
                 if k0 != last:
                     last, h = k0, word_hashes(text.as_py()).view(np.int64)
                 a = max(0, start - shift - slack)
-                out.append((k, doc0, start, end, h[a : end - shift + slack], start - shift - a))
+                out.append((k, doc0, start, end, h[a : end - shift + slack].tobytes(), start - shift - a))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
     earlier = _texts_of(rows, linked.select(F.col("k0").alias("k")).distinct()).withColumnRenamed("k", "k0")
-    quoted = linked.join(earlier, "k0").select("k", "k0", "doc0", "shift", "start", "end", "text").mapInArrow(quote, "k long, doc0 long, start int, end int, words array<long>, lead int")
+    quoted = linked.join(earlier, "k0").select("k", "k0", "doc0", "shift", "start", "end", "text").mapInArrow(quote, "k long, doc0 long, start int, end int, words binary, lead int")
     asked = quoted.groupBy("k").agg(F.collect_list(F.struct("doc0", "start", "end", "words", "lead")).alias("q"))  # bounded by the text's own matches
     later = _texts_of(rows.withColumn("text", F.struct("doc_id", "text")), linked.select("k").distinct()).select("k", "text.doc_id", "text.text")
     result = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("source_id", pa.int64())])
@@ -143,11 +146,11 @@ def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM) -> DataF
     def extend(batches):
         for b in batches:
             out = []
-            for k, doc_id, text, q in zip(b.column("k").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), b.column("q").to_pylist(), strict=True):
+            for k, doc_id, text, q in zip(b.column("k").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), b.column("q"), strict=True):
                 h = word_hashes(text.as_py()).view(np.int64)
                 spans = []
-                for m in q:
-                    y, a = np.array(m["words"], np.int64), m["start"] - m["lead"]  # y[i] stands beside h[a + i]
+                for m in q.as_py():
+                    y, a = np.frombuffer(m["words"], np.int64), m["start"] - m["lead"]  # y[i] stands beside h[a + i]
                     lo, hi = max(0, -a), min(len(y), len(h) - a)
                     same = np.concatenate([[False], h[a + lo : a + hi] == y[lo:hi], [False]]).astype(np.int8)
                     edge = np.diff(same)
