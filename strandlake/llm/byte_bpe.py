@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_table, ship, texts
+from .common import shared_table, ship, texts, tidy
 from .tokens import PATTERNS, PLAIN
 
 DICTIONARY, BUCKETS, WORDS_A_ROW, CHUNK_CHARS, CACHE_WORDS = 2_500_000, 1 << 17, 2048, 2_000_000, 200_000
@@ -113,7 +113,7 @@ def count_words(docs: DataFrame, pattern: str | None = None) -> DataFrame:
         if own:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(tidy("bytes", run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Dictionary:
@@ -265,8 +265,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
                     out.append(raw)
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(out, pa.binary())], schema=result)
 
-    chunks = docs.select("doc_id", "text").mapInArrow(part, "doc_ids array<long>, parts array<binary>, holes array<array<int>>, words array<array<int>>")
-    return fold_words(chunks, "words", "folded", constant).select("doc_ids", "parts", "holes", "folded").mapInArrow(whole, "doc_id long, ids binary")
+    chunks = docs.select("doc_id", "text").mapInArrow(tidy("bytes", part), "doc_ids array<long>, parts array<binary>, holes array<array<int>>, words array<array<int>>")
+    return fold_words(chunks, "words", "folded", constant).select("doc_ids", "parts", "holes", "folded").mapInArrow(tidy("bytes", whole), "doc_id long, ids binary")
 
 
 def decode(ids: bytes, pieces: list[bytes]) -> bytes:
@@ -289,7 +289,7 @@ def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 back.append(hashlib.sha256(decode(raw, pieces)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(tidy("bytes", run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent).as_posix())
     spark.sparkContext.addPyFile(target)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # whole texts: bounds a worker's memory
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # whole texts: bounds a worker's memory
     _SHIPPED.add(app)
 
 
@@ -58,3 +58,35 @@ def parallelism(spark: SparkSession) -> int:
 def crc_remainder(doc_id, mod: int):
     """crc32 of the id written as text, modulo mod (null ids: the remainder of the empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
+
+
+_CACHES: dict[str, dict] = {}
+
+
+def cache(name: str, own: dict | None = None) -> dict:
+    """A worker's cache of that name. Workers live on from stage to stage: the caches of other names are emptied."""
+    for other, held in _CACHES.items():
+        if other != name:
+            held.clear()
+    return _CACHES.setdefault(name, {} if own is None else own)
+
+
+def tidy(name: str, run):
+    """run for mapInArrow, with one live cache and unused memory given back after each task."""
+
+    def task(batches):
+        import pyarrow as pa
+
+        cache(name)
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                import ctypes
+
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except OSError:
+                pass
+
+    return task

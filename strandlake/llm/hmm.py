@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, shared_table, ship, texts
+from .common import crc_remainder, shared_table, ship, texts, tidy
 
 STATES, EMITTED, DICTIONARY, SEGMENT, ROUNDS = 6, 20_000, 250_000, 64, 4
 END = " end"  # holds a space, so no word equals it
@@ -54,7 +54,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if own:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(tidy("hmm", run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Model:
@@ -200,7 +200,7 @@ def train(docs: DataFrame, counts: DataFrame, states: int = STATES, emitted: int
             keys = np.concatenate([word, -2 - np.arange(states), [-1]])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(table[:, j]) for j in range(states))], names=["word", *(f"s{j}" for j in range(states))])
 
-        sums = docs.select("text").mapInArrow(run, schema).groupBy("word").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(states)))
+        sums = docs.select("text").mapInArrow(tidy("hmm", run), schema).groupBy("word").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(states)))
         got = sums.collect()  # a row for each emitted word and state at most
         start, move, emit = np.ones(states), np.eye(states) * STICK + 1.0, PRIOR * np.repeat(p[:, None], states, axis=1)
         for r in got:
@@ -228,6 +228,8 @@ def score(docs: DataFrame, counts: DataFrame, trained, dictionary: int = DICTION
     other, end = len(vocab), vocab.index(END) if END in vocab else len(vocab)
     below = n_all + 0.1 * (v_all + 1)
     rest = (n_all - float(np.sum(c))) + 0.1 * (v_all - len(vocab) + 1)
+    ends = counts.where(F.col("word") == END).first()
+    end_c = ends["c"] if ends else 0
     carried = spark.sparkContext.broadcast((dict_c, index, model))
     fields = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_tokens long, n_known long, base_score double, score double, rare array<struct<word: string, n: long>>"
@@ -236,7 +238,6 @@ def score(docs: DataFrame, counts: DataFrame, trained, dictionary: int = DICTION
     def run(batches):
         dict_c, index, model = carried.value
         logs = np.log10(np.maximum(1, np.arange(1 << 16)) + 0.1)
-        end_c = dict_c.get(END.encode(), 0)
         for rows, ids in groups(batches, index, other, end):
             hmm = log_likelihood(model, ids) / np.log(10)
             out = []
@@ -254,7 +255,7 @@ def score(docs: DataFrame, counts: DataFrame, trained, dictionary: int = DICTION
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), arrow]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.name for f in fields] + ["n_tokens", "n_known", "base_score", "score", "rare"])
 
-    part = shared_table(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    part = shared_table(docs.mapInArrow(tidy("hmm", run), schema).withColumn("row", F.monotonically_increasing_id()))
     # what the dictionary lacks: each such word of a text meets the full counts; unseen words count 0
     rare = part.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     unseen = counts.join(known.select("word"), "word", "left_anti")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table, ship, texts
+from .common import shared_table, ship, texts, tidy
 from .components import components
 from .runs import with_heads
 from .words import prefix_sums, run_hashes, word_hashes
@@ -66,7 +66,7 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                 row = (None, None, None, None, block, zlib.compress(part.astype("<u4").tobytes(), 1))
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
-    return shared_table(docs.select("doc_id", "k", "text").mapInArrow(run, "doc_id long, k long, n int, cls binary, block int, counts binary"))
+    return shared_table(docs.select("doc_id", "k", "text").mapInArrow(tidy("words", run), "doc_id long, k long, n int, cls binary, block int, counts binary"))
 
 
 def order_table(described: DataFrame) -> np.ndarray:
@@ -133,7 +133,7 @@ def prefixes(docs: DataFrame, table, n: int, percent: int) -> DataFrame:
                     out.append((class_of(g), len(g), (first ^ np.uint64(1 << 63)).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return shared_table(docs.select("text").mapInArrow(run, "cls binary, n int, keys array<long>"))
+    return shared_table(docs.select("text").mapInArrow(tidy("words", run), "cls binary, n int, keys array<long>"))
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def verified(docs: DataFrame, pairs: DataFrame, class_rows: DataFrame, table, cu
                 out += [(cls, f, g[where == f].view(np.int64)) for f in np.unique(where).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    parts = some.select("text").mapInArrow(run, "cls binary, fragment int, grams array<long>")
+    parts = some.select("text").mapInArrow(tidy("words", run), "cls binary, fragment int, grams array<long>")
     apart = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))))
     left = apart.join(parts.select(F.col("cls").alias("a"), "fragment", F.col("grams").alias("ga")), ["a", "fragment"])
     both = left.join(parts.select(F.col("cls").alias("b"), "fragment", F.col("grams").alias("gb")), ["b", "fragment"])

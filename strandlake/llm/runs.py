@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import shared_table, tidy
 
 
 def with_heads(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -51,7 +51,7 @@ def with_heads(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
     everything = [key, *order]
     ranged = rows.select(key, *names).repartitionByRange(*everything).sortWithinPartitions(*everything)
-    found = shared_table(ranged.mapInArrow(run, f"part int, mark int, {columns}"))
+    found = shared_table(ranged.mapInArrow(tidy("words", run), f"part int, mark int, {columns}"))
     heads, last = [], None
     for r in found.where("mark >= 3").select("part", "mark", key, *(f"h_{c}" for c in names)).orderBy("part").collect():
         if last is not None:

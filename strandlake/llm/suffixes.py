@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table, ship
+from .common import shared_table, ship, tidy
 from .runs import with_heads
 from .words import prefix_sums, run_hashes, word_hashes
 
@@ -80,7 +80,7 @@ def describe(docs: DataFrame, gram: int, least: int) -> DataFrame:
                     out.append((k, doc_id, len(h), whole, a.astype(np.int32), (e - a).astype(np.int32), key))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return docs.select("k", "doc_id", "text").mapInArrow(run, "k long, doc_id long, n int, whole long, start array<int>, size array<int>, key array<long>")
+    return docs.select("k", "doc_id", "text").mapInArrow(tidy("words", run), "k long, doc_id long, n int, whole long, start array<int>, size array<int>, key array<long>")
 
 
 def matches(described: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
     earlier = _texts_of(rows, linked.select(F.col("k0").alias("k")).distinct()).withColumnRenamed("k", "k0")
-    quoted = linked.join(earlier, "k0").select("k", "k0", "doc0", "shift", "start", "end", "text").mapInArrow(quote, "k long, doc0 long, start int, end int, words binary, lead int")
+    quoted = linked.join(earlier, "k0").select("k", "k0", "doc0", "shift", "start", "end", "text").mapInArrow(tidy("words", quote), "k long, doc0 long, start int, end int, words binary, lead int")
     asked = quoted.groupBy("k").agg(F.collect_list(F.struct("doc0", "start", "end", "words", "lead")).alias("q"))  # bounded by the text's own matches
     later = _texts_of(rows.withColumn("text", F.struct("doc_id", "text")), linked.select("k").distinct()).select("k", "text.doc_id", "text.text")
     result = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("source_id", pa.int64())])
@@ -166,7 +166,7 @@ def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM) -> DataF
                         out[-1][4] = end = e
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), result, strict=True)] if out else [pa.array([], f.type) for f in result], schema=result)
 
-    spans = later.join(asked, "k").mapInArrow(extend, "k long, doc_id long, n int, start int, end int, source_id long")
+    spans = later.join(asked, "k").mapInArrow(tidy("words", extend), "k long, doc_id long, n int, start int, end int, source_id long")
     return copies.unionByName(spans)
 
 

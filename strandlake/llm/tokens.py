@@ -11,6 +11,8 @@ import os
 import re
 from array import array
 
+from .common import cache
+
 PLAIN = "\\t\\n\\r -~\u00a1-\u00ac\u00ae-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u017e\u2010-\u2027\u2030-\u203a\u20ac"
 CACHE_WORDS = 700_000
 END = b"\0\0\0\0"
@@ -39,7 +41,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.find = re.compile(PATTERNS[kind]).findall
         self.odd = re.compile(f"[^{PLAIN}]").search
-        self.lower, self.letters, self.cache = kind == "word", byte_letters(), {}
+        self.lower, self.letters, self.cache = kind == "word", byte_letters(), cache(f"tokens {path}")
 
     def encode(self, text: str) -> bytes:
         if self.odd(text):
@@ -67,4 +69,5 @@ def encoder(kind: str, path: str | None = None) -> Encoder:
     path = path or P.path({"byte": "byte_bpe_50k.json", "word": "word_bpe_49k.json"}[kind])
     if (kind, path) not in _ENCODERS:
         _ENCODERS[kind, path] = Encoder(path, kind)
+    cache(f"tokens {path}")
     return _ENCODERS[kind, path]

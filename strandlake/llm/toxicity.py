@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, ship, texts
+from .common import cache, crc_remainder, ship, texts, tidy
 
 BEGIN = (4, 5, 6, 7, 8)
 TRAIN_ROWS, MAX_TERMS, MIN_RATIO, WINDOW, CACHE_WORDS = 20_000, 400, 25.0, 8, 300_000
@@ -62,7 +62,7 @@ class Lexicon:
         self.steps: list[dict[str, int]] = []
         self.ends: list[tuple[str, int] | None] = []
         self.start = self._state({(0, 0)})
-        self.cache: dict[str, tuple[str, int] | None] = {}
+        self.cache: dict[str, tuple[str, int] | None] = cache(f"lexicon {id(self)}")
 
     def _state(self, items: set) -> int:
         todo = list(items)
@@ -199,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS):
                 out_y += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(out_t, pa.string()), pa.array(out_y, pa.int32())], names=["term", "toxic"])
 
-    counts = rows.select("text", "toxic").mapInArrow(words, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    counts = rows.select("text", "toxic").mapInArrow(tidy("terms", words), "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     ratio = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1))
     least = max(3, round(0.008 * bad))
     top = counts.where(F.col("bad") >= least).select("term", "bad", ratio.alias("ratio")).where(F.col("ratio") >= MIN_RATIO)
@@ -223,7 +223,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS):
             f = [features(t.as_py(), lexicon) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), b.column("toxic")], names=["f", "toxic"])
 
-    got = rows.select("text", "toxic").mapInArrow(table, "f array<double>, toxic int").collect() if terms else []  # at most max_rows short rows
+    got = rows.select("text", "toxic").mapInArrow(tidy("features", table), "f array<double>, toxic int").collect() if terms else []  # at most max_rows short rows
     if not got:
         return terms, [0.0] * FEATURES + [prior]
     return terms, fit_logistic(np.array([r["f"] for r in got]), np.array([r["toxic"] for r in got], float)).tolist()
@@ -255,6 +255,7 @@ def _lexicon(terms: dict[str, float]) -> Lexicon:
     if key not in _LEXICONS:
         _LEXICONS.clear()
         _LEXICONS[key] = Lexicon(terms)
+    cache(f"lexicon {id(_LEXICONS[key])}", _LEXICONS[key].cache)
     return _LEXICONS[key]
 
 

@@ -6,8 +6,10 @@ from array import array
 
 import numpy as np
 
-CACHE_WORDS = 400_000
-_CACHE: dict[bytes, int] = {}
+from .common import cache
+
+CACHE_WORDS = 250_000
+_CACHE: dict[bytes, int] = cache("words")
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _POWERS: dict[str, np.ndarray] = {}
 
