@@ -59,6 +59,6 @@ def with_heads(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
         if not (last is not None and r["mark"] == 4 and last[0] == r[key]):
             last = (r[key], *r[3:])
     edge = F.broadcast(spark.createDataFrame(heads, ", ".join(["part int", f"`{key}` long", *(f"`e_{c}` {kind_of[c]}" for c in names)])).withColumn("met", F.lit(True)))
-    opened = found.where("mark in (1, 2)").join(edge, ["part", key], "left").where("mark = 1 or met")
-    opened = opened.select(key, *names, *(F.when(F.col("met"), F.col(f"e_{c}")).otherwise(F.col(f"h_{c}")).alias(f"h_{c}") for c in names))
-    return found.where("mark = 0").select(*opened.columns).unionByName(opened)
+    told = found.where("mark < 3").join(edge, ["part", key], "left")
+    met = F.col("met") & (F.col("mark") > 0)
+    return told.where(met | F.col("mark").isin(0, 1)).select(key, *names, *(F.when(met, F.col(f"e_{c}")).otherwise(F.col(f"h_{c}")).alias(f"h_{c}") for c in names))
