@@ -58,7 +58,8 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                 sizes.append(len(g))
                 classes.append(class_of(g))
                 buckets.append((g >> np.uint64(64 - BITS)).astype(np.int32))
-            counts += np.bincount(np.concatenate(buckets), minlength=1 << BITS).astype(np.uint32)
+            met, times = np.unique(np.concatenate(buckets), return_counts=True)
+            counts[met] += times.astype(np.uint32)
             none = pa.nulls(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         for block, part in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):

@@ -175,12 +175,11 @@ def cut(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     left go; n_chars, where there is such a column, follows the text. All other rows and columns stay as they are."""
     found = shared_table(passages(docs, least).groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
-    @F.pandas_udf("string")
-    def without(text, spans):
-        import pandas as pd
-
+    @F.arrow_udf("string")
+    def without(text: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
         for t, sp in zip(text, spans, strict=True):
+            t, sp = t.as_py(), sp.as_py()
             if sp is None or t is None:
                 out.append(t)
                 continue
@@ -191,7 +190,7 @@ def cut(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                 last = at[s[1]]
             left = "".join([*kept, t[last:]])
             out.append(left.rstrip() if left.strip() else None)
-        return pd.Series(out)
+        return pa.array(out, pa.string())
 
     names = docs.columns
     hit = F.col("__spans").isNotNull()

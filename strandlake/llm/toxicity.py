@@ -234,14 +234,12 @@ def score(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
     ship(docs.sparkSession)
     terms, weights = model
 
-    @F.pandas_udf("double")
-    def toxic(text):
-        import pandas as pd
-
+    @F.arrow_udf("double")
+    def toxic(text: pa.Array) -> pa.Array:
         lexicon = _lexicon(terms)
         w = np.array(weights)
-        f = np.array([features(t or "", lexicon) for t in text]).reshape(len(text), FEATURES)
-        return pd.Series(1 / (1 + np.exp(-np.clip(f @ w[:-1] + w[-1], -30, 30))))
+        f = np.array([features(t.as_py() or "", lexicon) for t in text]).reshape(len(text), FEATURES)
+        return pa.array(1 / (1 + np.exp(-np.clip(f @ w[:-1] + w[-1], -30, 30))))
 
     scored = docs.withColumn("score", toxic("text"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
