@@ -2,8 +2,9 @@
 
 1. All texts are cut into words by the vocabulary's pattern and counted; the most frequent (at most DICTIONARY of them,
    whole count levels at a time) form a dictionary.
-2. fold_words merges, in each word, the pair of least rank, first from the left, until no pair has a rank: an aggregate over
-   arrays beside a constant rank table (pair of pieces -> rank of their concatenation, in hash buckets).
+2. A word that is a piece itself is that piece, as in the library. In each other word fold_words merges the pair of least
+   rank, first from the left, until no pair has a rank: an aggregate over arrays beside a constant rank table (pair of
+   pieces -> rank of their concatenation, in hash buckets).
 3. Texts are encoded where they are read, in chunks. A chunk's words that the dictionary lacks are folded in the chunk by the
    same expression, so every id comes from the fold and nothing of the texts is shuffled.
 4. Decoding concatenates the binary pieces of the ids.
@@ -69,22 +70,31 @@ def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
 def fold_words(df: DataFrame, words: str, out: str, ranks: DataFrame) -> DataFrame:
     """Adds out: of each array of single-byte ranks in the array column words, the ids left after all merges."""
 
+    def let(value, body):
+        """body of value, which is computed once: names in lambdas are not shared otherwise."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
     def rank_of(a, b):
-        bucket = F.element_at("ranks", (F.pmod(a.cast("long") * 40503 + b, F.lit(BUCKETS)) + 1).cast("int"))
+        bucket = F.get("ranks", F.pmod(a.cast("long") * 40503 + b, F.lit(BUCKETS)).cast("int"))
         return F.element_at(bucket, a.cast("long") * (1 << 20) + b)
 
     def merge(state, _):
         ids, rs = state["ids"], state["rs"]
-        low, n = F.array_min(rs), F.size(ids)
-        p = F.array_position(rs, low).cast("int")
         none = F.slice(rs, 1, 0)
-        left = F.when(p > 1, F.array(rank_of(F.element_at(ids, p - 1), low))).otherwise(none)
-        right = F.when(p + 1 < n, F.array(rank_of(low, F.element_at(ids, p + 2)))).otherwise(none)
-        merged = F.struct(
-            F.concat(F.slice(ids, F.lit(1), p - 1), F.array(low), F.slice(ids, p + 2, n)).alias("ids"),
-            F.concat(F.slice(rs, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(rs, p + 2, n)).alias("rs"),
-        )
-        return F.when(low.isNull(), state).otherwise(merged)
+
+        def join(low, p):
+            left = F.when(p > 1, F.array(rank_of(F.element_at(ids, p - 1), low))).otherwise(none)
+            right = F.when(p < F.size(rs), F.array(rank_of(low, F.element_at(ids, p + 2)))).otherwise(none)
+            n = F.size(ids)
+            return F.struct(
+                F.concat(F.slice(ids, F.lit(1), p - 1), F.array(low), F.slice(ids, p + 2, n)).alias("ids"),
+                F.concat(F.slice(rs, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(rs, p + 2, n)).alias("rs"),
+            )
+
+        def at(low):
+            return let(F.array_position(rs, low).cast("int"), lambda p: join(low, p))
+
+        return let(F.array_min(rs), lambda low: F.when(low.isNull(), state).otherwise(at(low)))
 
     def fold(word):
         pairs = F.zip_with(F.slice(word, 1, F.size(word) - 1), F.slice(word, 2, F.size(word)), rank_of)
@@ -172,7 +182,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     def rows(batches):
         import xxhash
 
-        hashes, words = [], []
+        known, hashes, words = load_ranks(vocabulary), [], []
 
         def out():
             rb = pa.RecordBatch.from_arrays([pa.array([hashes], pa.list_(pa.int64())), pa.array([words], pa.list_(pa.list_(pa.int32())))], names=["hashes", "words"])
@@ -184,7 +194,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
             for w in b.column("word").to_pylist():
                 w = w.encode()
                 hashes.append(int(np.uint64(xxhash.xxh3_64_intdigest(w)).astype(np.int64)))
-                words.append([single[x] for x in w])
+                words.append([known[w]] if w in known else [single[x] for x in w])
                 if len(words) == WORDS_A_ROW:
                     yield out()
         if words:
@@ -201,7 +211,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     name = f"{vocabulary}|{pattern}|{carried.id if hasattr(carried, 'id') else 0}"
 
     def part(batches):
-        find, pieces, table = _cutter(pattern), _pieces(load_ranks(vocabulary)), carried.value
+        known = load_ranks(vocabulary)
+        find, pieces, table = _cutter(pattern), _pieces(known), carried.value
         if name not in _WORDS:
             _WORDS.clear()
         cache = _WORDS.setdefault(name, {})
@@ -210,7 +221,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
 
         def out():
             nonlocal chars
-            spelled = [[single[x] for x in w.encode()] for w in missing]
+            spelled = [[known[b]] if (b := w.encode()) in known else [single[x] for x in b] for w in missing]
             rb = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((doc_ids, parts, holes, spelled), chunk, strict=True)], schema=chunk)
             for x in (doc_ids, parts, holes, missing):
                 x.clear()
