@@ -26,6 +26,7 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent).as_posix())
     spark.sparkContext.addPyFile(target)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # whole texts: bounds a worker's memory
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
     _SHIPPED.add(app)
 
 
@@ -78,6 +79,7 @@ def tidy(name: str, run):
         import pyarrow as pa
 
         cache(name)
+        pa.set_memory_pool(pa.system_memory_pool())  # gives large blocks back at once
         try:
             yield from run(batches)
         finally:

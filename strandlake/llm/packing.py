@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import shared_table, ship, texts
+from .common import shared_table, ship, texts, tidy
 from .tokens import END, encoder
 
 CAPACITY, SHARD_PIECES, PATIENCE = 2048, 20_000, 40
@@ -40,7 +40,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None
                     rows.append((doc_id, k, a // 4, len(piece) // 4, zlib.crc32(piece)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return shared_table(texts(docs).mapInArrow(run, PIECES))
+    return shared_table(texts(docs).mapInArrow(tidy("tokens", run), PIECES))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -159,7 +159,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         seq += TaskContext.get().partitionId() << 32
         yield from pa.Table.from_arrays([*table.columns, pa.array(seq), pa.array(offset)], names=names).combine_chunks().to_batches()
 
-    return pieces.repartition(shards).mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
+    return pieces.repartition(shards).mapInArrow(tidy("packing", run), f"{PIECES}, sequence_id long, offset long")
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:

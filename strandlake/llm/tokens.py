@@ -14,7 +14,7 @@ from array import array
 from .common import cache
 
 PLAIN = "\\t\\n\\r -~\u00a1-\u00ac\u00ae-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u017e\u2010-\u2027\u2030-\u203a\u20ac"
-CACHE_WORDS = 700_000
+CACHE_WORDS = {"byte": 700_000, "word": 200_000}  # "word": for packing, whose workers have other stages behind them
 END = b"\0\0\0\0"
 #: The vocabularies' own word patterns, written for the standard library; on plain characters they cut alike.
 PATTERNS = {
@@ -41,7 +41,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.find = re.compile(PATTERNS[kind]).findall
         self.odd = re.compile(f"[^{PLAIN}]").search
-        self.lower, self.letters, self.cache = kind == "word", byte_letters(), cache(f"tokens {path}")
+        self.lower, self.letters, self.cache, self.most = kind == "word", byte_letters(), {}, CACHE_WORDS[kind]
 
     def encode(self, text: str) -> bytes:
         if self.odd(text):
@@ -49,7 +49,7 @@ class Encoder:
         words = self.find(text.lower() if self.lower else text)
         new = set(words).difference(self.cache)
         if new:
-            if len(self.cache) > CACHE_WORDS:
+            if len(self.cache) > self.most:
                 self.cache.clear()
                 new = set(words)
             tokenize, letters = self.model.tokenize, self.letters
@@ -59,15 +59,12 @@ class Encoder:
         return b"".join(map(self.cache.__getitem__, words))
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(kind: str, path: str | None = None) -> Encoder:
     """The worker's encoder of a kind ('byte' or 'word'); path: another vocabulary file of that kind."""
     import public_tokenizers as P
 
     path = path or P.path({"byte": "byte_bpe_50k.json", "word": "word_bpe_49k.json"}[kind])
-    if (kind, path) not in _ENCODERS:
-        _ENCODERS[kind, path] = Encoder(path, kind)
-    cache(f"tokens {path}")
-    return _ENCODERS[kind, path]
+    held = cache("tokens")  # goes, vocabulary and all, when the worker turns to another kind of stage
+    if (kind, path) not in held:
+        held[kind, path] = Encoder(path, kind)
+    return held[kind, path]
