@@ -1,17 +1,15 @@
 """Repeated passages by sparse suffix arrays.
 
 Of all suffixes of all texts (in words), those that start at content-selected positions stay: the minimisers of GRAM-word
-grams over windows that span MIN_WORDS words, so any two equal passages of MIN_WORDS words hold the same selected position.
-A suffix is keyed by its gram and, so that an earlier document with an edit close by does not hide another, by the
-whole MIN_WORDS-word runs that start and that end with it. All keys are sorted over the whole corpus; neighbours
-with equal keys form runs that point to their first suffix (a run may span any number of partitions). Matches on the
-same offset join into chains, which are then verified and extended left and right word by word against the earlier text.
+grams over windows that span MIN_WORDS words, so any two equal runs of MIN_WORDS words hold the same selected gram.
+The selected grams are sorted over the whole corpus, where equal ones form runs that point to their first suffix (a run may
+span any number of partitions). Every run of MIN_WORDS words around a gram that two documents share is then a key of its own:
+these keys are sorted likewise, and each one meets the first document that has it, so no holder of a gram hides another.
 
 A passage of a document counts as repeated when at least MIN_WORDS words of it stand in another document before it (by
 doc_id, then by hash). Texts that are word for word equal are matched as a whole. Words: A-Z lower-cased, ASCII white space.
 
-A document with a passage of MIN_WORDS + GRAM words and more from an earlier one is always found; of shorter passages those are
-missed whose every selected gram stands first in a document that shares less than MIN_WORDS words around it.
+All words of such passages are found, and no others: runs are equal when two 64-bit hashes of their words are.
 
 Defined cases: null and short texts have no passages; rows that repeat doc_id and text are one document; a repetition
 inside one document does not count; ids may be null (first in order); empty tables give empty results.
@@ -32,6 +30,7 @@ from .words import prefix_sums, run_hashes, word_hashes
 
 MIN_WORDS, GRAM = 50, 25
 BROADCAST_IDS = 1_000_000
+OTHER = np.uint64(0xD6E8FEB86659FD93)  # for the second hash of a run
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -50,24 +49,13 @@ def selected(s: np.ndarray, n: int, gram: int, least: int) -> np.ndarray:
     return np.unique((first & ~np.uint64(0xFFFFFF)) + low + np.where(low < (first & np.uint64(0xFFFFFF)), np.uint64(1 << 24), np.uint64(0))).astype(np.int64)
 
 
-def suffix_keys(h: np.ndarray, gram: int = GRAM, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, key) of the runs of words that stand for the selected suffixes."""
-    n = len(h)
-    s = prefix_sums(h)
-    at = selected(s, n, gram, least)
-    right, left = at[at + least <= n], at[at + gram >= least] + gram - least
-    starts, ends = np.concatenate([at, right, left]), np.concatenate([at + gram, right + least, left + least])
-    keys = np.concatenate([run_hashes(s, at, gram), run_hashes(s, right, least), run_hashes(s, left, least)])
-    return starts, ends, keys.view(np.int64)
-
-
 def _by_id(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
 
 
 def describe(docs: DataFrame, gram: int, least: int) -> DataFrame:
-    """k, doc_id, n, the hash of all words, and the suffix keys of every text of least words and more."""
-    schema = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("whole", pa.int64()), ("start", pa.list_(pa.int32())), ("size", pa.list_(pa.int32())), ("key", pa.list_(pa.int64()))])
+    """k, doc_id, n, the hash of all words, and the keys of the selected grams of every text of least words and more."""
+    schema = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("whole", pa.int64()), ("start", pa.list_(pa.int32())), ("key", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
@@ -75,35 +63,37 @@ def describe(docs: DataFrame, gram: int, least: int) -> DataFrame:
             for k, doc_id, text in zip(b.column("k").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 h = word_hashes(text.as_py())
                 if len(h) >= least:
-                    a, e, key = suffix_keys(h, gram, least)
-                    whole = run_hashes(prefix_sums(h), np.array([0]), len(h)).view(np.int64)[0]
-                    out.append((k, doc_id, len(h), whole, a.astype(np.int32), (e - a).astype(np.int32), key))
+                    s = prefix_sums(h)
+                    at = selected(s, len(h), gram, least)
+                    whole = run_hashes(s, np.array([0]), len(h)).view(np.int64)[0]
+                    out.append((k, doc_id, len(h), whole, at.astype(np.int32), run_hashes(s, at, gram).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return docs.select("k", "doc_id", "text").mapInArrow(tidy("words", run), "k long, doc_id long, n int, whole long, start array<int>, size array<int>, key array<long>")
+    return docs.select("k", "doc_id", "text").mapInArrow(tidy("words", run), "k long, doc_id long, n int, whole long, start array<int>, key array<long>")
 
 
-def matches(described: DataFrame) -> DataFrame:
-    """(k, start, end, doc0, k0, start0): suffix runs and the first run of equal words in another document before."""
-    rows = described.select("doc_id", "k", F.explode(F.arrays_zip("start", "size", "key")).alias("s")).select("s.key", "doc_id", "k", "s.start", "s.size")
+def shared_grams(described: DataFrame) -> DataFrame:
+    """(k, grams): for each document, the keys of the selected grams that another document has as well."""
+    rows = described.select("doc_id", "k", F.explode(F.arrays_zip("start", "key")).alias("s")).select("s.key", "doc_id", "k", "s.start")
     met = with_heads(rows, "key", ["doc_id", "k", "start"]).where("k <> h_k")
-    return met.select("k", "start", (F.col("start") + F.col("size")).alias("end"), F.col("h_doc_id").alias("doc0"), F.col("h_k").alias("k0"), F.col("h_start").alias("start0"))
+    return met.select("key", F.explode(F.array("k", "h_k")).alias("k")).groupBy("k").agg(F.collect_set("key").alias("grams"))
 
 
-def chains(found: DataFrame, slack: int) -> DataFrame:
-    """(k, k0, doc0, shift, start, end): matches of two documents on one offset, joined over gaps of up to slack words."""
-    grouped = found.groupBy("k", "k0", "doc0", (F.col("start") - F.col("start0")).alias("shift")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("runs"))
-    one = F.struct(F.col("runs")[0]["start"].alias("start"), F.col("runs")[0]["end"].alias("end"))
-    init = F.struct(F.filter(F.array(one), lambda _: F.lit(False)).alias("done"), one.alias("now"))
+def whole_runs(asked: DataFrame, gram: int, least: int) -> DataFrame:
+    """(key, check, doc_id, k, start): every run of least words that holds one of its document's grams, by two hashes."""
+    schema = pa.schema([("key", pa.int64()), ("check", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int64()), ("start", pa.int32())])
 
-    def step(acc, r):
-        joined = r["start"] <= acc["now"]["end"] + slack
-        return F.when(joined, F.struct(acc["done"].alias("done"), F.struct(acc["now"]["start"].alias("start"), F.greatest(acc["now"]["end"], r["end"]).alias("end")).alias("now"))).otherwise(
-            F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), F.struct(r["start"].alias("start"), r["end"].alias("end")).alias("now"))
-        )
+    def run(batches):
+        for b in batches:
+            for k, doc_id, text, grams in zip(b.column("k").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), b.column("grams"), strict=True):
+                h = word_hashes(text.as_py())
+                s = prefix_sums(h)
+                hits = np.concatenate([[0], np.cumsum(np.isin(run_hashes(s, np.arange(len(h) - gram + 1), gram).view(np.int64), grams.values.to_numpy()))])
+                at = np.flatnonzero(hits[least - gram + 1 :] > hits[: len(h) - least + 1])
+                keys = [run_hashes(x, at, least).view(np.int64) for x in (s, prefix_sums(h ^ OTHER))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array([doc_id] * len(at), pa.int64()), pa.array(np.full(len(at), k)), pa.array(at, pa.int32())], schema=schema)
 
-    merged = F.aggregate("runs", init, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
-    return grouped.select("k", "k0", "doc0", "shift", F.explode(merged).alias("c")).select("k", "k0", "doc0", "shift", "c.start", "c.end")
+    return asked.select("k", "doc_id", "text", "grams").mapInArrow(tidy("words", run), "key long, check long, doc_id long, k long, start int")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -117,57 +107,32 @@ def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM) -> DataF
     them before (of several, the smallest for the first word). k is the hash of doc_id and text."""
     ship(docs.sparkSession)
     rows = _by_id(docs)
-    slack = least  # beyond the last match of a chain less than a window's words can agree unseen
     described = shared_table(describe(rows, gram, least))
     firsts = described.groupBy("whole", "n").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count_distinct("k").alias("size"))
     copies = described.select("whole", "n", "doc_id", "k").distinct().join(firsts.where("size > 1"), ["whole", "n"]).where(F.col("k") != F.col("first.k"))
     copies = shared_table(copies.select("k", "doc_id", "n", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("first.doc_id").alias("source_id")))
     own = described.dropDuplicates(["k"]).join(copies.select("k"), "k", "left_anti")
-    linked = shared_table(chains(matches(own), slack))
-
-    schema = pa.schema([("k", pa.int64()), ("doc0", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.binary()), ("lead", pa.int32())])
-
-    def quote(batches):
-        for b in batches:
-            out, last, h = [], None, None
-            for k, k0, doc0, shift, start, end, text in zip(*(b.column(c).to_pylist() for c in ("k", "k0", "doc0", "shift", "start", "end")), b.column("text"), strict=True):
-                if k0 != last:
-                    last, h = k0, word_hashes(text.as_py()).view(np.int64)
-                a = max(0, start - shift - slack)
-                out.append((k, doc0, start, end, h[a : end - shift + slack].tobytes(), start - shift - a))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
-
-    earlier = _texts_of(rows, linked.select(F.col("k0").alias("k")).distinct()).withColumnRenamed("k", "k0")
-    quoted = linked.join(earlier, "k0").select("k", "k0", "doc0", "shift", "start", "end", "text").mapInArrow(tidy("words", quote), "k long, doc0 long, start int, end int, words binary, lead int")
-    asked = quoted.groupBy("k").agg(F.collect_list(F.struct("doc0", "start", "end", "words", "lead")).alias("q"))  # bounded by the text's own matches
-    later = _texts_of(rows.withColumn("text", F.struct("doc_id", "text")), linked.select("k").distinct()).select("k", "text.doc_id", "text.text")
-    result = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("source_id", pa.int64())])
+    grams = shared_table(shared_grams(own))
+    held = _texts_of(rows.withColumn("text", F.struct("doc_id", "text")), grams.select("k")).select("k", "text.doc_id", "text.text")
+    met = with_heads(whole_runs(held.join(grams, "k"), gram, least), "key", ["doc_id", "k", "start"]).where("k <> h_k AND check = h_check")
+    found = met.groupBy("k").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("start", F.col("h_doc_id").alias("doc0"))).alias("q"))  # bounded by the text's own words
+    result = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("source_id", pa.int64())])
 
-    def extend(batches):
+    def join(batches):
         for b in batches:
             out = []
-            for k, doc_id, text, q in zip(b.column("k").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), b.column("q"), strict=True):
-                h = word_hashes(text.as_py()).view(np.int64)
-                spans = []
-                for m in q.as_py():
-                    y, a = np.frombuffer(m["words"], np.int64), m["start"] - m["lead"]  # y[i] stands beside h[a + i]
-                    lo, hi = max(0, -a), min(len(y), len(h) - a)
-                    same = np.concatenate([[False], h[a + lo : a + hi] == y[lo:hi], [False]]).astype(np.int8)
-                    edge = np.diff(same)
-                    for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-                        if e - s >= least:
-                            spans.append((a + lo + s, a + lo + e, m["doc0"]))
-                end = None
-                for s, e, d in sorted(spans, key=lambda x: (x[0], x[2] is not None, x[2] or 0, -x[1])):
-                    if end is None or s > end:
-                        out.append([k, doc_id, len(h), s, e, d])
-                        end = e
-                    elif e > end:
-                        out[-1][4] = end = e
+            for k, doc_id, q in zip(b.column("k").to_pylist(), b.column("doc_id").to_pylist(), b.column("q"), strict=True):
+                start, doc0 = q.values.field("start").to_numpy(), q.values.field("doc0")
+                order = np.argsort(start)
+                start = start[order]
+                new = np.flatnonzero(np.concatenate([[True], np.diff(start) > least]))
+                last = np.concatenate([new[1:], [len(start)]]) - 1
+                for i, j in zip(new, last, strict=True):
+                    out.append((k, doc_id, start[i], start[j] + least, doc0[order[i]].as_py()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), result, strict=True)] if out else [pa.array([], f.type) for f in result], schema=result)
 
-    spans = later.join(asked, "k").mapInArrow(tidy("words", extend), "k long, doc_id long, n int, start int, end int, source_id long")
-    return copies.unionByName(spans)
+    spans = found.mapInArrow(tidy("words", join), "k long, doc_id long, start int, end int, source_id long")
+    return copies.unionByName(spans.join(described.select("k", "n").distinct(), "k"))
 
 
 def cut(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:

@@ -174,6 +174,23 @@ def test_suffixes(docs, empty):
     assert suffixes.cut(empty).count() == 0 and suffixes.passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("place", [10, 25, 50])
+def test_suffixes_behind_an_edited_first_holder(spark, place):
+    """Passages of 60 words in D1 and D2, and in D0 with one word changed: D0 must not hide the rest from D2."""
+    rng, rows, want = random.Random(place), [], {}
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for i in range(0, 240, 3):
+        passage, lead = text(60), text(20)
+        edited = [*passage[: place - 1], "changed", *passage[place:]]
+        rows += [(i, " ".join(text(20) + edited + text(20))), (i + 1, " ".join(lead + passage + text(20))), (i + 2, " ".join(text(20) + passage + text(20)))]
+        tail = {20 + q for q in (range(place, 60) if place < 11 else range(place - 1) if place > 50 else ())}
+        want |= {i + 2: set(range(20, 80))} | ({i + 1: tail} if tail else {})
+    got = {}
+    for r in suffixes.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert got == want
+
+
 def test_html():
     tree = html_text.labelled_tree()
     page = "<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><div class='ad'>Buy now this thing today for less</div><article><h1>A &amp; B</h1><p>First  para\n&quot;x&quot;<p>Second</article><div class=comments><p>A reader says many things here about it</div><footer>&copy; all</footer>"
