@@ -1,12 +1,12 @@
-"""Hidden Markov language model: Baum-Welch counts summed over partitions, exact likelihood by the scaled forward recursion.
+"""Hidden Markov language model: Baum-Welch counts summed by Spark, exact likelihood by the scaled forward recursion.
 
-Words: A-Z lower-cased, cut at ASCII white space, then one end. The states emit the EMITTED most frequent tokens and a
-class for all others; inside the class a token has its share of the unigram (c + 0.1), so the model is proper over all
-words. Counts of the DICTIONARY most frequent tokens travel to the workers (a fixed bound); the occurrences of all
-others are joined with the full counts.
+Words: A-Z lower-cased, cut at ASCII white space, then one end. The states emit every word of the training rows; a class
+stands for all others, and inside it a token has its share of the unigram (c + 0.1), so the model is proper over all words.
+The emissions are a table (word, state) that Spark sums and joins: texts are dealt to cells of up to CELL_TOKENS tokens, and
+a cell meets the rows of its own words only, so no worker and no driver holds the whole table.
 
-Training segments have at most SEGMENT tokens and later segments of a text start from the mean state distribution; a
-score runs over the whole text: its chunks' forward operators (K x K, scaled) are computed side by side and chained.
+Training and scores run over whole texts: the forward operators (K x K, scaled) of a long text's chunks are computed side by
+side and chained, and so transitions across the borders of chunks count like all others. STATES and ROUNDS are fixed.
 
 Defined cases: null text is empty (one end token); without training rows counts are zero and the model is the base
 score; every row is scored, repeated ones too; ids may be null; an empty table gives an empty result.
@@ -14,8 +14,10 @@ score; every row is scored, repeated ones too; ids may be null; an empty table g
 
 from __future__ import annotations
 
+import gc
+from array import array
 from collections import Counter
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_remainder, shared_table, ship, texts, tidy
 
-STATES, EMITTED, DICTIONARY, SEGMENT, ROUNDS = 6, 20_000, 250_000, 64, 4
+STATES, ROUNDS, CELL_TOKENS = 6, 4, 4_000_000
 END = " end"  # holds a space, so no word equals it
 PRIOR, STICK, BATCH_TOKENS = 50.0, 20.0, 400_000
 
@@ -70,47 +72,72 @@ class Model:
         return Model(np.full(k, 1 / k), np.full((k, k), 0.02 / max(1, k - 1)) + np.eye(k) * (0.98 - 0.02 / max(1, k - 1)), emit / np.maximum(emit.sum(axis=0), 1e-300))
 
 
-def expect(model: Model, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
-    """Adds the expected counts of segments ids[begin : begin + size] to start, move and emit; returns their log likelihood."""
+def operators(model: Model, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The forward operators (K x K, scaled) of ids[begin : begin + size]; the ones inside a text begin with a move."""
+    k = len(model.start)
     order = np.argsort(-size, kind="stable")
-    begin, size, first = begin[order], size[order], first[order]
-    k, longest = len(model.start), int(size[0])
-    live = np.searchsorted(-size, -np.arange(longest), side="left")  # segments longer than t
-    mean = start_of_rest(model)
+    live = np.searchsorted(-size[order], -np.arange(size.max()), side="left")
+    op = np.where(inside[order, None, None], model.move, np.eye(k)) * model.emit[ids[begin[order]]][:, None, :]
+    for t in range(1, len(live)):
+        n = live[t]
+        x = (op[:n].reshape(-1, k) @ model.move).reshape(-1, k, k) * model.emit[ids[begin[order[:n]] + t]][:, None, :]
+        op[:n] = x / x.sum(axis=(1, 2))[:, None, None]
+    out = np.empty_like(op)
+    out[order] = op
+    return out
+
+
+def expect(model: Model, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, whole: int = 1024, chunk: int = 256) -> float:
+    """Adds the expected counts of the texts ids[begin : begin + size] to start, move and emit; returns their log likelihood.
+    Texts of more than whole ids are taken in chunks, each with what the chained operators bring to both of its ends."""
+    k = len(model.start)
+    parts = np.where(size > whole, -(-size // chunk), 1)
+    row, first = np.repeat(np.arange(len(size)), parts), np.cumsum(parts) - parts
+    nth = np.arange(len(row)) - first[row]
+    begin, size = begin[row] + nth * chunk, np.where(parts[row] > 1, np.minimum(chunk, size[row] - nth * chunk), size[row])
+    enter, leave, before = np.tile(model.start, (len(row), 1)), np.ones((len(row), k)), np.zeros((len(row), k))
+    cut = np.flatnonzero(parts[row] > 1)
+    if len(cut):
+        op = dict(zip(cut.tolist(), operators(model, ids, begin[cut], size[cut], nth[cut] > 0), strict=True))
+        for d in np.flatnonzero(parts > 1):
+            x, y, own = model.start, np.ones(k), range(first[d], first[d] + parts[d])
+            for j in own[:-1]:
+                x = x @ op[j]
+                x = x / x.sum()
+                before[j + 1], enter[j + 1] = x, x @ model.move
+            for j in own[:0:-1]:
+                y = op[j] @ y
+                y = y / y.max()
+                leave[j - 1] = y
+    order = np.argsort(-size, kind="stable")
+    begin, size, enter, leave, before, opens = begin[order], size[order], enter[order], leave[order], before[order], nth[order] == 0
+    longest = int(size[0])
+    live = np.append(np.searchsorted(-size, -np.arange(longest), side="left"), 0)  # chunks longer than t
     a, scales, seen = [], [], []
     for t in range(longest):
         n = live[t]
         w = ids[begin[:n] + t]
-        b = model.emit[w]
-        x = np.where(first[:n, None], model.start, mean) * b if t == 0 else (a[-1][:n] @ model.move) * b
+        x = (enter if t == 0 else a[-1][:n] @ model.move) * model.emit[w]
         s = x.sum(axis=1)
         a.append(x / s[:, None])
         scales.append(s)
         seen.append(w)
-    beta = np.ones((live[-1], k))
-    gammas = [None] * longest
+    gammas, back = [None] * longest, np.empty((0, k))
     for t in range(longest - 1, -1, -1):
-        if t < longest - 1:
-            n = live[t + 1]
-            back = model.emit[seen[t + 1]] * beta / scales[t + 1][:, None]
-            move += (a[t][:n].T @ back) * model.move
-            beta = np.concatenate([back @ model.move.T, np.ones((live[t] - n, k))])
+        n, m = live[t + 1], live[t]
+        move += (a[t][:n].T @ back) * model.move
+        ends = leave[n:m] / (a[t][n:] * leave[n:m]).sum(axis=1, keepdims=True)
+        beta = np.concatenate([back @ model.move.T, ends])
         gammas[t] = a[t] * beta
-    start += gammas[0][first].sum(axis=0)
+        back = model.emit[seen[t]] * beta / scales[t][:, None]
+    move += (before.T @ back) * model.move
+    start += gammas[0][opens].sum(axis=0)
     g, w = np.concatenate(gammas), np.concatenate(seen)
     for j in range(k):
         emit[:, j] += np.bincount(w, g[:, j], minlength=len(emit))
     return float(sum(np.log(s).sum() for s in scales))
 
 
-def start_of_rest(model: Model) -> np.ndarray:
-    """The state distribution that moves settle on."""
-    p = model.start
-    for _ in range(50):
-        p = p @ model.move
-    return p / p.sum()
-
-
 def log_likelihood(model: Model, docs: list[np.ndarray], whole: int = 4096, chunk: int = 256) -> np.ndarray:
     """Natural log of the probability of each whole sequence of ids, by the scaled forward recursion. Sequences of up to
     whole ids go side by side; the full chunks of longer ones are K x K operators, all computed side by side, then chained."""
@@ -153,117 +180,163 @@ def log_likelihood(model: Model, docs: list[np.ndarray], whole: int = 4096, chun
     return total
 
 
-def groups(batches, vocab: dict[bytes, int], other: int, end: int, column: str = "text"):
-    """Runs of rows of about BATCH_TOKENS tokens: (rows, ids of each row). Ids beyond the vocabulary become other."""
-    rows, docs, n = [], [], 0
-    for b in batches:
-        for row in b.to_pylist():
-            w = words(row.pop(column))
-            ids = np.fromiter(chain(map(vocab.get, w, [other] * len(w)), [end]), np.int64, len(w) + 1)
-            rows.append((row, w))
-            docs.append(ids)
-            n += len(ids)
-            if n >= BATCH_TOKENS:
-                yield rows, docs
-                rows, docs, n = [], [], 0
-    if rows:
-        yield rows, docs
-
-
-def train(docs: DataFrame, counts: DataFrame, states: int = STATES, emitted: int = EMITTED, rounds: int = ROUNDS):
-    """(vocabulary list, its counts, N, V, Model) by Baum-Welch over all rows of docs."""
-    spark = docs.sparkSession
-    n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(emitted).collect()  # emitted rows at most
-    vocab, c = [r["word"] for r in top], np.array([r["c"] for r in top], float)
-    rest = (n_all - c.sum()) + 0.1 * (v_all - len(c) + 1)
-    p = np.concatenate([c, [rest]])
-    p /= p.sum()
-    model = Model.first(p, states)
-    index = spark.sparkContext.broadcast({w.encode(): i for i, w in enumerate(vocab)})  # emitted words at most
-    other, end = len(vocab), vocab.index(END) if END in vocab else len(vocab)
-    schema = f"word int, {', '.join(f's{j} double' for j in range(states))}"
-    for _ in range(rounds if n_all else 0):
-        now = spark.sparkContext.broadcast(model)
-
-        def run(batches, now=now):
-            start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((other + 1, states))
-            for _, ids in groups(batches, index.value, other, end):
-                size = np.array([len(d) for d in ids])
-                parts = -(-size // SEGMENT)
-                row = np.repeat(np.arange(len(ids)), parts)
-                nth = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-                base = np.cumsum(size) - size
-                expect(now.value, np.concatenate(ids), base[row] + nth * SEGMENT, np.minimum(SEGMENT, size[row] - nth * SEGMENT), nth == 0, start, move, emit)
-            word = np.flatnonzero(emit.any(axis=1))
-            table = np.concatenate([emit[word], move, start[None]])
-            keys = np.concatenate([word, -2 - np.arange(states), [-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(table[:, j]) for j in range(states))], names=["word", *(f"s{j}" for j in range(states))])
-
-        sums = docs.select("text").mapInArrow(tidy("hmm", run), schema).groupBy("word").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(states)))
-        got = sums.collect()  # a row for each emitted word and state at most
-        start, move, emit = np.ones(states), np.eye(states) * STICK + 1.0, PRIOR * np.repeat(p[:, None], states, axis=1)
-        for r in got:
-            if r[0] >= 0:
-                emit[r[0]] += r[1:]
-            elif r[0] == -1:
-                start += r[1:]
-            else:
-                move[-2 - r[0]] += r[1:]
-        model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-        now.unpersist()
-    return vocab, c, int(n_all), int(v_all), model
-
-
-def score(docs: DataFrame, counts: DataFrame, trained, dictionary: int = DICTIONARY) -> DataFrame:
-    """docs' columns but text, with n_tokens, n_known, train_tokens, base_score and score."""
-    spark = docs.sparkSession
-    vocab, c, n_all, v_all, model = trained
-    keep = [x for x in docs.columns if x != "text"]
-    known = counts.orderBy(F.desc("c"), "word").limit(dictionary)
-    known = shared_table(known)
-    table = known.toPandas() if n_all else None  # dictionary rows at most
-    dict_c = dict(zip((w.encode() for w in table["word"]), table["c"].tolist(), strict=True)) if table is not None else {}
-    index = {w.encode(): i for i, w in enumerate(vocab)}
-    other, end = len(vocab), vocab.index(END) if END in vocab else len(vocab)
-    below = n_all + 0.1 * (v_all + 1)
-    rest = (n_all - float(np.sum(c))) + 0.1 * (v_all - len(vocab) + 1)
-    ends = counts.where(F.col("word") == END).first()
-    end_c = ends["c"] if ends else 0
-    carried = spark.sparkContext.broadcast((dict_c, index, model))
-    fields = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_tokens long, n_known long, base_score double, score double, rare array<struct<word: string, n: long>>"
-    arrow = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+def cells(docs: DataFrame) -> DataFrame:
+    """Texts dealt to cells: (cell, words, ids, size, rows): the cell's words, the texts as places in them one after the
+    other, their sizes, and docs' other columns."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kept = docs.drop("text")
+    rows = pa.struct(list(to_arrow_schema(kept.schema)))
+    schema = pa.schema([("words", pa.list_(pa.string())), ("ids", pa.list_(pa.int32())), ("size", pa.list_(pa.int32())), ("rows", pa.list_(rows))])
 
     def run(batches):
-        dict_c, index, model = carried.value
-        logs = np.log10(np.maximum(1, np.arange(1 << 16)) + 0.1)
-        for rows, ids in groups(batches, index, other, end):
-            hmm = log_likelihood(model, ids) / np.log(10)
-            out = []
-            for (row, w), seq in zip(rows, ids, strict=True):
-                # sums of log10(c + 0.1): over tokens in the dictionary, and of these over the ones that no state emits
-                found = np.fromiter(map(dict_c.get, w, [0] * len(w)), np.int64, len(w))
-                in_dict = found > 0
-                v = np.where(found < 1 << 16, logs[np.minimum(found, (1 << 16) - 1)], np.log10(found + 0.1))
-                all_, class_ = float(v[in_dict].sum()), float(v[in_dict & (seq[:-1] == other)].sum())
-                ended = float(np.log10(end_c + 0.1))
-                classed = int((seq == other).sum())
-                rare = Counter(w[i] for i in np.flatnonzero(~in_dict)) if not in_dict.all() else {}
-                out.append((len(w) + 1, int(in_dict.sum()) + (end_c > 0), all_ + ended - (len(w) + 1) * np.log10(below), hmm[len(out)] + class_ + (ended if end == other else 0.0) - classed * np.log10(rest), [{"word": k.decode(), "n": n} for k, n in sorted(rare.items())]))
-            cols = [pa.array([r[f.name] for r, _ in rows]) for f in fields]
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), arrow]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.name for f in fields] + ["n_tokens", "n_known", "base_score", "score", "rare"])
-
-    part = shared_table(docs.mapInArrow(tidy("hmm", run), schema).withColumn("row", F.monotonically_increasing_id()))
-    # what the dictionary lacks: each such word of a text meets the full counts; unseen words count 0
-    rare = part.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    unseen = counts.join(known.select("word"), "word", "left_anti")
-    found = rare.join(unseen, "word", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    sums = found.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
-    out = part.drop("rare").join(sums, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select(*keep, "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+        local: dict[bytes, int] = {}
+        ids, size, held = array("i"), array("i"), []
+
+        def out():
+            cols = [pa.array([x], f.type) for x, f in zip(([w.decode() for w in local], np.array(ids, np.int32), np.array(size, np.int32), held), schema, strict=True)]
+            rb = pa.RecordBatch.from_arrays(cols, schema=schema)
+            local.clear()
+            held.clear()
+            del ids[:], size[:]
+            return rb
+
+        for b in batches:
+            for row in b.to_pylist():
+                w = [*words(row.pop("text")), END.encode()]
+                ids.extend([local.setdefault(x, len(local)) for x in w])
+                size.append(len(w))
+                held.append(row)
+                if len(ids) >= CELL_TOKENS:
+                    yield out()
+        if size:
+            yield out()
+
+    spark_rows = kept.schema.simpleString()
+    made = docs.mapInArrow(tidy("hmm", run), f"words array<string>, ids array<int>, size array<int>, rows array<{spark_rows}>")
+    return shared_table(made.withColumn("cell", F.monotonically_increasing_id()))
+
+
+@dataclass
+class Trained:
+    """words (word, id, c): all counted words, with an id where the states emit them. The emission of a word is
+    (prior * c + s) / total, s its row of sums (id, s0, s1, ...), floats as they travel; other is the class of all tokens without an id."""
+
+    words: DataFrame
+    sums: DataFrame
+    n_all: int
+    v_all: int
+    rest: float
+    start: np.ndarray
+    move: np.ndarray
+    other: np.ndarray
+    prior: float
+    total: np.ndarray
+
+
+def places(made: DataFrame, words_: DataFrame) -> DataFrame:
+    """(cell, pos, id, c) of the words of each cell."""
+    return shared_table(made.select("cell", F.posexplode("words").alias("pos", "word")).join(words_, "word", "left").select("cell", "pos", "id", F.coalesce("c", F.lit(0)).alias("c")))
+
+
+def by_cell(made: DataFrame, at: DataFrame, m: Trained, run, schema: str, *columns: str) -> DataFrame:
+    """run(model over a cell's words, their ids (-1: none), their counts, the cell) for all cells; schema is what it gives."""
+    k, (start, move, other, prior, total) = len(m.start), (m.start, m.move, m.other, m.prior, m.total)
+
+    def task(key, left, right):
+        left = left.take(np.argsort(left.column("pos").to_numpy()))
+        c = left.column("c").to_numpy()
+        ids = left.column("id").fill_null(-1).to_numpy()
+        s = np.stack([left.column(f"s{j}").fill_null(0.0).to_numpy().astype(float) for j in range(k)], axis=1)
+        emit = np.where((ids < 0)[:, None], other, (prior * c[:, None] + s) / total)
+        return run(Model(start, move, emit), ids, c, right)
+
+    joined = at.join(m.sums, "id", "left")
+    return joined.groupBy("cell").cogroup(made.select("cell", "ids", "size", *columns).groupBy("cell")).applyInArrow(task, schema)
+
+
+def spread(size: np.ndarray):
+    """Runs of texts (from, to) of about BATCH_TOKENS tokens."""
+    ends, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH_TOKENS, side="right")))
+        yield a, b
+        a = b
+
+
+def release(spark) -> None:
+    """Have Spark delete the shuffle files of plans that are done: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def train(docs: DataFrame, counts: DataFrame, states: int = STATES, emitted: int | None = None, rounds: int = ROUNDS) -> Trained:
+    """Baum-Welch over all rows of docs. All words emit, or only the emitted most frequent ones."""
+    numbered = counts if emitted is None else counts.orderBy(F.desc("c"), "word").limit(emitted)
+    numbered = shared_table(numbered.withColumn("id", F.monotonically_increasing_id()))
+    known = numbered if emitted is None else shared_table(counts.join(numbered.select("word", "id"), "word", "left"))
+    n_all, v_all = (int(x) for x in counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first())
+    n_own, v_own = (int(x) for x in numbered.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first())
+    rest = n_all - n_own + 0.1 * (v_all - v_own + 1)
+    mass, names = n_own + rest, [f"s{j}" for j in range(states)]
+    # unigram shares shaken word by word, and states that last: texts of like words soon share a state
+    shaken = [(F.col("c") / mass * -F.log((F.pmod(F.xxhash64("word", F.lit(j)), F.lit(1 << 31)) + 1) / float((1 << 31) + 1))).cast("float").alias(names[j]) for j in range(states)]
+    sums = numbered.select("id", *shaken)
+    share = np.full(states, rest / mass)
+    total = np.array([x or 0.0 for x in sums.agg(*(F.sum(x) for x in names)).first()]) + share
+    first = Model.first(np.ones(1), states)
+    m = Trained(known, sums, n_all, v_all, rest, first.start, first.move, share / total, 0.0, total)
+    if not n_all:
+        return m
+    release(docs.sparkSession)
+    made = cells(docs.select("text", F.lit(True).alias("any")))  # rows need a column
+    at = places(made, known)
+
+    def run(model, ids, c, cell):
+        flat, size = cell.column("ids").combine_chunks().values.to_numpy(), cell.column("size").combine_chunks().values.to_numpy().astype(np.int64)
+        begin = np.cumsum(size) - size
+        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(ids), states))
+        for a, b in spread(size):
+            expect(model, flat, begin[a:b], size[a:b], start, move, emit)
+        own = ids >= 0
+        table = np.concatenate([emit[own], emit[~own].sum(axis=0)[None], start[None], emit.sum(axis=0)[None], move])
+        keys = np.concatenate([ids[own], -1 - np.arange(3 + states)])
+        return pa.Table.from_arrays([pa.array(keys, pa.int64()), *(pa.array(table[:, j], pa.float32()) for j in range(states))], names=["id", *names])
+
+    for _ in range(rounds):
+        found = by_cell(made, at, m, run, "id long, " + ", ".join(f"{x} float" for x in names))
+        sums = shared_table(found.groupBy("id").agg(*(F.sum(x).cast("float").alias(x) for x in names)))
+        del found
+        release(docs.sparkSession)
+        got = {-1 - r["id"]: np.array(r[1:]) for r in sums.where("id < 0").collect()}  # a row for each state and three more
+        total = PRIOR + got[2]
+        move = np.eye(states) * STICK + 1.0 + np.stack([got[3 + j] for j in range(states)])
+        m = Trained(known, sums, n_all, v_all, rest, (1 + got[1]) / (1 + got[1]).sum(), move / move.sum(axis=1, keepdims=True), (PRIOR * share + got[0]) / total, PRIOR / mass, total)
+    return m
+
+
+def score(docs: DataFrame, counts: DataFrame, trained: Trained, dictionary: int | None = None) -> DataFrame:
+    """docs' columns but text, with n_tokens, n_known, train_tokens, base_score and score. (All counts are met by cell,
+    whatever dictionary says.)"""
+    m = trained
+    kept = docs.drop("text").schema
+    names = [f.name for f in kept.fields]
+    below, rest, n_all = float(np.log10(m.n_all + 0.1 * (m.v_all + 1))), float(np.log10(m.rest)), m.n_all
+    made = cells(docs)
+
+    def run(model, ids, c, cell):
+        flat, size = cell.column("ids").combine_chunks().values.to_numpy(), cell.column("size").combine_chunks().values.to_numpy().astype(np.int64)
+        begin = np.cumsum(size) - size
+        logs = np.log10(c + 0.1)
+        in_class = np.where(ids < 0, logs - rest, 0.0)
+        per = lambda x: np.add.reduceat(x[flat], begin)
+        hmm = np.concatenate([log_likelihood(model, [flat[i : i + n] for i, n in zip(begin[a:b], size[a:b], strict=True)]) for a, b in spread(size)])
+        rows = cell.column("rows").combine_chunks().values
+        cols = [*rows.flatten(), pa.array(size), pa.array(per((c > 0).astype(np.int64))), pa.array(np.full(len(size), n_all)), pa.array(per(logs) - size * below), pa.array(hmm / np.log(10) + per(in_class))]
+        return pa.Table.from_arrays(cols, names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
+    return by_cell(made, places(made, m.words), m, run, schema, "rows")
 
 
 def op10_hmm_scores(spark, sf_dir: str) -> DataFrame:

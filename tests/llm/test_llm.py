@@ -244,6 +244,38 @@ def test_hmm(docs, empty):
     assert hmm.score(own, nothing, hmm.train(empty, nothing)).count() == len(ROWS)
 
 
+def test_hmm_learns_all_words_over_whole_texts(spark):
+    rng = np.random.default_rng(1)
+    m = hmm.Model.first(np.full(10, 0.1), 3)
+    m.move, m.start, m.emit = rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(10), 3).T
+    size = np.array([1, 8, 9, 100, 57])
+    ids, begin = rng.integers(0, 10, size.sum()), np.cumsum(size) - size
+    want = [np.zeros(3), np.zeros((3, 3)), np.zeros((10, 3))]
+    for b, n in zip(begin, size, strict=True):  # plain forward and backward sums
+        d, beta = ids[b : b + n], [np.ones(3)]
+        alpha = [m.start * m.emit[d[0]]]
+        for w in d[1:]:
+            alpha.append((alpha[-1] @ m.move) * m.emit[w])
+        for w in d[:0:-1]:
+            beta.insert(0, m.move @ (m.emit[w] * beta[0]))
+        p = alpha[-1].sum()
+        want[0] += alpha[0] * beta[0] / p
+        for t in range(n):
+            want[2][d[t]] += alpha[t] * beta[t] / p
+            if t:
+                want[1] += np.outer(alpha[t - 1], m.emit[d[t]] * beta[t]) * m.move / p
+    for whole in (8, 1000):
+        got = [np.zeros(3), np.zeros((3, 3)), np.zeros((10, 3))]
+        hmm.expect(m, ids, begin, size, *got, whole=whole, chunk=7)
+        assert all(np.allclose(x, y) for x, y in zip(got, want, strict=True))
+    rows = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(1500 * i, 1500 * i + 1500))) for i in range(15)], "doc_id long, text string").repartition(4)
+    counts = hmm.count_words(rows)
+    trained = hmm.train(rows, counts, states=2, rounds=2)
+    assert trained.words.where("id IS NOT NULL").count() == 22501 == trained.sums.where("id >= 0").count()
+    sums = trained.sums.where("id >= 0").agg({"s0": "sum", "s1": "sum"}).first()
+    assert np.isclose(sum(sums), 15 * 1501)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
