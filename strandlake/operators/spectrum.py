@@ -51,8 +51,9 @@ def abundance_distribution(counts: DataFrame) -> DataFrame:
     return counts.groupBy(F.least("count", F.lit(65535)).cast("int").alias("abundance")).agg(F.count("*").alias("n_kmers"))
 
 
-def counts_by_position(occurrences: DataFrame, max_len: int, equal: int = 0) -> DataFrame:
-    kept = occurrences.where(F.col("pos") < max_len)
+def counts_by_position(occurrences: DataFrame, max_len: int | None = None, equal: int = 0) -> DataFrame:
+    """K-mers at each position: at all of them, or at those below max_len."""
+    kept = occurrences if max_len is None else occurrences.where(F.col("pos") < max_len)
     kept = kept.where(F.col("count") == equal) if equal else kept
     return kept.groupBy("pos").agg(F.count("*").alias("n_kmers"))
 

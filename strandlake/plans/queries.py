@@ -144,6 +144,10 @@ def q_counts_by_position(s, d):
     return spectrum.counts_by_position(occurrences(s, d), 200, 1)
 
 
+def q_counts_by_every_position(s, d):
+    return spectrum.counts_by_position(occurrences(s, d), equal=1)
+
+
 def q_read_median(s, d):
     return _rounded(spectrum.read_median(occurrences(s, d), ["doc_id"]), "mean", "stddev")
 

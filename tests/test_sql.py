@@ -24,3 +24,8 @@ def test_same_as_sql(spark, con, name):
     columns = sorted(a.columns)
     assert columns == sorted(b.columns)
     assert sorted(map(tuple, a[columns].values.tolist()), key=str) == sorted(map(tuple, b[columns].values.tolist()), key=str)
+
+
+def test_counts_by_every_position(spark, con):
+    got = sorted(map(tuple, Q.QUERIES["counts_by_every_position"](spark, DIR).collect()))
+    assert got == sorted(con.sql(Q.D + 'SELECT pos, count(*) AS n_kmers FROM occ WHERE "count" = 1 GROUP BY pos').fetchall()) and got[-1][0] >= 200
