@@ -183,9 +183,16 @@ def q_filter_present(s, d):
     return spectrum.reads_without(km, known, ["doc_id"])
 
 
+def _revcomp_decode(words: DataFrame, *keep: str) -> DataFrame:
+    return words.select(*keep, K.reverse_complement(F.col("w")).alias("revcomp"), K.decode(K.kmer_hash(F.col("w"), DNA_K), DNA_K).alias("canonical"), K.forward_hash(F.col("w"), DNA_K).alias("forward"))
+
+
 def q_revcomp_decode(s, d):
-    seq = dna(s, d).where(F.length("sequence") >= DNA_K).select("doc_id", F.substring("sequence", 1, DNA_K).alias("w"))
-    return seq.select("doc_id", K.reverse_complement(F.col("w")).alias("revcomp"), K.decode(K.kmer_hash(F.col("w"), DNA_K), DNA_K).alias("canonical"), K.forward_hash(F.col("w"), DNA_K).alias("forward"))
+    return _revcomp_decode(dna(s, d).where(F.length("sequence") >= DNA_K).select("doc_id", F.substring("sequence", 1, DNA_K).alias("w")), "doc_id")
+
+
+def q_revcomp_decode_all(s, d):
+    return _revcomp_decode(dna(s, d).select("doc_id", F.posexplode(K.kmers(F.col("sequence"), DNA_K)).alias("pos", "w")), "doc_id", "pos")
 
 
 def q_read_validate(s, d):

@@ -29,3 +29,10 @@ def test_same_as_sql(spark, con, name):
 def test_counts_by_every_position(spark, con):
     got = sorted(map(tuple, Q.QUERIES["counts_by_every_position"](spark, DIR).collect()))
     assert got == sorted(con.sql(Q.D + 'SELECT pos, count(*) AS n_kmers FROM occ WHERE "count" = 1 GROUP BY pos').fetchall()) and got[-1][0] >= 200
+
+
+def test_revcomp_decode_of_every_kmer(spark, con):
+    rc = "reverse(translate(w, 'ACGT', 'TGCA'))"
+    want = con.sql(Q.D + f"SELECT doc_id, pos, {rc}, CASE WHEN kmer = f THEN w ELSE {rc} END, f FROM words JOIN codes USING (w)").fetchall()
+    got = Q.QUERIES["revcomp_decode_all"](spark, DIR).select("doc_id", "pos", "revcomp", "canonical", "forward").collect()
+    assert len(got) > 1000 and sorted(map(tuple, got)) == sorted(want)
