@@ -2,7 +2,7 @@
 
 A text is cut by the tokenizer's own pattern into words, each of which the tokenizers library encodes once and
 a bounded cache keeps. A text with any character outside a plain set (where two Unicode tables, or composition,
-could differ) goes to the library whole.
+could differ), or with the string of an added token (which the library makes that token's id), goes to the library whole.
 """
 
 from __future__ import annotations
@@ -37,14 +37,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.find = re.compile(PATTERNS[kind]).findall
         self.odd = re.compile(f"[^{PLAIN}]").search
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lower, self.letters, self.cache, self.most = kind == "word", byte_letters(), {}, CACHE_WORDS[kind]
 
     def encode(self, text: str) -> bytes:
-        if self.odd(text):
+        if self.odd(text) or any(a in text for a in self.added):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         words = self.find(text.lower() if self.lower else text)
         new = set(words).difference(self.cache)
