@@ -1,9 +1,10 @@
 """Best-fit packing of token pieces into sequences, improved by swap-based local search.
 
 Documents are tokenised where they are read; only longer ones than a sequence are cut. The pieces (a few dozen
-bytes each) are dealt evenly to shards of bounded size. A shard starts from best fit in decreasing order and then
-takes its emptiest bins apart: documents move to bins with room, are exchanged one for one, or one is exchanged for
-two, each step raising the sum of squared fills, until bins are empty. Shards cost at most a bin or so each.
+bytes each) are dealt evenly to shards of bounded size. A shard starts from best fit in decreasing order. Then local search
+takes its underfull bins apart, the emptiest first: a document moves to a bin with room, or is exchanged for a smaller one, two
+for one or one for two, and every step raises the sum of squared fills. The search ends when the bins are as few as the
+tokens allow, when no step is left, or after STEPS_A_PIECE steps for each piece. Shards cost at most a bin or so each.
 
 Defined cases: null text is empty (the end id alone); every row is packed, repeated ones too; ids may be null; an
 empty table gives an empty result; other columns are ignored.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import shared_table, ship, texts, tidy
 from .tokens import END, encoder
 
-CAPACITY, SHARD_PIECES, PATIENCE = 2048, 20_000, 40
+CAPACITY, SHARD_PIECES, STEPS_A_PIECE = 2048, 20_000, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -66,71 +67,96 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+class LocalSearch:
+    """Bins whose documents are exchanged; the sum of squared fills rises with every step."""
+
+    def __init__(self, sizes: np.ndarray, bins: list[list[int]], capacity: int):
+        self.sizes, self.capacity = sizes, capacity
+        self.own = [set(x) for x in bins]
+        self.owner = np.empty(len(sizes), np.int64)
+        for b, items in enumerate(bins):
+            self.owner[items] = b
+        self.fill = np.array([sizes[items].sum() for items in bins], np.int64)
+
+    def put(self, i: int, to: int) -> None:
+        a = int(self.owner[i])
+        self.own[a].discard(i)
+        self.own[to].add(i)
+        self.owner[i] = to
+        self.fill[a] -= self.sizes[i]
+        self.fill[to] += self.sizes[i]
+
+    def exchange(self, b: int, out: list[int], back: list[int], to: int) -> bool:
+        for i in back:
+            self.put(i, b)
+        for i in out:
+            self.put(i, to)
+        return True
+
+    def step(self, b: int) -> bool:
+        """One step that takes tokens from bin b to another underfull bin: t gains d when d fits and t + d > b."""
+        fill, sizes, room = self.fill, self.sizes, self.capacity - self.fill
+        others = np.flatnonzero((room > 0) & (fill > 0))
+        others = others[others != b]
+        if not len(others):
+            return False
+        mine = sorted(self.own[b], key=lambda i: -sizes[i])
+        space, level, below = room[others], fill[others], int(fill[b])
+        for i in mine:  # move: the tightest bin
+            ok = np.flatnonzero((space >= sizes[i]) & (level + sizes[i] > below))
+            if len(ok):
+                return self.exchange(b, [i], [], int(others[ok[space[ok].argmin()]]))
+        near = np.array([i for t in others.tolist() for i in self.own[t]])
+        size, space, level = sizes[near], room[self.owner[near]], fill[self.owner[near]]
+
+        def best(total: int) -> int:
+            gain = total - size
+            ok = np.flatnonzero((gain > 0) & (gain <= space) & (level + gain > below))
+            return int(near[ok[gain[ok].argmax()]]) if len(ok) else -1
+
+        for i in mine:  # one for one
+            j = best(int(sizes[i]))
+            if j >= 0:
+                return self.exchange(b, [i], [j], int(self.owner[j]))
+        tried = set()
+        for x, i in enumerate(mine):  # two for one
+            for k in mine[x + 1 :]:
+                total = int(sizes[i] + sizes[k])
+                if total not in tried and total < self.capacity:
+                    tried.add(total)
+                    j = best(total)
+                    if j >= 0:
+                        return self.exchange(b, [i, k], [j], int(self.owner[j]))
+        wanted = sorted({int(sizes[i]): i for i in mine}.items(), reverse=True)
+        for t in others.tolist():  # one for two
+            theirs = sorted(self.own[t], key=lambda i: -sizes[i])
+            for s, i in wanted:
+                if not theirs or s <= 2 * sizes[theirs[-1]]:
+                    continue
+                low, high = s - int(room[t]), s - 1  # what the two may sum to
+                a, z = 0, len(theirs) - 1
+                while a < z:
+                    two = int(sizes[theirs[a]] + sizes[theirs[z]])
+                    if two > high:
+                        a += 1
+                    elif two < low or fill[t] + s - two <= below:
+                        z -= 1
+                    else:
+                        return self.exchange(b, [i], [theirs[a], theirs[z]], t)
+        return False
+
+
 def improve(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """Empty the emptiest bins one after another; stop when PATIENCE of them in a row stay."""
-    owner = np.empty(len(sizes), np.int64)
-    for b, items in enumerate(bins):
-        owner[items] = b
-    fill = np.array([sizes[items].sum() for items in bins])
-    own = [set(x) for x in bins]
-    misses = 0
-    for b in np.argsort(fill, kind="stable").tolist():
-        if misses >= PATIENCE or fill[b] >= capacity:
-            break
-        before = (owner.copy(), fill.copy(), {})
-        touched = before[2]
-        dead = False
-
-        def put(i, to):
-            a = int(owner[i])
-            for x in (a, to):
-                touched.setdefault(x, set(own[x]))
-            own[a].discard(i)
-            own[to].add(i)
-            owner[i] = to
-            fill[a] -= sizes[i]
-            fill[to] += sizes[i]
-
-        while own[b] and not dead:
-            room = capacity - fill
-            room[b] = 0
-            moved = False
-            for i in sorted(own[b], key=lambda i: -sizes[i]):  # move: the tightest bin with room
-                ok = np.flatnonzero((room >= sizes[i]) & (fill > 0))
-                if len(ok):
-                    put(i, int(ok[room[ok].argmin()]))
-                    moved = True
-                    break
-            if moved:
-                continue
-            slack = room[owner]
-            for i in sorted(own[b], key=lambda i: -sizes[i]):  # one for one: a smaller document comes back
-                gain = sizes[i] - sizes
-                ok = np.flatnonzero((gain > 0) & (gain <= slack) & (fill[owner] >= fill[b]))
-                if len(ok):
-                    j = int(ok[gain[ok].argmax()])
-                    to = int(owner[j])
-                    put(j, b)
-                    put(i, to)
-                    moved = True
-                    break
-            if not moved and len(own[b]) >= 2:  # two for one: two small documents go out, a larger one than neither leaves less
-                pair = sorted(own[b], key=lambda i: sizes[i])[:2]
-                gain = sizes[pair].sum() - sizes
-                ok = np.flatnonzero((gain > 0) & (gain <= slack) & (fill[owner] >= fill[b]))
-                if len(ok):
-                    j = int(ok[gain[ok].argmax()])
-                    to = int(owner[j])
-                    put(j, b)
-                    for i in pair:
-                        put(i, to)
-                    moved = True
-            dead = not moved
-        if own[b]:
-            misses += 1
-        else:
-            misses = 0
-    return [sorted(x, key=lambda i: -sizes[i]) for x in own if x]
+    """bins after local search over their underfull ones, in passes until one changes nothing."""
+    search = LocalSearch(sizes, bins, capacity)
+    least, alive, left, changed = -(-int(sizes.sum()) // capacity), len(bins), STEPS_A_PIECE * len(sizes), True
+    while changed and alive > least and left > 0:
+        changed = False
+        for b in np.argsort(search.fill, kind="stable").tolist():
+            while search.own[b] and search.fill[b] < capacity and alive > least and left > 0 and search.step(b):
+                changed, left = True, left - 1
+                alive -= not search.own[b]
+    return [sorted(x, key=lambda i: -sizes[i]) for x in search.own if x]
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
