@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -31,9 +32,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where the cluster names none (tests)."""
+    """The folder that all executors share. Where none is named one is made for a local master (tests); a cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="strandlake-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -44,7 +48,35 @@ def shared_table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._strandlake_path = path
+    return found
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete shared tables whose readers are done, and have Spark delete the shuffle files of plans that are done (it does so
+    when the driver's JVM collects its garbage)."""
+    for t in tables:
+        spark, path = t.sparkSession, t._strandlake_path
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def few(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of ids (a long or a 16-byte key and little else), to be broadcast where it is counted as at most that
+    many rows (some 50 MB), and joined by a shuffle where not. The result is the same."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def texts(docs: DataFrame, *keep: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cache, crc_remainder, ship, texts, tidy
 
 BEGIN = (4, 5, 6, 7, 8)
-TRAIN_ROWS, MAX_TERMS, MIN_RATIO, WINDOW, CACHE_WORDS = 20_000, 400, 25.0, 8, 300_000
+TRAIN_ROWS, MIN_RATIO, WINDOW, CACHE_WORDS = 20_000, 25.0, 8, 300_000
 WORD = re.compile(r"[^\W_]+")
 QUOTES = '"“”„«»'
 #: Words of report before a quotation and words that address a reader.
@@ -193,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS):
         for b in batches:
             out_t, out_y = [], []
             for text, y in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
-                own = {w for w in WORD.findall(text.as_py().lower()) if 3 <= len(w) <= 40}
+                own = set(WORD.findall(text.as_py().lower()))
                 own |= {w[:k] + "*" for w in own for k in BEGIN if len(w) > k}
                 out_t += own
                 out_y += [y] * len(own)
@@ -203,12 +203,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS):
     ratio = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1))
     least = max(3, round(0.008 * bad))
     top = counts.where(F.col("bad") >= least).select("term", "bad", ratio.alias("ratio")).where(F.col("ratio") >= MIN_RATIO)
-    found = top.orderBy(F.desc("bad"), F.desc("ratio"), "term").limit(4 * MAX_TERMS).collect()
+    found = top.collect()  # each is in at least 1 of 125 toxic rows of at most max_rows: bounded by their texts' length
     bad_of = {r["term"]: r["bad"] for r in found}
     ratio_of = {r["term"]: float(np.log(r["ratio"])) for r in found}
     terms: dict[str, float] = {}
     for t in sorted(bad_of, key=lambda t: (-bad_of[t], t)):
-        if len(terms) < MAX_TERMS and not any(t.rstrip("*")[:k] + "*" in terms for k in BEGIN):
+        if not any(t.rstrip("*")[:k] + "*" in terms for k in BEGIN):
             terms[t] = ratio_of[t]  # a term adds nothing beside a beginning of it
     for t in [t for t in terms if t.endswith("*")]:  # a beginning that is nearly always one word is that word
         whole = [w for w in bad_of if not w.endswith("*") and w.startswith(t[:-1]) and bad_of[w] >= 0.8 * bad_of[t]]
@@ -229,9 +229,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS):
     return terms, fit_logistic(np.array([r["f"] for r in got]), np.array([r["toxic"] for r in got], float)).tolist()
 
 
-def score(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
-    """All columns of docs, with score and predicted."""
-    ship(docs.sparkSession)
+def probability(model):
+    """A function of a text column: the model's probability that the text is toxic."""
     terms, weights = model
 
     @F.arrow_udf("double")
@@ -241,7 +240,13 @@ def score(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
         f = np.array([features(t.as_py() or "", lexicon) for t in text]).reshape(len(text), FEATURES)
         return pa.array(1 / (1 + np.exp(-np.clip(f @ w[:-1] + w[-1], -30, 30))))
 
-    scored = docs.withColumn("score", toxic("text"))
+    return toxic
+
+
+def score(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
+    """All columns of docs, with score and predicted (columns of these names are replaced)."""
+    ship(docs.sparkSession)
+    scored = docs.withColumn("score", probability(model)("text"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
