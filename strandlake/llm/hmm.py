@@ -1,22 +1,27 @@
 """Hidden Markov language model: Baum-Welch counts summed by Spark, exact likelihood by the scaled forward recursion.
 
-Words: A-Z lower-cased, cut at ASCII white space, then one end. The states emit every word of the training rows; a class
-stands for all others, and inside it a token has its share of the unigram (c + 0.1), so the model is proper over all words.
-The emissions are a table (word, state) that Spark sums and joins: texts are dealt to cells of up to CELL_TOKENS tokens, and
-a cell meets the rows of its own words only, so no worker and no driver holds the whole table.
+Words: A-Z lower-cased, cut at ASCII white space, then one end. The states emit every word; a state's emission is its expected
+count of the word plus STRENGTH times its share of the unigram (c + 0.1), so a word that training lacks is emitted as well.
+
+1. Texts are tokenised once, where they are read, into cells of up to CELL_TOKENS tokens: ids in the cell's own word list, which
+   is sorted by 128-bit hashes of the words. Blocks are ranges of these hashes, so a cell's list is a row of block slices.
+2. For each block the slices of all cells are numbered in the block's words and their training counts summed, once.
+3. A round is one job: cells meet their slices of the emissions, run forward and backward over their training texts and
+   send slices of expected counts to the blocks; the blocks add them up and cut the next emissions for the cells. Slices
+   travel as the upper halves of 32-bit floats, the last ones, which score, as whole ones. No worker and no driver holds the table
+   of all words, and what is gathered grows with the corpus.
+4. Rounds end when the log likelihood a token rises by less than TOLERANCE, or after ROUNDS.
 
 Training and scores run over whole texts: the forward operators (K x K, scaled) of a long text's chunks are computed side by
-side and chained, and so transitions across the borders of chunks count like all others. STATES and ROUNDS are fixed.
+side and chained, and so transitions across the borders of chunks count like all others.
 
 Defined cases: null text is empty (one end token); without training rows counts are zero and the model is the base
-score; every row is scored, repeated ones too; ids may be null; an empty table gives an empty result.
+score; every row is scored, repeated ones too; ids may be null; an empty table gives an empty result; other columns stay.
 """
 
 from __future__ import annotations
 
-import gc
 from array import array
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,41 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, shared_table, ship, texts, tidy
+from .common import crc_remainder, drop_tables, shared_table, ship, texts, tidy
 
-STATES, ROUNDS, CELL_TOKENS = 6, 4, 4_000_000
+STATES, ROUNDS, TOLERANCE, CELL_TOKENS, BLOCK_PAIRS = 6, 4, 0.005, 4_000_000, 131_072
 END = " end"  # holds a space, so no word equals it
-PRIOR, STICK, BATCH_TOKENS = 50.0, 20.0, 400_000
+STRENGTH, STICK, BATCH_TOKENS, TURNS = 0.1, 20.0, 400_000, 64
 
 
 def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) over the given rows, summed in each task first."""
-
-    def run(batches):
-        own: Counter = Counter()
-
-        def out():
-            keys = [w.decode() for w in own]
-            rb = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(list(own.values()), pa.int64())], names=["word", "c"])
-            own.clear()
-            return rb
-
-        for b in batches:
-            own[END.encode()] += b.num_rows
-            for t in b.column("text"):
-                own.update(words(t.as_py()))
-                if len(own) > 400_000:
-                    yield out()
-        if own:
-            yield out()
-
-    return docs.select("text").mapInArrow(tidy("hmm", run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
 class Model:
     """start (K), move (K, K), emit (words + 1, K); the last row of emit is the class of all other tokens."""
 
@@ -69,7 +50,11 @@ class Model:
     def first(p: np.ndarray, k: int, seed: int = 11) -> Model:
         """Unigram shares shaken word by word, and states that last: segments of like words soon share a state."""
         emit = p[:, None] * np.random.default_rng(seed).gamma(0.7, 1.0, (len(p), k))
-        return Model(np.full(k, 1 / k), np.full((k, k), 0.02 / max(1, k - 1)) + np.eye(k) * (0.98 - 0.02 / max(1, k - 1)), emit / np.maximum(emit.sum(axis=0), 1e-300))
+        return Model(np.full(k, 1 / k), lasting(k), emit / np.maximum(emit.sum(axis=0), 1e-300))
+
+
+def lasting(k: int) -> np.ndarray:
+    return np.full((k, k), 0.02 / max(1, k - 1)) + np.eye(k) * (0.98 - 0.02 / max(1, k - 1))
 
 
 def operators(model: Model, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, inside: np.ndarray) -> np.ndarray:
@@ -112,14 +97,15 @@ def expect(model: Model, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, s
     order = np.argsort(-size, kind="stable")
     begin, size, enter, leave, before, opens = begin[order], size[order], enter[order], leave[order], before[order], nth[order] == 0
     longest = int(size[0])
-    live = np.append(np.searchsorted(-size, -np.arange(longest), side="left"), 0)  # chunks longer than t
-    a, scales, seen = [], [], []
+    live = np.append(np.searchsorted(-size, -np.arange(longest), side="left"), 0).tolist()  # chunks longer than t
+    a, scales, seen, ones = [], [], [], np.ones(k)
     for t in range(longest):
         n = live[t]
         w = ids[begin[:n] + t]
         x = (enter if t == 0 else a[-1][:n] @ model.move) * model.emit[w]
-        s = x.sum(axis=1)
-        a.append(x / s[:, None])
+        s = x @ ones
+        x /= s[:, None]
+        a.append(x)
         scales.append(s)
         seen.append(w)
     gammas, back = [None] * longest, np.empty((0, k))
@@ -180,25 +166,54 @@ def log_likelihood(model: Model, docs: list[np.ndarray], whole: int = 4096, chun
     return total
 
 
+def half(x: np.ndarray) -> bytes:
+    """The upper halves of 32-bit floats, rounded."""
+    return ((np.ascontiguousarray(x, np.float32).view(np.uint32) + np.uint32(0x8000)) >> np.uint32(16)).astype("<u2").tobytes()
+
+
+def unhalf(raw: bytes) -> np.ndarray:
+    return (np.frombuffer(raw, "<u2").astype(np.uint32) << np.uint32(16)).view(np.float32)
+
+
 def cells(docs: DataFrame) -> DataFrame:
-    """Texts dealt to cells: (cell, words, ids, size, rows): the cell's words, the texts as places in them one after the
-    other, their sizes, and docs' other columns."""
+    """Texts dealt to cells: (cell, ids, size, learn, rows, place, hashes, c): ids of the texts one after the other, ranked by frequency
+    and packed; sizes; which texts train; docs' other columns; and of the cell's words, in order of their hashes, the
+    id, the hash and the count in its training texts."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kept = docs.drop("text")
-    rows = pa.struct(list(to_arrow_schema(kept.schema)))
-    schema = pa.schema([("words", pa.list_(pa.string())), ("ids", pa.list_(pa.int32())), ("size", pa.list_(pa.int32())), ("rows", pa.list_(rows))])
+    kind = pa.struct(list(to_arrow_schema(kept.schema)))
+    schema = pa.schema([("cell", pa.int64()), ("ids", pa.binary()), ("size", pa.binary()), ("learn", pa.binary()), ("rows", pa.list_(kind)), ("place", pa.binary()), ("hashes", pa.binary()), ("c", pa.binary())])
 
     def run(batches):
+        import xxhash
+        import zstandard
+        from pyspark import TaskContext
+
         local: dict[bytes, int] = {}
-        ids, size, held = array("i"), array("i"), []
+        ids, size, held, nth = array("i"), array("i"), [], TaskContext.get().partitionId() << 32
 
         def out():
-            cols = [pa.array([x], f.type) for x, f in zip(([w.decode() for w in local], np.array(ids, np.int32), np.array(size, np.int32), held), schema, strict=True)]
-            rb = pa.RecordBatch.from_arrays(cols, schema=schema)
+            nonlocal nth
+            own, lengths = np.array(ids, np.int32), np.array(size, np.int32)
+            learn = np.array([bool(r["learn"]) for r in held], np.uint8)
+            by_rank = np.argsort(-np.bincount(own, minlength=len(local)), kind="stable")
+            rank = np.empty(len(local), np.int32)
+            rank[by_rank] = np.arange(len(local), dtype=np.int32)
+            own = rank[own]
+            digest = xxhash.xxh3_128_digest
+            hashes = np.frombuffer(b"".join([digest(w) for w in local]), ">u8").reshape(-1, 2)
+            order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+            place = rank[order]
+            c = np.bincount(own[np.repeat(learn, lengths).astype(bool)], minlength=len(local))[place].astype("<i4")
+            pack = zstandard.ZstdCompressor(level=1).compress
+            planes = np.ascontiguousarray(own.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            row = (nth, pack(planes.tobytes()), lengths.tobytes(), learn.tobytes(), held, place.astype("<i4").tobytes(), hashes[order].tobytes(), c.tobytes())
+            rb = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
             local.clear()
             held.clear()
             del ids[:], size[:]
+            nth += 1
             return rb
 
         for b in batches:
@@ -212,47 +227,125 @@ def cells(docs: DataFrame) -> DataFrame:
         if size:
             yield out()
 
-    spark_rows = kept.schema.simpleString()
-    made = docs.mapInArrow(tidy("hmm", run), f"words array<string>, ids array<int>, size array<int>, rows array<{spark_rows}>")
-    return shared_table(made.withColumn("cell", F.monotonically_increasing_id()))
+    return shared_table(docs.mapInArrow(tidy("hmm", run), f"cell long, ids binary, size binary, learn binary, rows array<{kept.schema.simpleString()}>, place binary, hashes binary, c binary"))
+
+
+def unpacked(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, sizes, learn and place of the one row of a cell."""
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(cell.column("ids")[0].as_py()), np.uint8).reshape(4, -1)
+    ids = np.ascontiguousarray(raw.T).view("<u4").reshape(-1).astype(np.int32)
+    of = lambda name, kind: np.frombuffer(cell.column(name)[0].as_py(), kind)
+    return ids, of("size", "<i4").astype(np.int64), of("learn", np.uint8).astype(bool), of("place", "<i4")
 
 
 @dataclass
 class Trained:
-    """words (word, id, c): all counted words, with an id where the states emit them. The emission of a word is
-    (prior * c + s) / total, s its row of sums (id, s0, s1, ...), floats as they travel; other is the class of all tokens without an id."""
-
-    words: DataFrame
-    sums: DataFrame
-    n_all: int
-    v_all: int
-    rest: float
+    """emissions (block, cell, em): the slices of all cells, 32-bit floats (word, state), and c, the words' counts; the emission of a
+    word is its float over total. tokens and types: of the training rows. likelihoods: natural logs a token, round by round."""
+
+    made: DataFrame
+    emissions: DataFrame
+    tokens: int
+    types: int
     start: np.ndarray
     move: np.ndarray
-    other: np.ndarray
-    prior: float
     total: np.ndarray
+    likelihoods: list[float]
 
 
-def places(made: DataFrame, words_: DataFrame) -> DataFrame:
-    """(cell, pos, id, c) of the words of each cell."""
-    return shared_table(made.select("cell", F.posexplode("words").alias("pos", "word")).join(words_, "word", "left").select("cell", "pos", "id", F.coalesce("c", F.lit(0)).alias("c")))
-
-
-def by_cell(made: DataFrame, at: DataFrame, m: Trained, run, schema: str, *columns: str) -> DataFrame:
-    """run(model over a cell's words, their ids (-1: none), their counts, the cell) for all cells; schema is what it gives."""
-    k, (start, move, other, prior, total) = len(m.start), (m.start, m.move, m.other, m.prior, m.total)
+def index(made: DataFrame) -> DataFrame:
+    """(block, cell, at, hashes, c): for each block and cell the places of the cell's words in the block's; where cell is -1,
+    the block's words and their training counts."""
+    pairs = made.agg(F.sum(F.length("c") / 4)).first()[0] or 0
+    bits = max(0, int(pairs // BLOCK_PAIRS).bit_length())
 
-    def task(key, left, right):
-        left = left.take(np.argsort(left.column("pos").to_numpy()))
-        c = left.column("c").to_numpy()
-        ids = left.column("id").fill_null(-1).to_numpy()
-        s = np.stack([left.column(f"s{j}").fill_null(0.0).to_numpy().astype(float) for j in range(k)], axis=1)
-        emit = np.where((ids < 0)[:, None], other, (prior * c[:, None] + s) / total)
-        return run(Model(start, move, emit), ids, c, right)
-
-    joined = at.join(m.sums, "id", "left")
-    return joined.groupBy("cell").cogroup(made.select("cell", "ids", "size", *columns).groupBy("cell")).applyInArrow(task, schema)
+    def slices(batches):
+        for b in batches:
+            for cell, hashes, c in zip(*(b.column(x).to_pylist() for x in ("cell", "hashes", "c")), strict=True):
+                top = np.frombuffer(hashes, ">u8").reshape(-1, 2)[:, 0] >> np.uint64(64 - bits) if bits else np.zeros(len(c) // 4, np.uint64)
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(top.astype(np.int64))) + 1, [len(top)]]).tolist()
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(top[i])], pa.int64()), pa.array([cell], pa.int64()), pa.array([hashes[16 * i : 16 * j]], pa.binary()), pa.array([c[4 * i : 4 * j]], pa.binary())], names=["block", "cell", "hashes", "c"])
+
+    def number(key, rows):
+        raw = rows.column("hashes").to_pylist()
+        sizes = np.array([len(x) // 16 for x in raw])
+        word, where = np.unique(np.frombuffer(b"".join(raw), "V16"), return_inverse=True)
+        c = np.bincount(where, np.frombuffer(b"".join(rows.column("c").to_pylist()), "<i4"), minlength=len(word)).astype("<i8")
+        ends = np.cumsum(sizes)
+        at = [where[e - n : e].astype("<i4").tobytes() for e, n in zip(ends, sizes, strict=True)]
+        none = [None] * len(at)
+        return pa.table({"block": pa.array([key[0].as_py()] * (len(at) + 1), pa.int64()), "cell": pa.array([*rows.column("cell").to_pylist(), -1], pa.int64()), "at": pa.array([*at, None], pa.binary()), "hashes": pa.array([*none, word.tobytes()], pa.binary()), "c": pa.array([*none, c.tobytes()], pa.binary())})
+
+    dealt = made.select("cell", "hashes", "c").mapInArrow(tidy("hmm", slices), "block long, cell long, hashes binary, c binary")
+    return shared_table(dealt.groupBy("block").applyInArrow(number, "block long, cell long, at binary, hashes binary, c binary"))
+
+
+EMISSIONS = "block long, cell long, em binary, c binary, sums array<double>"
+
+
+def emissions(indexed: DataFrame, found: DataFrame | None, k: int, tokens: int, types: int, last: bool) -> DataFrame:
+    """EMISSIONS rows for all cells from the expected counts found (block, cell, em), or first ones. In the rows of cell -1, sums
+    are a block's sums by state, in those of cell -2 the sums of the start, of moves, and of the log likelihood."""
+    strength = STRENGTH * max(tokens, 1) / k
+    schema = pa.schema([("block", pa.int64()), ("cell", pa.int64()), ("em", pa.binary()), ("c", pa.binary()), ("sums", pa.list_(pa.float64()))])
+
+    def give(block, rows, sent):
+        out = []
+        if block < 0:
+            total = np.sum([np.frombuffer(x, "<f8") for x in sent.column("em").to_pylist()], axis=0)
+            out.append((block, -2, None, None, total))
+        else:
+            cell, at = rows.column("cell").to_pylist(), rows.column("at").to_pylist()
+            own = cell.index(-1)
+            c = np.frombuffer(rows.column("c")[own].as_py(), "<i8")
+            sums = np.zeros((len(c), k))
+            if sent is None:  # unigram shares shaken word by word
+                h = np.frombuffer(rows.column("hashes")[own].as_py(), "<u8").reshape(-1, 2)
+                for j in range(k):
+                    with np.errstate(over="ignore"):
+                        x = (h[:, 0] ^ np.uint64(j + 1)) * np.uint64(0x9E3779B97F4A7C15) ^ h[:, 1]
+                        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    sums[:, j] = c / k * -np.log(((x >> np.uint64(11)) + np.uint64(1)) / float((1 << 53) + 1))
+            else:
+                places = dict(zip(cell, at, strict=True))
+                for who, em in zip(sent.column("cell").to_pylist(), sent.column("em").to_pylist(), strict=True):
+                    sums[np.frombuffer(places[who], "<i4")] += unhalf(em).reshape(-1, k)
+            out.append((block, -1, None, None, sums.sum(axis=0)))
+            table = (sums + (strength * (c + 0.1) / (tokens + 0.1 * (types + 1)))[:, None]).astype("<f4")
+            for who, x in zip(cell, at, strict=True):
+                if who >= 0:
+                    x = np.frombuffer(x, "<i4")
+                    out.append((block, who, table[x].tobytes() if last else half(table[x]), c[x].tobytes() if last else None, None))
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    if found is None:
+        return shared_table(indexed.groupBy("block").applyInArrow(lambda key, rows: give(key[0].as_py(), rows, None), EMISSIONS))
+    met = indexed.groupBy("block").cogroup(found.groupBy("block"))
+    return shared_table(met.applyInArrow(lambda key, rows, sent: give(key[0].as_py(), rows, sent), EMISSIONS))
+
+
+def totals(table: DataFrame, cell: int) -> np.ndarray:
+    """The sums of the rows of that cell, added up by Spark: as many numbers as one row has."""
+    rows = table.where(F.col("cell") == cell).select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    return np.array([r["x"] for r in sorted(rows.collect(), key=lambda r: r["i"])])
+
+
+def meet(made: DataFrame, table: DataFrame, k: int, model, run, schema: str, *columns: str) -> DataFrame:
+    """run(Model of a cell's words, slices, cell) for all cells."""
+    start, move, total = model
+
+    def task(key, slices, cell):
+        slices = slices.take(np.argsort(slices.column("block").to_numpy()))
+        raw = slices.column("em").to_pylist()
+        whole = slices.column("c")[0].as_py() is not None
+        em = np.concatenate([np.frombuffer(x, "<f4") if whole else unhalf(x) for x in raw]).reshape(-1, k) / total
+        return run(em, start, move, slices, cell)
+
+    cells_ = made.select("cell", "ids", "size", "learn", "place", *columns)
+    return table.where("cell >= 0").groupBy("cell").cogroup(cells_.groupBy("cell")).applyInArrow(task, schema)
 
 
 def spread(size: np.ndarray):
@@ -264,84 +357,84 @@ def spread(size: np.ndarray):
         a = b
 
 
-def release(spark) -> None:
-    """Have Spark delete the shuffle files of plans that are done: it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def train(docs: DataFrame, counts: DataFrame, states: int = STATES, emitted: int | None = None, rounds: int = ROUNDS) -> Trained:
-    """Baum-Welch over all rows of docs. All words emit, or only the emitted most frequent ones."""
-    numbered = counts if emitted is None else counts.orderBy(F.desc("c"), "word").limit(emitted)
-    numbered = shared_table(numbered.withColumn("id", F.monotonically_increasing_id()))
-    known = numbered if emitted is None else shared_table(counts.join(numbered.select("word", "id"), "word", "left"))
-    n_all, v_all = (int(x) for x in counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first())
-    n_own, v_own = (int(x) for x in numbered.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first())
-    rest = n_all - n_own + 0.1 * (v_all - v_own + 1)
-    mass, names = n_own + rest, [f"s{j}" for j in range(states)]
-    # unigram shares shaken word by word, and states that last: texts of like words soon share a state
-    shaken = [(F.col("c") / mass * -F.log((F.pmod(F.xxhash64("word", F.lit(j)), F.lit(1 << 31)) + 1) / float((1 << 31) + 1))).cast("float").alias(names[j]) for j in range(states)]
-    sums = numbered.select("id", *shaken)
-    share = np.full(states, rest / mass)
-    total = np.array([x or 0.0 for x in sums.agg(*(F.sum(x) for x in names)).first()]) + share
-    first = Model.first(np.ones(1), states)
-    m = Trained(known, sums, n_all, v_all, rest, first.start, first.move, share / total, 0.0, total)
-    if not n_all:
-        return m
-    release(docs.sparkSession)
-    made = cells(docs.select("text", F.lit(True).alias("any")))  # rows need a column
-    at = places(made, known)
-
-    def run(model, ids, c, cell):
-        flat, size = cell.column("ids").combine_chunks().values.to_numpy(), cell.column("size").combine_chunks().values.to_numpy().astype(np.int64)
+def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Trained:
+    """Baum-Welch over the rows of docs (text, learn, ...) whose learn is true; the other rows can be scored with them."""
+    ship(docs.sparkSession)
+    k, made = states, cells(docs)
+    indexed = index(made)
+    words_ = indexed.where("cell = -1").select("c").mapInArrow(_count, "tokens long, types long")
+    tokens, types = (int(x or 0) for x in words_.agg(F.sum("tokens"), F.sum("types")).first())
+    strength, start, move, likelihoods = STRENGTH * max(tokens, 1) / k, np.full(k, 1 / k), lasting(k), []
+    rounds = rounds if tokens else 0
+    table = emissions(indexed, None, k, tokens, types, not rounds)
+
+    def run(em, start, move, slices, cell):
+        ids, size, learn, place = unpacked(cell)
+        emit = np.empty_like(em, dtype=float)
+        emit[place] = em
         begin = np.cumsum(size) - size
-        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(ids), states))
+        begin, size = begin[learn], size[learn]
+        s, m, e, like = np.zeros(k), np.zeros((k, k)), np.zeros((len(em), k)), 0.0
         for a, b in spread(size):
-            expect(model, flat, begin[a:b], size[a:b], start, move, emit)
-        own = ids >= 0
-        table = np.concatenate([emit[own], emit[~own].sum(axis=0)[None], start[None], emit.sum(axis=0)[None], move])
-        keys = np.concatenate([ids[own], -1 - np.arange(3 + states)])
-        return pa.Table.from_arrays([pa.array(keys, pa.int64()), *(pa.array(table[:, j], pa.float32()) for j in range(states))], names=["id", *names])
-
-    for _ in range(rounds):
-        found = by_cell(made, at, m, run, "id long, " + ", ".join(f"{x} float" for x in names))
-        sums = shared_table(found.groupBy("id").agg(*(F.sum(x).cast("float").alias(x) for x in names)))
+            like += expect(Model(start, move, emit), ids, begin[a:b], size[a:b], s, m, e)
+        e = e[place]
+        blocks, who = slices.column("block").to_pylist(), slices.column("cell")[0].as_py()
+        ends = np.cumsum([len(x) // (2 * k) for x in slices.column("em").to_pylist()])
+        parts = [half(e[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        scalars = np.concatenate([s, m.reshape(-1), [like]]).astype("<f8").tobytes()
+        return pa.table({"block": pa.array([*blocks, -1 - who % TURNS], pa.int64()), "cell": pa.array([who] * (len(parts) + 1), pa.int64()), "em": pa.array([*parts, scalars], pa.binary())})
+
+    settled = False
+    while len(likelihoods) < rounds:
+        last = settled or len(likelihoods) + 1 == rounds
+        found = meet(made, table, k, (start, move, totals(table, -1) + strength), run, "block long, cell long, em binary")
+        new = emissions(indexed, found, k, tokens, types, last)
+        sums = totals(new, -2)
+        likelihoods.append(float(sums[-1]) / tokens)
+        start = (1 + sums[:k]) / (1 + sums[:k]).sum()
+        move = np.eye(k) * STICK + 1.0 + sums[k:-1].reshape(k, k)
+        move = move / move.sum(axis=1, keepdims=True)
         del found
-        release(docs.sparkSession)
-        got = {-1 - r["id"]: np.array(r[1:]) for r in sums.where("id < 0").collect()}  # a row for each state and three more
-        total = PRIOR + got[2]
-        move = np.eye(states) * STICK + 1.0 + np.stack([got[3 + j] for j in range(states)])
-        m = Trained(known, sums, n_all, v_all, rest, (1 + got[1]) / (1 + got[1]).sum(), move / move.sum(axis=1, keepdims=True), (PRIOR * share + got[0]) / total, PRIOR / mass, total)
-    return m
-
-
-def score(docs: DataFrame, counts: DataFrame, trained: Trained, dictionary: int | None = None) -> DataFrame:
-    """docs' columns but text, with n_tokens, n_known, train_tokens, base_score and score. (All counts are met by cell,
-    whatever dictionary says.)"""
-    m = trained
-    kept = docs.drop("text").schema
-    names = [f.name for f in kept.fields]
-    below, rest, n_all = float(np.log10(m.n_all + 0.1 * (m.v_all + 1))), float(np.log10(m.rest)), m.n_all
-    made = cells(docs)
-
-    def run(model, ids, c, cell):
-        flat, size = cell.column("ids").combine_chunks().values.to_numpy(), cell.column("size").combine_chunks().values.to_numpy().astype(np.int64)
-        begin = np.cumsum(size) - size
-        logs = np.log10(c + 0.1)
-        in_class = np.where(ids < 0, logs - rest, 0.0)
-        per = lambda x: np.add.reduceat(x[flat], begin)
-        hmm = np.concatenate([log_likelihood(model, [flat[i : i + n] for i, n in zip(begin[a:b], size[a:b], strict=True)]) for a, b in spread(size)])
-        rows = cell.column("rows").combine_chunks().values
-        cols = [*rows.flatten(), pa.array(size), pa.array(per((c > 0).astype(np.int64))), pa.array(np.full(len(size), n_all)), pa.array(per(logs) - size * below), pa.array(hmm / np.log(10) + per(in_class))]
+        drop_tables(table)
+        table = new
+        if last:
+            break
+        settled = len(likelihoods) > 1 and likelihoods[-1] - likelihoods[-2] < tolerance  # one more round, whose emissions score
+    total = (totals(table, -1) if tokens else np.zeros(k)) + strength
+    drop_tables(indexed)
+    return Trained(made, table, tokens, types, start, move, total, likelihoods)
+
+
+def _count(batches):
+    for b in batches:
+        c = [np.frombuffer(x, "<i8") for x in b.column("c").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in c], pa.int64()), pa.array([int((x > 0).sum()) for x in c], pa.int64())], names=["tokens", "types"])
+
+
+def score(m: Trained) -> DataFrame:
+    """All rows that train was given: their columns but text and learn, with n_tokens, n_known, train_tokens, base_score and score."""
+    kept = m.made.schema["rows"].dataType.elementType
+    names = [f.name for f in kept.fields if f.name != "learn"]
+    below, k, n_all = float(np.log10(m.tokens + 0.1 * (m.types + 1))), len(m.start), m.tokens
+
+    def run(em, start, move, slices, cell):
+        ids, size, _, place = unpacked(cell)
+        emit, c = np.empty_like(em, dtype=float), np.empty(len(em))
+        emit[place] = em
+        c[place] = np.concatenate([np.frombuffer(x, "<i8") for x in slices.column("c").to_pylist()])
+        begin, logs = np.cumsum(size) - size, np.log10(c + 0.1)
+        per = lambda x: np.add.reduceat(x[ids], begin)
+        model = Model(start, move, emit)
+        hmm = np.concatenate([log_likelihood(model, [ids[i : i + n] for i, n in zip(begin[a:b], size[a:b], strict=True)]) for a, b in spread(size)])
+        rows, base = cell.column("rows").combine_chunks().values, per(logs) - size * below
+        hmm = np.minimum(hmm / np.log(10), 0.0) if n_all else base  # no rounding above certainty
+        cols = [*(rows.field(x) for x in names), pa.array(size), pa.array(per((c > 0).astype(np.int64))), pa.array(np.full(len(size), n_all)), pa.array(base), pa.array(hmm)]
         return pa.Table.from_arrays(cols, names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
-    return by_cell(made, places(made, m.words), m, run, schema, "rows")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields if f.name != "learn"), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
+    return meet(m.made, m.emissions, k, (m.start, m.move, m.total), run, schema, "rows")
 
 
 def op10_hmm_scores(spark, sf_dir: str) -> DataFrame:
-    docs = texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", (crc_remainder(F.col("doc_id"), 10) == 0).alias("held_out"))
-    ship(spark)
-    learn = docs.where(~F.col("held_out"))
-    counts = shared_table(count_words(learn))
-    return score(docs, counts, train(learn, counts))
+    docs = texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("held_out", crc_remainder(F.col("doc_id"), 10) == 0)
+    return score(train(docs.withColumn("learn", ~F.col("held_out"))))

@@ -24,6 +24,7 @@ def documents():
     text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
     passage, base = text(70), text(120).split()
     rows = [None, "", " \t\n", "one", "Two words", text(6000), "a " * 400, "漢字 🎉 \x1c x²"]
+    rows += ["a <|endoftext|> b <|startoftext|><|endoftext|>", "y" * 3000 + " " + "xyz" * 700]
     rows += [text(30) + " " + passage + " " + text(30) for _ in range(6)]
     for _ in range(25):
         w = list(base)
@@ -86,7 +87,6 @@ def test_vector_search(spark, exact_product):
 
 def test_packing(docs, empty):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = packing.pack_pieces(packing.cut(docs)).toPandas()
     for i, own in got.groupby("doc_id"):
         ids = t.encode(TEXT[i], add_special_tokens=False).ids + [0]
@@ -111,7 +111,6 @@ def test_pfor(docs, empty):
         v = rng.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32) >> rng.integers(0, 32, n).astype(np.uint32)
         assert (pfor.unpack(pfor.pack(v)) == v).all()
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     at = 0
     for r in pfor.read_segments(pfor.write_segments(docs)).orderBy("doc_id").collect():
         ids = t.encode(TEXT[r["doc_id"]], add_special_tokens=False).ids + [0]
@@ -229,22 +228,79 @@ def test_hmm(docs, empty):
 
     assert np.allclose(hmm.log_likelihood(m, seqs), [plain(d) for d in seqs])
     own = docs.select("doc_id", "text").fillna("")
-    counts = hmm.count_words(own)
-    for size in (5, 10**6):
-        trained = hmm.train(own, counts, states=2, emitted=20, rounds=2)
-        c = Counter(w for t in TEXT.values() for w in [*words(t), hmm.END])
+    for learn in ("doc_id % 3 <> 0", "false"):
+        c = Counter(w for i, t in TEXT.items() if learn != "false" and i % 3 for w in [*words(t), hmm.END])
         n, v = sum(c.values()), len(c)
-        got = hmm.score(own, counts, trained, dictionary=size).collect()
+        got = hmm.score(hmm.train(own.selectExpr("*", f"{learn} AS learn"), states=2, rounds=2)).collect()
         assert len(got) == len(ROWS)
         for r in got:
             w = [*words(TEXT[r["doc_id"]]), hmm.END]
             base = sum(np.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), len(w), n) and np.isclose(r["base_score"], base) and r["score"] < 0
-    nothing = hmm.count_words(empty)
-    assert hmm.score(own, nothing, hmm.train(empty, nothing)).count() == len(ROWS)
-
-
-def test_hmm_learns_all_words_over_whole_texts(spark):
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in c for x in w), n) and np.isclose(r["base_score"], base)
+            assert r["score"] < 0 if n else r["score"] == r["base_score"]
+    assert hmm.score(hmm.train(empty.selectExpr("doc_id", "text", "true AS learn"))).count() == 0
+
+
+def test_hmm_rounds_against_plain_baum_welch(docs, monkeypatch):
+    """Two rounds by cells and blocks, from the same first model, against plain sums over all texts; then the scores."""
+    import xxhash
+
+    monkeypatch.setattr(hmm, "BLOCK_PAIRS", 100)
+    own, k = docs.select("doc_id", "text").fillna("").selectExpr("*", "doc_id % 3 <> 0 AS learn"), 2
+    every = {i: [*words(t), hmm.END] for i, t in TEXT.items()}
+
+    def emitted(m):
+        table = {}
+        for cell in m.made.collect():
+            rows = sorted((r["block"], r["em"]) for r in m.emissions.where(f"cell = {cell['cell']}").collect())
+            em = np.concatenate([np.frombuffer(x, "<f4") for _, x in rows]).reshape(-1, k) / m.total
+            table |= {bytes(cell["hashes"])[16 * i : 16 * i + 16]: e for i, e in enumerate(em)}
+        return {w: table[xxhash.xxh3_128_digest(w.encode())] for t in every.values() for w in t}
+
+    m = hmm.train(own, states=k, rounds=0)
+    start, move, emit = m.start, m.move, emitted(m)
+    c = Counter(w for i, t in every.items() if i % 3 for w in t)
+    n, v = sum(c.values()), len(c)
+    share = {w: (c[w] + 0.1) / (n + 0.1 * (v + 1)) for w in emit}
+    assert np.allclose(sum(emit[w] for w in emit) + hmm.STRENGTH * n / k / m.total * (1 - sum(share.values())), 1, atol=1e-5)
+    for _ in range(2):
+        s, mv, e = np.zeros(k), np.zeros((k, k)), {w: np.zeros(k) for w in emit}
+        for i, t in every.items():
+            if not i % 3:
+                continue
+            alpha, beta = [start * emit[t[0]]], [np.ones(k)]
+            alpha[0] = alpha[0] / alpha[0].sum()
+            for w in t[1:]:
+                alpha.append(alpha[-1] @ move * emit[w])
+                alpha[-1] = alpha[-1] / alpha[-1].sum()
+            for w in t[:0:-1]:
+                beta.insert(0, move @ (emit[w] * beta[0]))
+                beta[0] = beta[0] / beta[0].sum()
+            for x, w in enumerate(t):
+                g = alpha[x] * beta[x] / (alpha[x] @ beta[x])
+                e[w] += g
+                if not x:
+                    s += g
+                else:
+                    pair = np.outer(alpha[x - 1], emit[w] * beta[x]) * move
+                    mv += pair / pair.sum()
+        total = sum(e.values()) + hmm.STRENGTH * n / k
+        emit = {w: (e[w] + hmm.STRENGTH * n / k * share[w]) / total for w in emit}
+        start, mv = (1 + s) / (1 + s).sum(), mv + 1 + np.eye(k) * hmm.STICK
+        move = mv / mv.sum(axis=1, keepdims=True)
+    m = hmm.train(own, states=k, rounds=2, tolerance=-1)
+    got = emitted(m)
+    assert np.allclose(m.start, start, rtol=0.02) and np.allclose(m.move, move, rtol=0.02) and all(np.allclose(got[w], emit[w], rtol=0.05) for w in emit)
+    assert m.likelihoods[1] > m.likelihoods[0]
+    for r in hmm.score(m).collect():
+        x, want = m.start, 0.0
+        for j, w in enumerate(every[r["doc_id"]]):
+            x = (x @ m.move if j else x) * got[w]
+            want, x = want + np.log10(x.sum()), x / x.sum()
+        assert np.isclose(r["score"], want, rtol=1e-6)
+
+
+def test_hmm_expected_counts_over_whole_texts():
     rng = np.random.default_rng(1)
     m = hmm.Model.first(np.full(10, 0.1), 3)
     m.move, m.start, m.emit = rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(10), 3).T
@@ -268,12 +324,6 @@ def test_hmm_learns_all_words_over_whole_texts(spark):
         got = [np.zeros(3), np.zeros((3, 3)), np.zeros((10, 3))]
         hmm.expect(m, ids, begin, size, *got, whole=whole, chunk=7)
         assert all(np.allclose(x, y) for x, y in zip(got, want, strict=True))
-    rows = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(1500 * i, 1500 * i + 1500))) for i in range(15)], "doc_id long, text string").repartition(4)
-    counts = hmm.count_words(rows)
-    trained = hmm.train(rows, counts, states=2, rounds=2)
-    assert trained.words.where("id IS NOT NULL").count() == 22501 == trained.sums.where("id >= 0").count()
-    sums = trained.sums.where("id >= 0").agg({"s0": "sum", "s1": "sum"}).first()
-    assert np.isclose(sum(sums), 15 * 1501)
 
 
 def test_pipeline(spark, tmp_path):
