@@ -53,6 +53,22 @@ def shared_table(df: DataFrame) -> DataFrame:
     return found
 
 
+def shared_parts(df: DataFrame, by: str, columns: list[list[str]]) -> list[DataFrame]:
+    """df written once as several shared tables: the rows whose column by is 0, 1, ... with the columns given for each."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/strandlake-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    out = []
+    for i, names in enumerate(columns):
+        kind, at = df.select(*names).schema, f"{path}/{by}={i}"
+        p = spark._jvm.org.apache.hadoop.fs.Path(at)
+        there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)  # not without rows
+        found = spark.read.schema(kind).parquet(at) if there else spark.createDataFrame([], kind)
+        found._strandlake_path = at
+        out.append(found)
+    return out
+
+
 def drop_tables(*tables: DataFrame) -> None:
     """Delete shared tables whose readers are done, and have Spark delete the shuffle files of plans that are done (it does so
     when the driver's JVM collects its garbage)."""

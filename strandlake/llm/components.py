@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import drop_tables, shared_table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,5 +29,6 @@ def components(edges: DataFrame) -> DataFrame:
         n, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if not n or (n, total) == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = (n, total)
+        before, last = (n, total), now
         now = shared_table(_star(_star(now, large=True), large=False))
+        drop_tables(last)

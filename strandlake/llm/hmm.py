@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, drop_tables, shared_table, ship, texts, tidy
+from .common import crc_remainder, drop_tables, shared_parts, shared_table, ship, texts, tidy
 
 STATES, ROUNDS, TOLERANCE, CELL_TOKENS, BLOCK_PAIRS = 6, 4, 0.005, 4_000_000, 131_072
 END = " end"  # holds a space, so no word equals it
-STRENGTH, STICK, BATCH_TOKENS, TURNS = 0.1, 20.0, 400_000, 64
+STRENGTH, STICK, BATCH_TOKENS, TURNS = 0.1, 20.0, 200_000, 64
 
 
 def words(text: str) -> list[bytes]:
@@ -175,15 +175,15 @@ def unhalf(raw: bytes) -> np.ndarray:
     return (np.frombuffer(raw, "<u2").astype(np.uint32) << np.uint32(16)).view(np.float32)
 
 
-def cells(docs: DataFrame) -> DataFrame:
-    """Texts dealt to cells: (cell, ids, size, learn, rows, place, hashes, c): ids of the texts one after the other, ranked by frequency
-    and packed; sizes; which texts train; docs' other columns; and of the cell's words, in order of their hashes, the
-    id, the hash and the count in its training texts."""
+def cells(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts dealt to cells, as two tables written at once: (cell, ids, size, learn, rows, place), the ids of the texts one after the
+    other, ranked by frequency and packed, sizes, which texts train, docs' other columns, and the ids of the cell's words in
+    order of their hashes; and (cell, hashes, c), these hashes and the counts in the cell's training texts."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kept = docs.drop("text")
     kind = pa.struct(list(to_arrow_schema(kept.schema)))
-    schema = pa.schema([("cell", pa.int64()), ("ids", pa.binary()), ("size", pa.binary()), ("learn", pa.binary()), ("rows", pa.list_(kind)), ("place", pa.binary()), ("hashes", pa.binary()), ("c", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("cell", pa.int64()), ("ids", pa.binary()), ("size", pa.binary()), ("learn", pa.binary()), ("rows", pa.list_(kind)), ("place", pa.binary()), ("hashes", pa.binary()), ("c", pa.binary())])
 
     def run(batches):
         import xxhash
@@ -208,13 +208,13 @@ def cells(docs: DataFrame) -> DataFrame:
             c = np.bincount(own[np.repeat(learn, lengths).astype(bool)], minlength=len(local))[place].astype("<i4")
             pack = zstandard.ZstdCompressor(level=1).compress
             planes = np.ascontiguousarray(own.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-            row = (nth, pack(planes.tobytes()), lengths.tobytes(), learn.tobytes(), held, place.astype("<i4").tobytes(), hashes[order].tobytes(), c.tobytes())
-            rb = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+            rows = ((0, nth, pack(planes.tobytes()), lengths.tobytes(), learn.tobytes(), held, place.astype("<i4").tobytes(), None, None), (1, nth, None, None, None, None, None, hashes[order].tobytes(), c.tobytes()))
+            both = [pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema) for row in rows]
             local.clear()
             held.clear()
             del ids[:], size[:]
             nth += 1
-            return rb
+            return both
 
         for b in batches:
             for row in b.to_pylist():
@@ -223,11 +223,12 @@ def cells(docs: DataFrame) -> DataFrame:
                 size.append(len(w))
                 held.append(row)
                 if len(ids) >= CELL_TOKENS:
-                    yield out()
+                    yield from out()
         if size:
-            yield out()
+            yield from out()
 
-    return shared_table(docs.mapInArrow(tidy("hmm", run), f"cell long, ids binary, size binary, learn binary, rows array<{kept.schema.simpleString()}>, place binary, hashes binary, c binary"))
+    made = docs.mapInArrow(tidy("hmm", run), f"part int, cell long, ids binary, size binary, learn binary, rows array<{kept.schema.simpleString()}>, place binary, hashes binary, c binary")
+    return shared_parts(made, "part", [["cell", "ids", "size", "learn", "rows", "place"], ["cell", "hashes", "c"]])
 
 
 def unpacked(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -242,10 +243,11 @@ def unpacked(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 @dataclass
 class Trained:
-    """emissions (block, cell, em): the slices of all cells, 32-bit floats (word, state), and c, the words' counts; the emission of a
-    word is its float over total. tokens and types: of the training rows. likelihoods: natural logs a token, round by round."""
+    """lists: the cells' words (deleted once the index is made, unless train is told to keep it). emissions (block, cell, em): the slices of
+    all cells, 32-bit floats (word, state), and c, the words' counts; the emission of a word is its float over total. tokens and types: of the training rows. likelihoods: natural logs a token, round by round."""
 
     made: DataFrame
+    lists: DataFrame | None
     emissions: DataFrame
     tokens: int
     types: int
@@ -255,10 +257,10 @@ class Trained:
     likelihoods: list[float]
 
 
-def index(made: DataFrame) -> DataFrame:
+def index(lists: DataFrame) -> DataFrame:
     """(block, cell, at, hashes, c): for each block and cell the places of the cell's words in the block's; where cell is -1,
     the block's words and their training counts."""
-    pairs = made.agg(F.sum(F.length("c") / 4)).first()[0] or 0
+    pairs = lists.agg(F.sum(F.length("c") / 4)).first()[0] or 0
     bits = max(0, int(pairs // BLOCK_PAIRS).bit_length())
 
     def slices(batches):
@@ -279,7 +281,7 @@ def index(made: DataFrame) -> DataFrame:
         none = [None] * len(at)
         return pa.table({"block": pa.array([key[0].as_py()] * (len(at) + 1), pa.int64()), "cell": pa.array([*rows.column("cell").to_pylist(), -1], pa.int64()), "at": pa.array([*at, None], pa.binary()), "hashes": pa.array([*none, word.tobytes()], pa.binary()), "c": pa.array([*none, c.tobytes()], pa.binary())})
 
-    dealt = made.select("cell", "hashes", "c").mapInArrow(tidy("hmm", slices), "block long, cell long, hashes binary, c binary")
+    dealt = lists.mapInArrow(tidy("hmm", slices), "block long, cell long, hashes binary, c binary")
     return shared_table(dealt.groupBy("block").applyInArrow(number, "block long, cell long, at binary, hashes binary, c binary"))
 
 
@@ -357,11 +359,13 @@ def spread(size: np.ndarray):
         a = b
 
 
-def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Trained:
+def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, tolerance: float = TOLERANCE, keep_lists: bool = False) -> Trained:
     """Baum-Welch over the rows of docs (text, learn, ...) whose learn is true; the other rows can be scored with them."""
     ship(docs.sparkSession)
-    k, made = states, cells(docs)
-    indexed = index(made)
+    k, (made, lists) = states, cells(docs)
+    indexed = index(lists)
+    if not keep_lists:
+        drop_tables(lists)
     words_ = indexed.where("cell = -1").select("c").mapInArrow(_count, "tokens long, types long")
     tokens, types = (int(x or 0) for x in words_.agg(F.sum("tokens"), F.sum("types")).first())
     strength, start, move, likelihoods = STRENGTH * max(tokens, 1) / k, np.full(k, 1 / k), lasting(k), []
@@ -402,7 +406,7 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, tolerance
         settled = len(likelihoods) > 1 and likelihoods[-1] - likelihoods[-2] < tolerance  # one more round, whose emissions score
     total = (totals(table, -1) if tokens else np.zeros(k)) + strength
     drop_tables(indexed)
-    return Trained(made, table, tokens, types, start, move, total, likelihoods)
+    return Trained(made, lists if keep_lists else None, table, tokens, types, start, move, total, likelihoods)
 
 
 def _count(batches):

@@ -7,12 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table, tidy
+from .common import drop_tables, shared_table, tidy
 
 
-def with_heads(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+def with_heads(rows: DataFrame, key: str, order: list[str], keep: str = "true") -> DataFrame:
     """rows sorted by (key, order); of each run of equal keys all rows but the first, with the first row's columns as h_<name>.
-    key: a long without nulls. Only one row a partition reaches the driver."""
+    key: a long without nulls. Only one row a partition reaches the driver. The result, of which only
+    rows that fit keep stay, is a written table."""
     spark = rows.sparkSession
     names = [c for c in rows.columns if c != key]
     kind_of = dict(rows.dtypes)
@@ -61,4 +62,6 @@ def with_heads(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     edge = F.broadcast(spark.createDataFrame(heads, ", ".join(["part int", f"`{key}` long", *(f"`e_{c}` {kind_of[c]}" for c in names)])).withColumn("met", F.lit(True)))
     told = found.where("mark < 3").join(edge, ["part", key], "left")
     met = F.col("met") & (F.col("mark") > 0)
-    return told.where(met | F.col("mark").isin(0, 1)).select(key, *names, *(F.when(met, F.col(f"e_{c}")).otherwise(F.col(f"h_{c}")).alias(f"h_{c}") for c in names))
+    out = shared_table(told.where(met | F.col("mark").isin(0, 1)).select(key, *names, *(F.when(met, F.col(f"e_{c}")).otherwise(F.col(f"h_{c}")).alias(f"h_{c}") for c in names)).where(keep))
+    drop_tables(found)
+    return out

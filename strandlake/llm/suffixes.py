@@ -24,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table, ship, tidy
+from .common import drop_tables, few, fresh, shared_table, ship, tidy
 from .runs import with_heads
 from .words import prefix_sums, run_hashes, word_hashes
 
-MIN_WORDS, GRAM = 50, 25
-BROADCAST_IDS = 1_000_000
+MIN_WORDS, GRAM, BLOCK_WORDS = 50, 25, 4096
 OTHER = np.uint64(0xD6E8FEB86659FD93)  # for the second hash of a run
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -75,8 +74,10 @@ def describe(docs: DataFrame, gram: int, least: int) -> DataFrame:
 def shared_grams(described: DataFrame) -> DataFrame:
     """(k, grams): for each document, the keys of the selected grams that another document has as well."""
     rows = described.select("doc_id", "k", F.explode(F.arrays_zip("start", "key")).alias("s")).select("s.key", "doc_id", "k", "s.start")
-    met = with_heads(rows, "key", ["doc_id", "k", "start"]).where("k <> h_k")
-    return met.select("key", F.explode(F.array("k", "h_k")).alias("k")).groupBy("k").agg(F.collect_set("key").alias("grams"))
+    met = with_heads(rows, "key", ["doc_id", "k", "start"], "k <> h_k")
+    found = shared_table(met.select("key", F.explode(F.array("k", "h_k")).alias("k")).groupBy("k").agg(F.collect_set("key").alias("grams")))  # of a text's own grams
+    drop_tables(met)
+    return found
 
 
 def whole_runs(asked: DataFrame, gram: int, least: int) -> DataFrame:
@@ -97,9 +98,34 @@ def whole_runs(asked: DataFrame, gram: int, least: int) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One (k, text) for each id asked for. The ids are broadcast only when counted as few; else both sides are shuffled."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.select("k", "text").join(F.broadcast(ids) if few else ids, "k", "left_semi").dropDuplicates(["k"])
+    """One (k, text) for each id asked for."""
+    return docs.select("k", "text").join(few(ids), "k", "left_semi").dropDuplicates(["k"])
+
+
+def covered(met: DataFrame, least: int) -> DataFrame:
+    """(k, doc_id, start, end, source_id): maximal spans of runs (k, doc_id, start, h_doc_id) of least words. Runs are joined by
+    blocks of BLOCK_WORDS words of a text first, so a long text's runs meet in one task only as the spans of its blocks."""
+    schema = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("source_id", pa.int64())])
+
+    def join(batches):
+        for b in batches:
+            out = []
+            for k, doc_id, q in zip(b.column("k").to_pylist(), b.column("doc_id").to_pylist(), b.column("q"), strict=True):
+                start, end, doc0 = (q.values.field(x) for x in ("start", "end", "doc0"))
+                start, end = start.to_numpy(), end.to_numpy()
+                order = np.argsort(start, kind="stable")
+                start, reach = start[order], np.maximum.accumulate(end[order])
+                new = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+                last = np.concatenate([new[1:], [len(start)]]) - 1
+                out += [(k, doc_id, start[i], reach[j], doc0[order[i]].as_py()) for i, j in zip(new, last, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+
+    def spans(rows, *by):
+        found = rows.groupBy("k", *by).agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("start", "end", "doc0")).alias("q"))
+        return found.select("k", "doc_id", "q").mapInArrow(tidy("words", join), "k long, doc_id long, start int, end int, source_id long")
+
+    runs = met.select("k", "doc_id", "start", (F.col("start") + least).alias("end"), F.col("h_doc_id").alias("doc0"), F.floor(F.col("start") / BLOCK_WORDS).alias("block"))
+    return spans(spans(runs, "block").withColumnRenamed("source_id", "doc0"))
 
 
 def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
@@ -111,33 +137,22 @@ def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM) -> DataF
     firsts = described.groupBy("whole", "n").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count_distinct("k").alias("size"))
     copies = described.select("whole", "n", "doc_id", "k").distinct().join(firsts.where("size > 1"), ["whole", "n"]).where(F.col("k") != F.col("first.k"))
     copies = shared_table(copies.select("k", "doc_id", "n", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("first.doc_id").alias("source_id")))
-    own = described.dropDuplicates(["k"]).join(copies.select("k"), "k", "left_anti")
-    grams = shared_table(shared_grams(own))
+    sizes = shared_table(described.select("k", "n").distinct())
+    own = described.join(few(copies.select("k")), "k", "left_anti").dropDuplicates(["k"])
+    grams = shared_grams(own)
+    drop_tables(described)
     held = _texts_of(rows.withColumn("text", F.struct("doc_id", "text")), grams.select("k")).select("k", "text.doc_id", "text.text")
-    met = with_heads(whole_runs(held.join(grams, "k"), gram, least), "key", ["doc_id", "k", "start"]).where("k <> h_k AND check = h_check")
-    found = met.groupBy("k").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("start", F.col("h_doc_id").alias("doc0"))).alias("q"))  # bounded by the text's own words
-    result = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("source_id", pa.int64())])
-
-    def join(batches):
-        for b in batches:
-            out = []
-            for k, doc_id, q in zip(b.column("k").to_pylist(), b.column("doc_id").to_pylist(), b.column("q"), strict=True):
-                start, doc0 = q.values.field("start").to_numpy(), q.values.field("doc0")
-                order = np.argsort(start)
-                start = start[order]
-                new = np.flatnonzero(np.concatenate([[True], np.diff(start) > least]))
-                last = np.concatenate([new[1:], [len(start)]]) - 1
-                for i, j in zip(new, last, strict=True):
-                    out.append((k, doc_id, start[i], start[j] + least, doc0[order[i]].as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), result, strict=True)] if out else [pa.array([], f.type) for f in result], schema=result)
-
-    spans = found.mapInArrow(tidy("words", join), "k long, doc_id long, start int, end int, source_id long")
-    return copies.unionByName(spans.join(described.select("k", "n").distinct(), "k"))
+    met = with_heads(whole_runs(held.join(grams, "k"), gram, least), "key", ["doc_id", "k", "start"], "k <> h_k AND check = h_check")
+    drop_tables(grams)
+    found = shared_table(covered(met, least))
+    drop_tables(met)
+    return copies.unionByName(found.join(sizes, "k").select("k", "doc_id", "n", "start", "end", "source_id"))
 
 
 def cut(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """docs without their repeated passages: the first document that has a passage keeps it. Texts of which nothing is
-    left go; n_chars, where there is such a column, follows the text. All other rows and columns stay as they are."""
+    left go; n_chars, where there is such a column, follows the text. All other rows and columns stay as they are, whatever
+    their names; rows that repeat doc_id and text are cut alike."""
     found = shared_table(passages(docs, least).groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
     @F.arrow_udf("string")
@@ -158,13 +173,17 @@ def cut(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         return pa.array(out, pa.string())
 
     names = docs.columns
-    hit = F.col("__spans").isNotNull()
-    joined = docs.withColumn("__k", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))).join(found.select(F.col("k").alias("__k"), F.col("spans").alias("__spans")), "__k", "left")
-    new = joined.withColumn("__text", F.when(hit, without("text", "__spans")).otherwise(F.col("text"))).where(~hit | F.col("__text").isNotNull())
-    new = new.withColumn("text", F.col("__text"))
+    key, spans, new = (fresh(docs, x) for x in ("__k", "__spans", "__text"))
+    found = found.select(F.col("k").alias(key), F.col("spans").alias(spans))
+    many = found.agg(F.sum(F.size(spans))).first()[0] or 0
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    joined = keyed.join(F.broadcast(found) if many <= 1_000_000 else found, key, "left")  # a span is a few bytes
+    hit = F.col(spans).isNotNull()
+    out = joined.withColumn(new, F.when(hit, without("text", spans)).otherwise(F.col("text"))).where(~hit | F.col(new).isNotNull())
+    out = out.withColumn("text", F.col(new))
     if "n_chars" in names:
-        new = new.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return new.select(*names)
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*(f"`{c}`" for c in names))
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:

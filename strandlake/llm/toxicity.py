@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cache, crc_remainder, ship, texts, tidy
 
 BEGIN = (4, 5, 6, 7, 8)
-TRAIN_ROWS, MIN_RATIO, WINDOW, CACHE_WORDS = 20_000, 25.0, 8, 300_000
+TRAIN_ROWS, MIN_RATIO, WINDOW, CACHE_WORDS = 20_000, 25.0, 8, 120_000
 WORD = re.compile(r"[^\W_]+")
 QUOTES = '"“”„«»'
 #: Words of report before a quotation and words that address a reader.

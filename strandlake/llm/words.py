@@ -8,7 +8,7 @@ import numpy as np
 
 from .common import cache
 
-CACHE_WORDS = 80_000
+CACHE_WORDS = 60_000
 _CACHE: dict[bytes, int] = cache("words")
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _POWERS: dict[str, np.ndarray] = {}

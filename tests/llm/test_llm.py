@@ -251,13 +251,13 @@ def test_hmm_rounds_against_plain_baum_welch(docs, monkeypatch):
 
     def emitted(m):
         table = {}
-        for cell in m.made.collect():
+        for cell in m.lists.collect():
             rows = sorted((r["block"], r["em"]) for r in m.emissions.where(f"cell = {cell['cell']}").collect())
             em = np.concatenate([np.frombuffer(x, "<f4") for _, x in rows]).reshape(-1, k) / m.total
             table |= {bytes(cell["hashes"])[16 * i : 16 * i + 16]: e for i, e in enumerate(em)}
         return {w: table[xxhash.xxh3_128_digest(w.encode())] for t in every.values() for w in t}
 
-    m = hmm.train(own, states=k, rounds=0)
+    m = hmm.train(own, states=k, rounds=0, keep_lists=True)
     start, move, emit = m.start, m.move, emitted(m)
     c = Counter(w for i, t in every.items() if i % 3 for w in t)
     n, v = sum(c.values()), len(c)
@@ -288,7 +288,7 @@ def test_hmm_rounds_against_plain_baum_welch(docs, monkeypatch):
         emit = {w: (e[w] + hmm.STRENGTH * n / k * share[w]) / total for w in emit}
         start, mv = (1 + s) / (1 + s).sum(), mv + 1 + np.eye(k) * hmm.STICK
         move = mv / mv.sum(axis=1, keepdims=True)
-    m = hmm.train(own, states=k, rounds=2, tolerance=-1)
+    m = hmm.train(own, states=k, rounds=2, tolerance=-1, keep_lists=True)
     got = emitted(m)
     assert np.allclose(m.start, start, rtol=0.02) and np.allclose(m.move, move, rtol=0.02) and all(np.allclose(got[w], emit[w], rtol=0.05) for w in emit)
     assert m.likelihoods[1] > m.likelihoods[0]
