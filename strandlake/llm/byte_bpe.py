@@ -1,12 +1,13 @@
 """Byte-level BPE by rank files: Spark higher-order functions fold the ranked merges over the byte arrays of distinct words.
 
-1. All texts are cut into words by the vocabulary's pattern and counted; the most frequent (at most DICTIONARY of them,
+1. All texts are cut into words by the vocabulary's pattern, once: cells of texts are written as numbers in the cell's own
+   list of distinct words. The lists are counted over the corpus; the most frequent words (at most DICTIONARY of them,
    whole count levels at a time) form a dictionary.
 2. A word that is a piece itself is that piece, as in the library. In each other word fold_words merges the pair of least
    rank, first from the left, until no pair has a rank: an aggregate over arrays beside a constant rank table (pair of
    pieces -> rank of their concatenation, in hash buckets).
-3. Texts are encoded where they are read, in chunks. A chunk's words that the dictionary lacks are folded in the chunk by the
-   same expression, so every id comes from the fold and nothing of the texts is shuffled.
+3. A cell's words that the dictionary lacks are folded beside the cell by the same expression, so every id comes from the fold
+   or is a whole word's piece, and nothing of the texts is shuffled. The words' ids, put in the order of the texts, are the result.
 4. Decoding concatenates the binary pieces of the ids.
 
 The dictionary goes to the workers as hashes and ids, at most about 20 bytes a word, and a hit is accepted only if its pieces
@@ -20,7 +21,6 @@ import base64
 import hashlib
 import re
 from array import array
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -28,11 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_table, ship, texts, tidy
+from .common import drop_tables, shared_table, ship, texts, tidy
 from .tokens import PATTERNS, PLAIN
 
-DICTIONARY, BUCKETS, WORDS_A_ROW, CHUNK_CHARS, CACHE_WORDS = 2_500_000, 1 << 17, 2048, 2_000_000, 200_000
-HOLE = (1 << 32) - 1
+DICTIONARY, BUCKETS, WORDS_A_ROW, CELL_WORDS = 2_500_000, 1 << 17, 2048, 2_000_000
 
 
 @lru_cache(2)
@@ -106,24 +105,53 @@ def fold_words(df: DataFrame, words: str, out: str, ranks: DataFrame) -> DataFra
     return beside.select(*names, F.transform(words, fold).alias(out))
 
 
-def count_words(docs: DataFrame, pattern: str | None = None) -> DataFrame:
+CELL = "doc_ids array<long>, size binary, ids binary, words array<string>, c array<int>"
+
+
+def cells(docs: DataFrame, pattern: str | None = None) -> DataFrame:
+    """Texts cut into words, as a written table of CELL rows: documents, words of each, their numbers in the cell's list of
+    words (packed), this list and how often the cell has each."""
+    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("size", pa.binary()), ("ids", pa.binary()), ("words", pa.list_(pa.string())), ("c", pa.list_(pa.int32()))])
+
     def run(batches):
-        find, own = _cutter(pattern), Counter()
+        import zstandard
+
+        find, local, ids, doc_ids, size = _cutter(pattern), {}, array("i"), [], array("i")
 
         def out():
-            rb = pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["word", "c"])
-            own.clear()
+            own = np.array(ids, np.int32)
+            c = np.bincount(own, minlength=len(local))
+            order = np.argsort(-c, kind="stable")  # small numbers for frequent words pack well
+            rank = np.empty(len(local), np.int32)
+            rank[order] = np.arange(len(local), dtype=np.int32)
+            planes = np.ascontiguousarray(rank[own].astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            words = pa.array(list(local), pa.string()).take(pa.array(order))
+            row = [doc_ids], [size.tobytes()], [zstandard.ZstdCompressor(level=1).compress(planes.tobytes())], None, [c[order]]
+            rb = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(words)], words) if x is None else pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+            local.clear()
+            doc_ids.clear()
+            del ids[:], size[:]
             return rb
 
         for b in batches:
-            for t in b.column("text"):
-                own.update(find(t.as_py()))
-                if len(own) > 400_000:
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                words = find(text.as_py())
+                for w in set(words).difference(local):
+                    local[w] = len(local)
+                ids.extend(map(local.__getitem__, words))
+                doc_ids.append(doc_id)
+                size.append(len(words))
+                if len(ids) >= CELL_WORDS:
                     yield out()
-        if own:
+        if doc_ids:
             yield out()
 
-    return docs.select("text").mapInArrow(tidy("bytes", run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return shared_table(docs.select("doc_id", "text").mapInArrow(tidy("bytes", run), CELL))
+
+
+def count_words(made: DataFrame) -> DataFrame:
+    pairs = made.select(F.explode(F.arrays_zip("words", "c")).alias("x"))
+    return pairs.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.c").alias("c"))
 
 
 class Dictionary:
@@ -138,17 +166,33 @@ class Dictionary:
         at = np.repeat(starts[order] - (self.ends - sizes[order]), sizes[order]) + np.arange(len(ids))
         self.ids = ids[at].astype(np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.uint32)
 
-    def find(self, words: list[bytes], pieces: list[bytes]) -> list[bytes | None]:
+    def find(self, words: list[bytes], pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of words it holds, how many ids each of these has, and their ids one after the other."""
         import xxhash
 
         h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-        at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
-        hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-        out: list[bytes | None] = []
-        for w, i, ok in zip(words, at.tolist(), hit.tolist(), strict=True):
-            ids = self.ids[self.ends[i - 1] if i else 0 : self.ends[i]].tolist() if ok else []
-            out.append(array("I", ids).tobytes() if ok and b"".join([pieces[j] for j in ids]) == w else None)
-        return out
+        if not len(self.hashes) or not len(h):
+            return np.zeros(len(h), bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = self.hashes[at] == h
+        while True:
+            ends = self.ends[at[hit]].astype(np.int64)
+            sizes = ends - np.where(at[hit] > 0, self.ends[at[hit] - 1], 0)
+            ids = self.ids[spans(ends - sizes, sizes)].astype(np.int64)
+            spelled = [pieces[i] for i in ids.tolist()]
+            own = [w for w, ok in zip(words, hit.tolist(), strict=True) if ok]
+            lengths = np.concatenate([[0], np.cumsum([len(x) for x in spelled])])
+            same = np.diff(lengths[np.concatenate([[0], np.cumsum(sizes)])]) == np.array([len(w) for w in own], np.int64)
+            if same.all() and b"".join(spelled) == b"".join(own):
+                return hit, sizes, ids
+            cuts = np.concatenate([[0], np.cumsum(sizes)]).tolist()  # a word of another's hash
+            hit[np.flatnonzero(hit)[[b"".join(spelled[a:z]) != w for a, z, w in zip(cuts[:-1], cuts[1:], own, strict=True)]]] = False
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[0], starts[0] + 1, ... of each run of that size, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
@@ -158,18 +202,17 @@ def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
     return out
 
 
-_WORDS: dict[str, dict[str, bytes]] = {}
-
-
-def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, dictionary: int = DICTIONARY) -> DataFrame:
-    """(doc_id, ids) of every row of docs (doc_id, text): ids as little-endian unsigned 32-bit numbers."""
+def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, dictionary: int = DICTIONARY, digest: bool = False) -> DataFrame:
+    """(doc_id, ids) of every row of docs (doc_id, text): ids as little-endian unsigned 32-bit numbers. digest: DIGESTS of
+    these instead, in the same pass."""
     spark = docs.sparkSession
     ship(spark)
     ranks = load_ranks(vocabulary)
     single = [ranks[bytes([b])] for b in range(256)]
     constant = rank_table(spark, ranks)
 
-    counts = shared_table(count_words(docs, pattern))
+    made = cells(docs, pattern)
+    counts = shared_table(count_words(made))
     levels = sorted(((r["c"], r["n"]) for r in counts.groupBy("c").agg(F.count("*").alias("n")).where("c < 1000").collect()), reverse=True)  # under 1000 rows
     many, least = counts.where("c >= 1000").count(), 1000  # at most a thousandth of all words
     for c, n in levels:
@@ -207,81 +250,68 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     carried = spark.sparkContext.broadcast(Dictionary(flat("hashes", np.int64).view(np.uint64), flat("sizes", np.int64), flat("ids", np.uint32)))
     del own
 
-    chunk = pa.schema([("doc_ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.binary())), ("holes", pa.list_(pa.list_(pa.int32()))), ("words", pa.list_(pa.list_(pa.int32())))])
-    name = f"{vocabulary}|{pattern}|{carried.id if hasattr(carried, 'id') else 0}"
-
-    def part(batches):
-        known = load_ranks(vocabulary)
-        find, pieces, table = _cutter(pattern), _pieces(known), carried.value
-        if name not in _WORDS:
-            _WORDS.clear()
-        cache = _WORDS.setdefault(name, {})
-        hole = array("I", [HOLE]).tobytes()
-        doc_ids, parts, holes, missing, chars = [], [], [], {}, 0
-
-        def out():
-            nonlocal chars
-            spelled = [[known[b]] if (b := w.encode()) in known else [single[x] for x in b] for w in missing]
-            rb = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((doc_ids, parts, holes, spelled), chunk, strict=True)], schema=chunk)
-            for x in (doc_ids, parts, holes, missing):
-                x.clear()
-            chars = 0
-            return rb
+    drop_tables(counts, folded)
 
+    def known_words(batches):
+        known, pieces = load_ranks(vocabulary), _pieces(load_ranks(vocabulary))
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                text = text.as_py()
-                words = find(text)
-                new = [w for w in set(words).difference(cache) if w not in missing]
-                if new:
-                    if len(cache) > CACHE_WORDS:
-                        cache.clear()
-                        new = [w for w in set(words) if w not in missing]
-                    for w, ids in zip(new, table.find([w.encode() for w in new], pieces), strict=True):
-                        if ids is None:
-                            missing[w] = len(missing)
-                        else:
-                            cache[w] = ids
-                got = list(map(cache.get, words))
-                if None in got:
-                    own = [missing[w] for w, g in zip(words, got, strict=True) if g is None]
-                    got = [hole if g is None else g for g in got]
-                else:
-                    own = []
-                doc_ids.append(doc_id)
-                parts.append(b"".join(got))
-                holes.append(own)
-                chars += len(text)
-                if chars >= CHUNK_CHARS:
-                    yield out()
-        if doc_ids:
-            yield out()
-
-    result = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+            for i in range(b.num_rows):
+                words = [w.encode() for w in b.column("words")[i].as_py()]
+                hit, sizes, ids = carried.value.find(words, pieces)
+                missing = [words[j] for j in np.flatnonzero(~hit).tolist()]
+                spelled = [[known[w]] if w in known else [single[x] for x in w] for w in missing]
+                held = [hit.astype(np.uint8).tobytes(), sizes.astype("<u4").tobytes(), ids.astype("<u4").tobytes()]
+                yield pa.RecordBatch.from_arrays([*(b.column(x).slice(i, 1) for x in ("doc_ids", "size", "ids")), *(pa.array([x], pa.binary()) for x in held), pa.array([spelled], pa.list_(pa.list_(pa.int32())))], names=["doc_ids", "size", "ids", "hit", "sizes", "known", "words"])
 
     def whole(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                folded = [array("I", w).tobytes() for w in row["folded"]]
-                out = []
-                for raw, own in zip(row["parts"], row["holes"], strict=True):
-                    if own:
-                        at = (np.flatnonzero(np.frombuffer(raw, "<u4") == HOLE) * 4).tolist()
-                        cuts, pieces = [-4, *at], []
-                        for k, end in enumerate([*at, len(raw)]):
-                            pieces.append(raw[cuts[k] + 4 : end])
-                            if k < len(own):
-                                pieces.append(folded[own[k]])
-                        raw = b"".join(pieces)
-                    out.append(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(out, pa.binary())], schema=result)
+        import zstandard
 
-    chunks = docs.select("doc_id", "text").mapInArrow(tidy("bytes", part), "doc_ids array<long>, parts array<binary>, holes array<array<int>>, words array<array<int>>")
-    return fold_words(chunks, "words", "folded", constant).select("doc_ids", "parts", "holes", "folded").mapInArrow(tidy("bytes", whole), "doc_id long, ids binary")
-
-
-def decode(ids: bytes, pieces: list[bytes]) -> bytes:
-    return b"".join([pieces[i] for i in array("I", ids)])
+        pieces = _pieces(load_ranks(vocabulary)) if digest else []
+        decimal = [str(i).encode() for i in range(len(pieces))]
+        for b in batches:
+            for row in range(b.num_rows):
+                of = lambda name, kind: np.frombuffer(b.column(name)[row].as_py(), kind)  # noqa: E731, B023
+                hit, folded = of("hit", np.uint8).astype(bool), b.column("folded")[row].values
+                sizes = np.empty(len(hit), np.int64)
+                sizes[hit], sizes[~hit] = of("sizes", "<u4"), folded.value_lengths().to_numpy(zero_copy_only=False)
+                starts = np.cumsum(sizes) - sizes
+                table = np.empty(int(sizes.sum()), np.uint32)
+                table[spans(starts[hit], sizes[hit])], table[spans(starts[~hit], sizes[~hit])] = of("known", "<u4"), folded.flatten().to_numpy()
+                planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column("ids")[row].as_py()), np.uint8).reshape(4, -1)
+                words = np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+                ends, doc_ids = np.cumsum(of("size", "<i4").astype(np.int64)), b.column("doc_ids")[row].values
+                at, step = 0, 1
+                while at < len(ends):  # some documents at a time
+                    first = int(ends[at - 1]) if at else 0
+                    step = max(1, int(np.searchsorted(ends, first + 250_000, side="right")) - at)
+                    own = words[first : ends[at + step - 1]]
+                    n = sizes[own]
+                    ids = table[spans(starts[own], n)]
+                    cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[first], ends[at : at + step]]) - first].tolist()
+                    raws = [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                    yield _digested(doc_ids.slice(at, step), raws, pieces, decimal) if digest else pa.RecordBatch.from_arrays([doc_ids.slice(at, step), pa.array([x.astype("<u4").tobytes() for x in raws], pa.binary())], names=["doc_id", "ids"])
+                    at += step
+
+    kept = made.select("doc_ids", "size", "ids", "words").mapInArrow(tidy("bytes", known_words), "doc_ids array<long>, size binary, ids binary, hit binary, sizes binary, known binary, words array<array<int>>")
+    given = fold_words(kept, "words", "folded", constant).select("doc_ids", "size", "ids", "hit", "sizes", "known", "folded")
+    return given.mapInArrow(tidy("bytes", whole), DIGESTS if digest else "doc_id long, ids binary")
+
+
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def decode(ids: list[int], pieces: list[bytes]) -> bytes:
+    return b"".join([pieces[i] for i in ids])
+
+
+def _digested(doc_ids: pa.Array, raws: list[np.ndarray], pieces: list[bytes], decimal: list[bytes]) -> pa.RecordBatch:
+    n, own, back = [], [], []
+    for raw in raws:
+        ids = raw.tolist()
+        n.append(len(ids))
+        own.append(hashlib.sha256(b" ".join([decimal[i] for i in ids])).hexdigest())
+        back.append(hashlib.sha256(decode(ids, pieces)).hexdigest())
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -289,19 +319,12 @@ def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches):
         pieces = _pieces(load_ranks(vocabulary))
-        decimal = [str(i) for i in range(len(pieces))]
+        decimal = [str(i).encode() for i in range(len(pieces))]
         for b in batches:
-            n, own, back = [], [], []
-            for raw in b.column("ids"):
-                raw = raw.as_py()
-                ids = array("I", raw)
-                n.append(len(ids))
-                own.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
-                back.append(hashlib.sha256(decode(raw, pieces)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield _digested(b.column("doc_id"), [np.frombuffer(x.as_py(), "<u4") for x in b.column("ids")], pieces, decimal)
 
-    return encoded.mapInArrow(tidy("bytes", run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(tidy("bytes", run), DIGESTS)
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    return digests(encode(texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    return encode(texts(spark.read.parquet(f"{sf_dir}/documents.parquet")), digest=True)

@@ -128,7 +128,18 @@ def test_byte_bpe(docs, empty, size):
         ids = enc.encode_ordinary(TEXT[r["doc_id"]])
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(TEXT[r["doc_id"]].encode()).hexdigest()
-    assert byte_bpe.encode(byte_bpe.texts(empty)).count() == 0
+    at_once = byte_bpe.encode(byte_bpe.texts(docs), dictionary=size, digest=True)
+    assert sorted(at_once.collect()) == sorted(got) and byte_bpe.encode(byte_bpe.texts(empty)).count() == 0
+
+
+def test_dictionary_refuses_words_of_another_hash():
+    import xxhash
+
+    pieces = [b"a", b"b", b"ab"]
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in (b"ab", b"xy", b"bb")], np.uint64)  # as if "xy" had the hash of "ba"
+    own = byte_bpe.Dictionary(hashes, np.array([1, 2, 2]), np.array([2, 1, 0, 1, 1]))
+    hit, sizes, ids = own.find([b"bb", b"xy", b"no", b"ab"], pieces)
+    assert hit.tolist() == [True, False, False, True] and sizes.tolist() == [2, 1] and ids.tolist() == [1, 1, 2]
 
 
 def test_jaccard(docs, empty):
