@@ -62,7 +62,27 @@ def kmers(seq: Column, k: int) -> Column:
 
 
 def kmer_hashes(seq: Column, k: int, canonical: bool = True) -> Column:
-    return F.transform(kmers(seq, k), lambda x: kmer_hash(x, k, canonical))
+    """The numbers of all overlapping k-mers of a valid read, in order. Both strands are written in digits once for the read."""
+
+    def numbers(x):
+        at = lambda digits, i: _number(F.substring(digits, i, F.lit(k)), k)
+        n = F.length(x["f"])
+        pick = lambda i: F.least(at(x["f"], i), at(x["r"], n - k + 2 - i)) if canonical else at(x["f"], i)
+        return F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), pick)
+
+    both = F.struct(F.translate(seq, "ATCG", "0123").alias("f"), F.reverse(F.translate(seq, "ATCG", "1032")).alias("r"))
+    once = F.element_at(F.transform(F.array(both), numbers), 1)  # a name in a lambda is computed once
+    return F.when(F.length(seq) >= k, once).otherwise(F.array().cast(f"array<{kmer_type(k)}>"))
+
+
+def reverse_number(number: Column, k: int) -> Column:
+    """The number of the other strand from a strand's, k up to 31: digits in reverse order, each with its last bit turned."""
+    if k > 31:
+        raise ValueError("integers hold k up to 31")
+    x = number
+    for width, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        x = F.shiftright(x, width).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(mask)), width))
+    return F.shiftrightunsigned(x, 64 - 2 * k).bitwiseXOR(F.lit(0x5555555555555555 & ((1 << 2 * k) - 1)))
 
 
 def neighbours(f: Column, r: Column, k: int, side: str) -> Column:
@@ -89,7 +109,7 @@ def binary_entropy(present: Column, total: Column) -> Column:
 
 def sample_name(path: Column) -> Column:
     """Base name, cut at the first of .kh, .ct, .cg and .countgraph (tried in this order) that occurs in it."""
-    base = F.element_at(F.split(path, "/"), -1)
+    base = F.element_at(F.split(path, "/"), -1)  # the suffixes and their order are fixed values
     cut = F.coalesce(*(F.when(F.instr(base, s) > 0, F.substring_index(base, s, 1)) for s in (".kh", ".ct", ".cg", ".countgraph")))
     return F.coalesce(cut, base)
 

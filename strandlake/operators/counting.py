@@ -21,7 +21,7 @@ def valid_reads(reads: DataFrame, k: int, n_as_a: bool = False) -> DataFrame:
 def explode_kmers(reads: DataFrame, k: int, canonical: bool = True, n_as_a: bool = False) -> DataFrame:
     """(other columns, pos, kmer) of all valid reads."""
     keep = [c for c in reads.columns if c not in ("sequence", "quality")]
-    return valid_reads(reads, k, n_as_a).select(*keep, F.posexplode(K.kmers(F.col("sequence"), k)).alias("pos", "word")).select(*keep, "pos", K.kmer_hash(F.col("word"), k, canonical).alias("kmer"))
+    return valid_reads(reads, k, n_as_a).select(*keep, F.posexplode(K.kmer_hashes(F.col("sequence"), k, canonical)).alias("pos", "kmer"))
 
 
 def consume_totals(reads: DataFrame, k: int) -> DataFrame:
@@ -55,6 +55,11 @@ def merge_sketches(*parts: DataFrame) -> DataFrame:
     return both.groupBy("sample", "tab", "bin").agg(F.least(F.sum("count"), F.lit(MAX_COUNT)).cast("smallint").alias("count"))
 
 
+def presence_union(counts: DataFrame) -> DataFrame:
+    """(tab, bin) that are set in any sample: the union of presence sketches."""
+    return counts.select("tab", "bin").distinct()
+
+
 def big_counts(kmers: DataFrame, sizes: list[int], order: list[str]) -> DataFrame:
     """(sample, kmer, count) above 255: a k-mer overflows when every one of its bins is full; counts stop at 65535.
     order gives the order of occurrences."""

@@ -10,8 +10,7 @@ from ..functions import kmers as K
 
 def edges(nodes: DataFrame, k: int) -> DataFrame:
     """(kmer, side, other) of existing neighbours. nodes: (kmer), distinct canonical numbers."""
-    text = K.decode(F.col("kmer"), k)
-    f, r = F.col("kmer"), K.reverse_hash(text, k)
+    f, r = F.col("kmer"), K.reverse_number(F.col("kmer"), k)
     sides = F.array(*(F.struct(F.lit(s).alias("side"), K.neighbours(f, r, k, s).alias("to")) for s in ("left", "right")))
     near = nodes.select("kmer", F.explode(sides).alias("s")).select("kmer", "s.side", F.explode("s.to").alias("other"))
     return near.join(nodes.select(F.col("kmer").alias("other")), "other", "left_semi").select("kmer", "side", "other")
@@ -39,16 +38,26 @@ def reach(nodes: DataFrame, start: DataFrame, k: int, radius: int, stop: DataFra
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(kmer, partition_id): the least k-mer of the component. Each round every node with a smaller neighbour is merged into
-    the least one; links between merged nodes shrink by a factor a round, until none is left."""
-    left = links.select(F.col("kmer").alias("a"), F.col("other").alias("b")).where("a <> b").distinct().checkpoint()
-    now = nodes.select("kmer", F.col("kmer").alias("partition_id"))
+    the least one, and links between merged nodes shrink by a factor, until none is left. The rounds' merges, each by that
+    factor fewer than the ones before, are then followed from the last to the first."""
+    left = links.select(F.greatest("kmer", "other").alias("a"), F.least("kmer", "other").alias("b")).where("a <> b").distinct().checkpoint()
+    merges = []
     while not left.isEmpty():
-        both = left.union(left.select("b", "a"))
-        into = both.groupBy("a").agg(F.min("b").alias("m")).where("m < a").checkpoint()
-        to = lambda c: into.select(F.col("a").alias(c), F.col("m").alias(f"{c}_to"))
-        left = left.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b")).where("a <> b").distinct().checkpoint()
-        now = now.join(to("partition_id"), "partition_id", "left").select("kmer", F.coalesce("partition_id_to", "partition_id").alias("partition_id")).checkpoint()
-    return now
+        into = left.groupBy("a").agg(F.min("b").alias("m")).checkpoint()
+        merges.append(into)
+        to = lambda c: into.select(F.col("a").alias(c), F.col("m").alias(f"{c}_to"))  # noqa: E731, B023
+        moved = left.join(to("a"), "a").join(to("b"), "b", "left").select(F.col("a_to").alias("x"), F.coalesce("b_to", "b").alias("y"))
+        left = moved.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().checkpoint()
+    root = None
+    for into in reversed(merges):  # an aim may be merged in several rounds: all of them lead to the least k-mer
+        if root is None:
+            root = into
+        else:
+            later = root.select(F.col("a").alias("m"), F.col("m").alias("last"))
+            root = into.join(later, "m", "left").select("a", F.coalesce("last", "m").alias("m")).unionByName(root).distinct().checkpoint()
+    if root is None:
+        return nodes.select("kmer", F.col("kmer").alias("partition_id"))
+    return nodes.join(root.select(F.col("a").alias("kmer"), "m"), "kmer", "left").select("kmer", F.coalesce("m", "kmer").alias("partition_id"))
 
 
 def partitions(nodes: DataFrame, k: int) -> DataFrame:
@@ -100,3 +109,51 @@ def divide_tags(tags: DataFrame, every: int) -> DataFrame:
         base += size
     at = F.broadcast(tags.sparkSession.createDataFrame(rows, "part int, base long"))  # a row a partition
     return ranged.join(at, "part").where(F.pmod(F.col("base") + F.col("n"), F.lit(every)) == 0).select("kmer")
+
+
+def connected_size(nodes: DataFrame, start: DataFrame, k: int, radius: int, threshold: int | None = None, stop: DataFrame | None = None) -> DataFrame:
+    """One row: nodes within radius of start, truncated at threshold."""
+    n = F.count("*")
+    return reach(nodes, start, k, radius, stop).agg((n if threshold is None else F.least(n, F.lit(threshold))).alias("size"))
+
+
+def trim_on_stop_tags(reads: DataFrame, kmers: DataFrame, stop: DataFrame, read: list[str], k: int) -> DataFrame:
+    """(read, usable): place of a read's first stop-tag k-mer plus k - 2; all of it without one; 0 if it is not valid. reads:
+    (read, sequence); kmers: (read, pos, kmer) of the valid ones."""
+    first = kmers.join(stop.select("kmer").distinct(), "kmer", "left_semi").groupBy(*read).agg(F.min("pos").alias("at"))
+    seq = K.normalise(F.col("sequence"))
+    usable = F.when(~K.is_valid(seq, k), 0).when(F.col("at").isNotNull(), F.col("at") + k - 2).otherwise(F.length("sequence"))
+    return reads.join(first, read, "left").select(*read, usable.cast("long").alias("usable"))
+
+
+def stop_tag_positions(kmers: DataFrame, stop: DataFrame, read: list[str]) -> DataFrame:
+    """(read, positions) of the stop-tag k-mers of reads that have any."""
+    return kmers.join(stop.select("kmer").distinct(), "kmer", "left_semi").groupBy(*read).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def merge_partitions(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(kmer, partition_id) of two partition maps, in which partitions that share a k-mer are one, named by the least id of the first
+    map where it has any, else of the second."""
+    a, b = first.select("kmer", (F.col("partition_id") * 2).alias("x")), second.select("kmer", (F.col("partition_id") * 2 + 1).alias("y"))
+    every = a.unionByName(b.select("kmer", F.col("y").alias("x"))).checkpoint()
+    group = components(a.join(b, "kmer").select(F.col("x").alias("kmer"), F.col("y").alias("other")).distinct(), every.select(F.col("x").alias("kmer")).distinct()).select(F.col("kmer").alias("x"), "partition_id")
+    return _named(every.join(group, "x"), F.struct((F.col("x") % 2).alias("second"), F.floor(F.col("x") / 2).alias("id")))
+
+
+def join_by_path(parts: DataFrame, kmers: DataFrame, read: list[str]) -> DataFrame:
+    """(kmer, partition_id) after all partitions that a read's k-mers meet are made one, named by the least id."""
+    met = kmers.join(parts, "kmer").select(*read, "partition_id").distinct()
+    links = met.join(met.groupBy(*read).agg(F.min("partition_id").alias("other")), read).select(F.col("partition_id").alias("kmer"), "other")
+    group = components(links, parts.select(F.col("partition_id").alias("kmer")).distinct()).select(F.col("kmer").alias("partition_id"), F.col("partition_id").alias("to"))
+    return parts.join(group, "partition_id").select("kmer", F.col("to").alias("partition_id"))
+
+
+def _named(members: DataFrame, name) -> DataFrame:
+    least = members.groupBy("partition_id").agg(F.min(name)["id"].alias("to"))
+    return members.join(least, "partition_id").select("kmer", F.col("to").alias("partition_id")).distinct()
+
+
+def partition_reads(reads: DataFrame, kmers: DataFrame, parts: DataFrame, read: list[str], k: int) -> DataFrame:
+    """(read, partition_id, single) of all reads: null where no k-mer has a partition; single is false for reads that are not valid."""
+    valid = K.is_valid(K.normalise(F.col("sequence")), k)
+    return reads.join(read_partitions(kmers, parts, read), read, "left").select(*read, "partition_id", (valid & F.coalesce("single", F.lit(True))).alias("single"))

@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 
 def read_median(occurrences: DataFrame, read: list[str]) -> DataFrame:
-    """Upper median, mean and population deviation of the counts of a read's k-mers."""
-    got = occurrences.groupBy(*read).agg(F.sort_array(F.collect_list("count")).alias("c"), F.avg("count").alias("mean"), F.stddev_pop("count").alias("stddev"))
-    return got.select(*read, F.element_at("c", (F.size("c") / 2).cast("int") + 1).alias("median"), "mean", "stddev")
+    """Upper median, mean and population deviation of the counts of a read's k-mers, from each read's histogram of counts."""
+    level = occurrences.groupBy(*read, "count").agg(F.count("*").alias("n"))
+    got = level.groupBy(*read).agg(F.sort_array(F.collect_list(F.struct("count", "n"))).alias("h"), F.sum("n").alias("all"), F.sum(F.col("count") * F.col("n")).alias("s"))
+    beyond = lambda acc, x: F.when(acc["left"] < 0, acc).otherwise(F.struct((acc["left"] - x["n"]).alias("left"), x["count"].alias("count")))
+    begin = F.struct(F.floor(F.col("all") / 2).cast("long").alias("left"), F.lit(0).cast("long").alias("count"))
+    mean = F.col("s") / F.col("all")
+    spread = F.aggregate("h", F.lit(0.0), lambda acc, x: acc + x["n"] * (x["count"] - mean) * (x["count"] - mean))
+    return got.select(*read, F.aggregate("h", begin, beyond, lambda acc: acc["count"]).alias("median"), mean.alias("mean"), F.sqrt(spread / F.col("all")).alias("stddev"))
 
 
 def read_extremes(occurrences: DataFrame, read: list[str]) -> DataFrame:
@@ -88,5 +93,14 @@ def approx_unique(kmers: DataFrame, error: float = 0.02) -> DataFrame:
 
 
 def cardinality_sketch(kmers: DataFrame, lg: int = 14) -> DataFrame:
-    """Mergeable sketches per sample; hll_union_agg joins them, hll_sketch_estimate reads them."""
+    """Mergeable sketches per sample; union_sketches joins them, sketch_estimate reads them."""
     return kmers.groupBy("sample").agg(F.hll_sketch_agg("kmer", F.lit(lg)).alias("sketch"))
+
+
+def union_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """The sketches of each group (or of all rows) as one."""
+    return sketches.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketch_estimate(sketches: DataFrame) -> DataFrame:
+    return sketches.withColumn("n_unique", F.hll_sketch_estimate("sketch")).drop("sketch")

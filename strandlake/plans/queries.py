@@ -214,6 +214,164 @@ def q_partition_sizes(s, d):
     return graph.partition_sizes(graph.partitions(nodes, 15))
 
 
+GRAPH_K = 9
+
+
+def _nodes(s, d, k: int = GRAPH_K) -> DataFrame:
+    from ..session import ensure_checkpoints
+
+    ensure_checkpoints(s)
+    return dna_kmers(s, d, k).select("kmer").distinct()
+
+
+def q_position_lines(s, d):
+    return spectrum.position_counts(occurrences(s, d), ["doc_id"])
+
+
+def q_by_abundance(s, d):
+    return spectrum.by_abundance(counting.exact_counts(dna_kmers(s, d)), 1)
+
+
+def q_high_abundance(s, d):
+    return spectrum.high_abundance(dna_kmers(s, d).withColumnRenamed("doc_id", "read_idx"), 2, 50)
+
+
+def q_present_kmers(s, d):
+    km = dna_kmers(s, d).select("sample", "kmer").distinct()
+    return counting.present(km, km.where("sample = 'src0'"))
+
+
+def q_kmer_strands(s, d):
+    words = dna(s, d).select(F.explode(K.kmers(F.col("sequence"), DNA_K)).alias("w")).distinct()
+    return words.select("w", K.build_kmer(F.col("w"), DNA_K).alias("x")).select("w", "x.f", "x.r", "x.u")
+
+
+def q_kmer_arrays(s, d):
+    h = dna(s, d).where(F.length("sequence") >= DNA_K).select("doc_id", *(K.kmer_hashes(F.col("sequence"), DNA_K, c).alias(n) for c, n in ((True, "u"), (False, "f"))))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return h.select("doc_id", F.size("u").cast("long").alias("n"), total("u").alias("total"), total("f").alias("forward"))
+
+
+def q_n_as_a(s, d):
+    raw = table(s, d, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''")
+    return raw.groupBy("doc_id").agg(F.count_if(K.is_valid(K.normalise(F.col("w"), n_as_a=True), 3)).alias("n_valid"))
+
+
+def q_sketch_unique(s, d):
+    return counting.sketch_unique(dna_kmers(s, d), DNA_SIZES, ["doc_id", "pos"])
+
+
+def q_big_counts(s, d):
+    return counting.big_counts(dna_kmers(s, d, 5), [499, 503], ["doc_id", "pos"])
+
+
+def q_presence_union(s, d):
+    return counting.presence_union(counting.sketch(dna_kmers(s, d), DNA_SIZES))
+
+
+def q_approx_unique_band(s, d):
+    km = dna_kmers(s, d)
+    got = spectrum.approx_unique(km).withColumnRenamed("n_unique", "approx").join(counting.unique_kmers(km), "sample")
+    return got.select("sample", "n_unique", (F.abs(F.col("approx") - F.col("n_unique")) <= 0.1 * F.col("n_unique")).alias("near"))
+
+
+def q_cardinality_union(s, d):
+    km = dna_kmers(s, d)
+    one = spectrum.sketch_estimate(spectrum.union_sketches(spectrum.cardinality_sketch(km))).withColumnRenamed("n_unique", "approx")
+    exact = km.select(F.lit("all").alias("sample"), "kmer").groupBy("sample").agg(F.count_distinct("kmer").alias("n_unique"))
+    return exact.crossJoin(F.broadcast(one)).select("n_unique", (F.abs(F.col("approx") - F.col("n_unique")) <= 0.1 * F.col("n_unique")).alias("near"))  # one row each
+
+
+def q_sample_names(s, d):
+    ends = F.array(*(F.lit(x) for x in (".kh", ".ct.gz", ".cg", ".countgraph", ".x.y")))
+    path = F.concat(F.lit("/data/run.1/"), F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), F.element_at(ends, (F.col("doc_id") % 5 + 1).cast("int")))
+    return table(s, d, "documents").select("doc_id", K.sample_name(path).alias("name"), K.stats_name(path).alias("short"))
+
+
+def q_name_partitions(s, d):
+    name = F.concat(F.lit("read "), F.col("doc_id").cast("string"), F.lit("\t"), (F.col("doc_id") % 7).cast("string"))
+    return table(s, d, "documents").select("doc_id", K.partition_of_name(name).alias("part"))
+
+
+def q_valid_pairs(s, d):
+    i, j = F.col("doc_id").cast("string"), (F.col("doc_id") - F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).cast("string")
+    slash = K.valid_pair(F.concat(F.lit("r"), i, F.lit("/1")), F.concat(F.lit("r"), j, F.lit("/2")))
+    word = K.valid_pair(F.concat(F.lit("r"), i, F.lit(" 1:N:0:ACG")), F.concat(F.lit("r"), j, F.lit(" 2:Y:0:ACG x")))
+    wrong = K.valid_pair(F.concat(F.lit("r"), i, F.lit("/2")), F.concat(F.lit("r"), i, F.lit("/1")))
+    return table(s, d, "documents").select("doc_id", slash.alias("slash"), word.alias("word"), wrong.alias("wrong"))
+
+
+def q_graph_reach(s, d):
+    n = _nodes(s, d)
+    return graph.reach(n, n.where("kmer < 500"), GRAPH_K, 3)
+
+
+def q_connected_size(s, d):
+    n = _nodes(s, d)
+    return graph.connected_size(n, n.where("kmer < 5"), GRAPH_K, 2, threshold=1000, stop=n.where("kmer % 3 = 0 AND kmer >= 5"))
+
+
+def q_partition_components(s, d):
+    return graph.partitions(_nodes(s, d), GRAPH_K)
+
+
+def q_partition_distribution(s, d):
+    return graph.size_distribution(graph.partitions(_nodes(s, d), GRAPH_K))
+
+
+def q_partition_coverage(s, d):
+    c = counting.exact_counts(dna_kmers(s, d, GRAPH_K).select(F.lit("all").alias("sample"), "kmer"))
+    return graph.mean_coverage(graph.partitions(_nodes(s, d), GRAPH_K), c)
+
+
+def q_largest_partitions(s, d):
+    return graph.largest(graph.partitions(_nodes(s, d), GRAPH_K))
+
+
+def _by_remainder(s, d) -> DataFrame:
+    """A partition map of all k-mers by their remainder, for operators on maps."""
+    return _nodes(s, d).select("kmer", (F.col("kmer") % 5003).alias("partition_id"))
+
+
+def q_read_partitions(s, d):
+    got = graph.partition_reads(dna(s, d).select("doc_id", "sequence"), dna_kmers(s, d, GRAPH_K), _by_remainder(s, d).where("partition_id < 20"), ["doc_id"], GRAPH_K)
+    return got.withColumn("partition_id", F.coalesce("partition_id", F.lit(-1).cast("long")))
+
+
+def q_join_by_path(s, d):
+    return graph.join_by_path(_by_remainder(s, d), dna_kmers(s, d, GRAPH_K), ["doc_id"])
+
+
+def q_merge_partitions(s, d):
+    n = _nodes(s, d)
+    return graph.merge_partitions(n.where("kmer % 2 = 0").select("kmer", (F.col("kmer") % 5003).alias("partition_id")), n.where("kmer % 3 = 0").select("kmer", (F.col("kmer") % 7001).alias("partition_id")))
+
+
+def q_compare_sets(s, d):
+    km = dna_kmers(s, d)
+    return graph.compare(km.where("sample = 'src0'").select("kmer").distinct(), km.where("sample <> 'src0'").select("kmer").distinct())
+
+
+def q_divide_tags(s, d):
+    return graph.divide_tags(_nodes(s, d), 10)
+
+
+def q_tag_labels(s, d):
+    km = dna_kmers(s, d, GRAPH_K).select(F.col("kmer").alias("tag"), F.col("sample").alias("label")).distinct()
+    return graph.labels_of(km.select("tag").distinct(), km).select("tag", F.array_join("labels", ",").alias("labels"))
+
+
+def q_trim_on_stop_tags(s, d):
+    km = dna_kmers(s, d)
+    return graph.trim_on_stop_tags(dna(s, d).select("doc_id", "sequence"), km, km.where("sample = 'src1'"), ["doc_id"], DNA_K)
+
+
+def q_stop_tag_positions(s, d):
+    km = dna_kmers(s, d)
+    got = graph.stop_tag_positions(km, km.where("sample = 'src1'"), ["doc_id"])
+    return got.select("doc_id", F.size("positions").cast("long").alias("n"), F.element_at("positions", 1).cast("long").alias("first"), F.element_at("positions", -1).cast("long").alias("last"))
+
+
 BASKET = """
 WITH hits AS (SELECT printf('n%02d', s_nationkey) AS sample, l_partkey AS item FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
 counts AS (SELECT sample, 0 AS tab, item % 1999 AS bin, CAST(least(count(*), 255) AS BIGINT) AS "count" FROM hits GROUP BY ALL
@@ -243,7 +401,7 @@ dist AS (SELECT n.a, n.b, CASE WHEN n.a <> n.b AND p.v > 0 AND q.v > 0 AND p.v +
 def _dna(k: int) -> str:
     number = lambda x: f"CAST(list_sum(list_transform(range(0, {k}), lambda i: (instr('ATCG', substr({x}, {k} - i, 1)) - 1) * CAST(pow(4, i) AS BIGINT))) AS BIGINT)"
     return f"""
-WITH reads AS (SELECT source AS sample, doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents),
+WITH RECURSIVE reads AS (SELECT source AS sample, doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents),
 words AS (SELECT sample, doc_id, pos - 1 AS pos, substr(seq, pos, {k}) AS w FROM (SELECT *, unnest(range(1, length(seq) - {k} + 2)) AS pos FROM reads WHERE length(seq) >= {k})),
 codes AS (SELECT w, least({number("w")}, {number("reverse(translate(w, 'ATCG', 'TAGC'))")}) AS kmer, {number("w")} AS f, {number("reverse(translate(w, 'ATCG', 'TAGC'))")} AS r FROM (SELECT DISTINCT w FROM words)),
 km AS (SELECT sample, doc_id, pos, kmer FROM words JOIN codes USING (w)),
@@ -254,7 +412,25 @@ bins AS (SELECT sample, 0 AS tab, kmer % 9973 AS bin, CAST(least(sum("count"), 2
 """
 
 
+GRAPH = (
+    _dna(GRAPH_K)
+    + """, nodes AS MATERIALIZED (SELECT DISTINCT kmer, least(f, r) AS f, greatest(f, r) AS r FROM codes),
+ near AS (SELECT kmer, least(((f << 2) & 262143) | b, (r >> 2) | (xor(b, 1) << 16)) AS o FROM nodes, (SELECT CAST(unnest(range(4)) AS BIGINT) AS b)
+  UNION ALL SELECT kmer, least((f >> 2) | (b << 16), ((r << 2) & 262143) | xor(b, 1)) FROM nodes, (SELECT CAST(unnest(range(4)) AS BIGINT) AS b)),
+ links AS MATERIALIZED (SELECT kmer, o FROM near WHERE o IN (SELECT kmer FROM nodes))
+"""
+)
+
+
+def _cc(nodes: str, links: str) -> str:
+    """Labels that sink along links (x, y) until none is left to sink: cc (node, label)."""
+    return f""", cc(node, label) USING KEY (node) AS (SELECT p, p FROM ({nodes}) t(p)
+  UNION SELECT l.x, min(c.label) FROM cc c JOIN {links} l ON l.y = c.node JOIN recurring.cc r ON r.node = l.x WHERE c.label < r.label GROUP BY l.x)
+"""
+
+
 D, W = _dna(DNA_K), _kernel("e.w")
+CC = GRAPH + ", twoway AS MATERIALIZED (SELECT DISTINCT kmer AS x, o AS y FROM links)" + _cc("SELECT kmer FROM nodes", "twoway") + ", parts AS (SELECT node AS kmer, label AS partition_id FROM cc) "
 R = "round(value, 6) + 0.0 AS value"
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
 SQL = {
@@ -293,14 +469,55 @@ SQL = {
     + f""", t AS (SELECT *, "count" > 1 AS ok, lag("count" > 1) OVER (PARTITION BY doc_id ORDER BY pos) AS before, min(pos) FILTER ("count" > 1) OVER (PARTITION BY doc_id) AS first FROM occ),
  p AS (SELECT doc_id, CASE WHEN pos = first AND pos > 0 THEN pos - 1 WHEN NOT ok AND before THEN pos + {DNA_K - 1} END AS place FROM t)
  SELECT doc_id, count(place) AS n, CAST(coalesce(sum(place), 0) AS BIGINT) AS total FROM p GROUP BY doc_id""",
-    "sketch_lookup": D + "SELECT e.sample, e.kmer, least(x.\"count\", y.\"count\") AS \"count\" FROM exact e JOIN bins x ON x.sample = e.sample AND x.tab = 0 AND x.bin = e.kmer % 9973 JOIN bins y ON y.sample = e.sample AND y.tab = 1 AND y.bin = e.kmer % 9967",
+    "sketch_lookup": D + "SELECT sample, kmer, least(sum(\"count\") OVER (PARTITION BY sample, kmer % 9973), sum(\"count\") OVER (PARTITION BY sample, kmer % 9967), 255)::INTEGER AS \"count\" FROM exact",
     "filter_present": D + "SELECT DISTINCT doc_id FROM km WHERE doc_id NOT IN (SELECT doc_id FROM km WHERE kmer IN (SELECT kmer FROM km WHERE sample = 'src0'))",
     "revcomp_decode": D + f", x AS (SELECT doc_id, w, kmer, f FROM words JOIN codes USING (w) WHERE pos = 0) SELECT doc_id, reverse(translate(w, 'ACGT', 'TGCA')) AS revcomp, CASE WHEN kmer = f THEN w ELSE reverse(translate(w, 'ACGT', 'TGCA')) END AS canonical, f AS forward FROM x",
     "read_validate": "SELECT doc_id, count(*) FILTER (length(w) >= 3 AND regexp_full_match(upper(w), '[ACGT]+')) AS n_valid, count(*) AS n_words FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY doc_id",
-    "graph_degree": _dna(9)
-    + """, nodes AS (SELECT DISTINCT kmer, least(f, r) AS u, CASE WHEN f <= r THEN f ELSE r END AS f, CASE WHEN f <= r THEN r ELSE f END AS r FROM codes),
- near AS (SELECT kmer, least(((f << 2) & 262143) | b, (r >> 2) | (xor(b, 1) << 16)) AS o FROM (SELECT DISTINCT kmer, f, r FROM nodes), range(4) t(b0), LATERAL (SELECT CAST(b0 AS BIGINT) AS b)
-  UNION ALL SELECT kmer, least((f >> 2) | (b << 16), ((r << 2) & 262143) | xor(b, 1)) FROM (SELECT DISTINCT kmer, f, r FROM nodes), range(4) t(b0), LATERAL (SELECT CAST(b0 AS BIGINT) AS b)),
- n AS (SELECT kmer, count(*) AS n FROM near WHERE o IN (SELECT kmer FROM nodes) GROUP BY kmer)
- SELECT d.kmer, coalesce(n.n, 0) AS degree FROM (SELECT DISTINCT kmer FROM nodes) d LEFT JOIN n ON n.kmer = d.kmer""",
+    "graph_degree": GRAPH + "SELECT d.kmer, coalesce(n, 0) AS degree FROM nodes d LEFT JOIN (SELECT kmer, count(*) AS n FROM links GROUP BY kmer) n ON n.kmer = d.kmer",
+    "position_lines": D + "SELECT doc_id, string_agg(CAST(\"count\" AS VARCHAR), ' ' ORDER BY pos) AS line FROM occ GROUP BY doc_id",
+    "by_abundance": D + "SELECT * FROM exact WHERE \"count\" = 1",
+    "high_abundance": D + ", t AS (SELECT min(doc_id) AS stop FROM (SELECT doc_id, row_number() OVER (PARTITION BY kmer ORDER BY doc_id, pos) AS nth FROM km) WHERE nth >= 50) SELECT kmer, count(*) AS \"count\" FROM km, t WHERE stop IS NULL OR doc_id <= stop GROUP BY kmer HAVING count(*) >= 2",
+    "present_kmers": D + "SELECT sample, kmer FROM exact WHERE kmer IN (SELECT kmer FROM exact WHERE sample = 'src0')",
+    "kmer_strands": D + "SELECT w, f, r, least(f, r) AS u FROM codes",
+    "kmer_arrays": D + "SELECT doc_id, count(*) AS n, CAST(sum(kmer) AS BIGINT) AS total, CAST(sum(f) AS BIGINT) AS forward FROM words JOIN codes USING (w) GROUP BY doc_id",
+    "n_as_a": "SELECT doc_id, count(*) FILTER (length(w) >= 3 AND regexp_full_match(upper(w), '[ACGTN]+')) AS n_valid FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY doc_id",
+    "sketch_unique": D + "SELECT sample, count(*) FILTER (x = 1 OR y = 1) AS n_unique FROM (SELECT sample, row_number() OVER (PARTITION BY sample, kmer % 9973 ORDER BY doc_id, pos) AS x, row_number() OVER (PARTITION BY sample, kmer % 9967 ORDER BY doc_id, pos) AS y FROM km) GROUP BY sample",
+    "big_counts": _dna(5)
+    + """SELECT sample, kmer, CAST(least(count(*) + 255, 65535) AS INTEGER) AS "count" FROM (SELECT sample, kmer, count(*) OVER (PARTITION BY sample, kmer % 499 ORDER BY doc_id, pos) AS x, count(*) OVER (PARTITION BY sample, kmer % 503 ORDER BY doc_id, pos) AS y FROM km)
+ WHERE x > 255 AND y > 255 GROUP BY sample, kmer""",
+    "presence_union": D + "SELECT DISTINCT tab, bin FROM bins",
+    "approx_unique_band": D + "SELECT sample, count(*) AS n_unique, true AS near FROM exact GROUP BY sample",
+    "cardinality_union": D + "SELECT count(DISTINCT kmer) AS n_unique, true AS near FROM exact",
+    "sample_names": """SELECT doc_id, CASE WHEN contains(b, '.kh') THEN split_part(b, '.kh', 1) WHEN contains(b, '.ct') THEN split_part(b, '.ct', 1) WHEN contains(b, '.cg') THEN split_part(b, '.cg', 1) WHEN contains(b, '.countgraph') THEN split_part(b, '.countgraph', 1) ELSE b END AS name, split_part(b, '.', 1) AS short
+ FROM (SELECT doc_id, source || '-' || doc_id || ['.kh', '.ct.gz', '.cg', '.countgraph', '.x.y'][doc_id % 5 + 1] AS b FROM documents)""",
+    "name_partitions": "SELECT doc_id, CAST(doc_id % 7 AS INTEGER) AS part FROM documents",
+    "valid_pairs": "SELECT doc_id, doc_id % 3 <> 0 AS slash, doc_id % 3 <> 0 AS word, false AS wrong FROM documents",
+    "graph_reach": GRAPH
+    + """, d0 AS (SELECT kmer, 0 AS depth FROM nodes WHERE kmer < 500), d1 AS (SELECT DISTINCT o AS kmer, 1 AS depth FROM links JOIN d0 USING (kmer)), d2 AS (SELECT DISTINCT o AS kmer, 2 AS depth FROM links JOIN d1 USING (kmer)),
+ d3 AS (SELECT DISTINCT o AS kmer, 3 AS depth FROM links JOIN d2 USING (kmer)) SELECT kmer, min(depth) AS depth FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3) GROUP BY kmer""",
+    "connected_size": GRAPH
+    + """, free AS (SELECT * FROM links WHERE NOT (o % 3 = 0 AND o >= 5) AND NOT (kmer % 3 = 0 AND kmer >= 5)), d0 AS (SELECT kmer FROM nodes WHERE kmer < 5 ), d1 AS (SELECT o AS kmer FROM free JOIN d0 USING (kmer)), d2 AS (SELECT o AS kmer FROM free JOIN d1 USING (kmer))
+ SELECT least(count(*), 1000) AS size FROM (SELECT kmer FROM d0 UNION SELECT kmer FROM d1 UNION SELECT kmer FROM d2)""",
+    "partition_components": CC + "SELECT kmer, partition_id FROM parts",
+    "partition_distribution": CC + "SELECT size, count(*) AS n_partitions FROM (SELECT count(*) AS size FROM parts GROUP BY partition_id) GROUP BY size",
+    "partition_coverage": CC + "SELECT partition_id, CAST(floor(avg(n)) AS BIGINT) AS coverage FROM parts JOIN (SELECT kmer, count(*) AS n FROM km GROUP BY kmer) USING (kmer) GROUP BY partition_id",
+    "largest_partitions": CC + "SELECT partition_id, count(*) AS size FROM parts GROUP BY partition_id ORDER BY size DESC, partition_id DESC LIMIT 2",
+    "read_partitions": _dna(9)
+    + """SELECT r.doc_id, coalesce(p, -1) AS partition_id, length(seq) >= 9 AND coalesce(n, 1) <= 1 AS single FROM reads r LEFT JOIN (SELECT doc_id, arg_min(kmer % 5003, pos) AS p, count(DISTINCT kmer % 5003) AS n FROM km WHERE kmer % 5003 < 20 GROUP BY doc_id) USING (doc_id)""",
+    "join_by_path": _dna(9)
+    + """, met AS (SELECT DISTINCT doc_id, kmer % 5003 AS p FROM km), pairs AS (SELECT DISTINCT p AS x, m AS y FROM met JOIN (SELECT doc_id, min(p) AS m FROM met GROUP BY doc_id) USING (doc_id)), twoway AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs)"""
+    + _cc("SELECT DISTINCT p FROM met", "twoway")
+    + "SELECT DISTINCT kmer, label AS partition_id FROM km JOIN cc ON node = kmer % 5003",
+    "merge_partitions": _dna(9)
+    + """, n AS (SELECT DISTINCT kmer FROM km), a AS (SELECT kmer, kmer % 5003 AS p FROM n WHERE kmer % 2 = 0), b AS (SELECT kmer, 10000 + kmer % 7001 AS p FROM n WHERE kmer % 3 = 0),
+ pairs AS (SELECT DISTINCT a.p AS x, b.p AS y FROM a JOIN b USING (kmer)), twoway AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs)"""
+    + _cc("SELECT p FROM a UNION SELECT p FROM b", "twoway")
+    + "SELECT DISTINCT kmer, label % 10000 AS partition_id FROM (SELECT * FROM a UNION ALL SELECT * FROM b) JOIN cc ON node = p",
+    "compare_sets": D + "SELECT count(*) FILTER (x AND NOT y) AS only_first, count(*) FILTER (y AND NOT x) AS only_second, count(*) FILTER (x AND y) AS both FROM (SELECT kmer, bool_or(sample = 'src0') AS x, bool_or(sample <> 'src0') AS y FROM exact GROUP BY kmer)",
+    "divide_tags": _dna(9) + "SELECT kmer FROM (SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS n FROM (SELECT DISTINCT kmer FROM km)) WHERE n % 10 = 0",
+    "tag_labels": _dna(9) + "SELECT kmer AS tag, string_agg(sample, ',' ORDER BY sample) AS labels FROM exact GROUP BY kmer",
+    "trim_on_stop_tags": D + f"SELECT r.doc_id, CASE WHEN length(seq) < {DNA_K} THEN 0 ELSE coalesce(x, length(seq)) END AS usable FROM reads r LEFT JOIN (SELECT doc_id, min(pos) + {DNA_K - 2} AS x FROM km WHERE kmer IN (SELECT kmer FROM exact WHERE sample = 'src1') GROUP BY doc_id) USING (doc_id)",
+    "stop_tag_positions": D + "SELECT doc_id, count(*) AS n, min(pos) AS first, max(pos) AS last FROM km WHERE kmer IN (SELECT kmer FROM exact WHERE sample = 'src1') GROUP BY doc_id",
+    "counts_by_every_position": D + "SELECT pos, count(*) AS n_kmers FROM occ WHERE \"count\" = 1 GROUP BY pos",
+    "revcomp_decode_all": D + "SELECT doc_id, pos, reverse(translate(w, 'ACGT', 'TGCA')) AS revcomp, CASE WHEN kmer = f THEN w ELSE reverse(translate(w, 'ACGT', 'TGCA')) END AS canonical, f AS forward FROM words JOIN codes USING (w)",
 }
