@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kmers as K
+from ..session import written
 
 
 def edges(nodes: DataFrame, k: int) -> DataFrame:
@@ -25,11 +26,11 @@ def degree(nodes: DataFrame, k: int) -> DataFrame:
 def reach(nodes: DataFrame, start: DataFrame, k: int, radius: int, stop: DataFrame | None = None) -> DataFrame:
     """(kmer, depth) of nodes within radius steps of start, never entering stop k-mers."""
     open_ = nodes if stop is None else nodes.join(stop.select("kmer"), "kmer", "left_anti")
-    near = edges(open_, k).select("kmer", "other").distinct().checkpoint()
-    seen = start.select("kmer").distinct().join(open_, "kmer", "left_semi").withColumn("depth", F.lit(0)).checkpoint()
+    near = written(edges(open_, k).select("kmer", "other").distinct())
+    seen = written(start.select("kmer").distinct().join(open_, "kmer", "left_semi").withColumn("depth", F.lit(0)))
     front = seen
     for depth in range(1, radius + 1):
-        front = front.join(near, "kmer").select(F.col("other").alias("kmer")).distinct().join(seen, "kmer", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        front = written(front.join(near, "kmer").select(F.col("other").alias("kmer")).distinct().join(seen, "kmer", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -38,23 +39,27 @@ def reach(nodes: DataFrame, start: DataFrame, k: int, radius: int, stop: DataFra
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(kmer, partition_id): the least k-mer of the component. Each round every node with a smaller neighbour is merged into
-    the least one, and links between merged nodes shrink by a factor, until none is left. The rounds' merges, each by that
+    the least one of a chain of such, and links between merged nodes shrink by a factor, until none is left. The rounds' merges, each by that
     factor fewer than the ones before, are then followed from the last to the first."""
-    left = links.select(F.greatest("kmer", "other").alias("a"), F.least("kmer", "other").alias("b")).where("a <> b").distinct().checkpoint()
+    left = written(links.select(F.greatest("kmer", "other").alias("a"), F.least("kmer", "other").alias("b")).where("a <> b").distinct())
     merges = []
     while not left.isEmpty():
-        into = left.groupBy("a").agg(F.min("b").alias("m")).checkpoint()
+        into = written(left.groupBy("a").agg(F.min("b").alias("m")))
+        for _ in range(2):  # aims that are merged themselves: two doublings follow chains of four
+            aim = into.select(F.col("a").alias("m"), F.col("m").alias("next"))
+            into = into.join(aim, "m", "left").select("a", F.coalesce("next", "m").alias("m"))
+        into = written(into)
         merges.append(into)
         to = lambda c: into.select(F.col("a").alias(c), F.col("m").alias(f"{c}_to"))  # noqa: E731, B023
         moved = left.join(to("a"), "a").join(to("b"), "b", "left").select(F.col("a_to").alias("x"), F.coalesce("b_to", "b").alias("y"))
-        left = moved.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().checkpoint()
+        left = written(moved.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     root = None
     for into in reversed(merges):  # an aim may be merged in several rounds: all of them lead to the least k-mer
         if root is None:
             root = into
         else:
             later = root.select(F.col("a").alias("m"), F.col("m").alias("last"))
-            root = into.join(later, "m", "left").select("a", F.coalesce("last", "m").alias("m")).unionByName(root).distinct().checkpoint()
+            root = written(into.join(later, "m", "left").select("a", F.coalesce("last", "m").alias("m")).unionByName(root).distinct())
     if root is None:
         return nodes.select("kmer", F.col("kmer").alias("partition_id"))
     return nodes.join(root.select(F.col("a").alias("kmer"), "m"), "kmer", "left").select("kmer", F.coalesce("m", "kmer").alias("partition_id"))
@@ -101,7 +106,7 @@ def labels_of(tags: DataFrame, labels: DataFrame) -> DataFrame:
 
 def divide_tags(tags: DataFrame, every: int) -> DataFrame:
     """Every so many-th tag in ascending order, from the first. Ranks come from counts per range partition, not one task."""
-    ranged = tags.select("kmer").distinct().repartitionByRange("kmer").sortWithinPartitions("kmer").withColumn("part", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).checkpoint()
+    ranged = written(tags.select("kmer").distinct().repartitionByRange("kmer").sortWithinPartitions("kmer").withColumn("part", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())
     base, rows = 0, []
     for part, size in sizes:
@@ -135,7 +140,7 @@ def merge_partitions(first: DataFrame, second: DataFrame) -> DataFrame:
     """(kmer, partition_id) of two partition maps, in which partitions that share a k-mer are one, named by the least id of the first
     map where it has any, else of the second."""
     a, b = first.select("kmer", (F.col("partition_id") * 2).alias("x")), second.select("kmer", (F.col("partition_id") * 2 + 1).alias("y"))
-    every = a.unionByName(b.select("kmer", F.col("y").alias("x"))).checkpoint()
+    every = written(a.unionByName(b.select("kmer", F.col("y").alias("x"))))
     group = components(a.join(b, "kmer").select(F.col("x").alias("kmer"), F.col("y").alias("other")).distinct(), every.select(F.col("x").alias("kmer")).distinct()).select(F.col("kmer").alias("x"), "partition_id")
     return _named(every.join(group, "x"), F.struct((F.col("x") % 2).alias("second"), F.floor(F.col("x") / 2).alias("id")))
 

@@ -207,9 +207,6 @@ def q_graph_degree(s, d):
 
 
 def q_partition_sizes(s, d):
-    from ..session import ensure_checkpoints
-
-    ensure_checkpoints(s)
     nodes = dna_kmers(s, d, 15).select("kmer").distinct()
     return graph.partition_sizes(graph.partitions(nodes, 15))
 
@@ -218,9 +215,6 @@ GRAPH_K = 9
 
 
 def _nodes(s, d, k: int = GRAPH_K) -> DataFrame:
-    from ..session import ensure_checkpoints
-
-    ensure_checkpoints(s)
     return dna_kmers(s, d, k).select("kmer").distinct()
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "strandlake", **conf: str) -> SparkSession:
@@ -14,9 +17,21 @@ def session(app: str = "strandlake", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Where the cluster names no shared folder (tests), make one."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
+def ensure_checkpoints(spark: SparkSession) -> str:
+    """The folder that all executors share. Where none is named, one is made for a local master (tests); a cluster must name it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="strandlake-checkpoints-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-checkpoints-"))
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage, and the plan's statistics become those of the files (a checkpoint
+    keeps the products that joins guess, whose digits grow from round to round)."""
+    path = f"{ensure_checkpoints(df.sparkSession)}/strandlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
