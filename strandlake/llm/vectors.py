@@ -6,7 +6,7 @@ each query, and a ranked window with a map-side limit merges the shards. Nothing
 
 Defined cases: null, non-finite or (cosine) zero vectors take no part; vectors only meet vectors of the
 same length; a vec_id never meets itself; a row repeated with the same vec_id and vector counts once; ties
-go to the smaller vec_id; empty tables give empty results; other columns are ignored.
+go to the smaller vec_id; whole-number scores beyond 64 bits count as the largest or least long; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import parallelism, ship
 
 MAX_SHARD, MIN_SHARD, QUERY_BLOCK = 8192, 512, 4096
+LARGEST = 2**63 - 1
 
 
 def valid_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", zero_ok: bool = True) -> DataFrame:
@@ -184,7 +185,8 @@ class PivotIndex:
     def _scores(self, at, x):
         if self.m.shape[1] * float(np.abs(x).max()) * self.top < 2.0**52:
             return (self.m[at] @ x).astype(np.int64)  # whole numbers below 2**52: exact in any order
-        return np.array([sum(int(a) * int(b) for a, b in zip(row, x, strict=True)) for row in self.m[at]], dtype=np.int64)
+        exact = (sum(int(a) * int(b) for a, b in zip(row, x, strict=True)) for row in self.m[at])
+        return np.array([max(-LARGEST, min(LARGEST, v)) for v in exact], dtype=np.int64)
 
     def __call__(self, qids, q, k):
         dq = self._dist(np.concatenate([q, np.zeros((len(q), 1))], axis=1), self.pivot)

@@ -85,6 +85,12 @@ def test_vector_search(spark, exact_product):
     assert vectors.pivot_top_k(v.where("id < 0"), v.where("id < 0")).count() == 0
 
 
+def test_products_beyond_64_bits():
+    m = np.array([[9e18, 9e18], [-9e18, -9e18], [9e18, 1.0], [3.0, 4.0]])
+    rows, ids, scores = vectors.PivotIndex(np.arange(4), m)(np.array([0]), m[:1], 5)
+    assert rows.tolist() == [0, 0, 0] and ids.tolist() == [2, 3, 1] and scores.tolist() == [vectors.LARGEST, 2**63 - 1, -vectors.LARGEST]
+
+
 def test_packing(docs, empty):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     got = packing.pack_pieces(packing.cut(docs)).toPandas()
@@ -350,3 +356,32 @@ def test_pipeline(spark, tmp_path):
     kept = {r["doc_id"] for r in now.collect()}
     assert {0, 1, 2, 3, 4, 5} <= kept and len(kept) < len(ROWS)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == kept
+
+
+def test_vantage_recall_as_shipped():
+    """One shard of all sf0.1 vectors, searched with the default factor, against brute force."""
+    import inspect
+
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pylist()
+    ids, m = np.array([r["vec_id"] for r in t]), np.array([r["embedding"] for r in t], float)
+    asked = ids % 50 == 0
+    relax = inspect.signature(vectors.vantage_knn).parameters["relax"].default
+    rows, got, _ = vectors.VantageTree(ids, m, relax)(ids[asked], m[asked], 5)
+    u = m / np.sqrt((m * m).sum(axis=1))[:, None]
+    hits = 0
+    for i, q in enumerate(np.flatnonzero(asked)):
+        s = u @ u[q]
+        s[q] = -np.inf
+        hits += len(set(ids[np.argsort(-s)[:5]]) & set(got[rows == i]))
+    assert hits >= 0.9 * 5 * asked.sum()
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Labels of rows that learning never sees, on the sf0.1 tables."""
+    d = "/root/testdata/sf0.1"
+    got = toxicity.op4_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in got}
+    caught, spared = n.get((1, 1), 0), n.get((0, 0), 0)
+    assert caught >= 0.9 * (caught + n.get((1, 0), 0)) > 0 and spared >= 0.98 * (spared + n.get((0, 1), 0)) > 0
