@@ -140,10 +140,6 @@ def q_abundance_distribution(s, d):
     return spectrum.abundance_distribution(counting.exact_counts(km))
 
 
-def q_counts_by_position(s, d):
-    return spectrum.counts_by_position(occurrences(s, d), 200, 1)
-
-
 def q_counts_by_every_position(s, d):
     return spectrum.counts_by_position(occurrences(s, d), equal=1)
 
@@ -187,10 +183,6 @@ def _revcomp_decode(words: DataFrame, *keep: str) -> DataFrame:
     return words.select(*keep, K.reverse_complement(F.col("w")).alias("revcomp"), K.decode(K.kmer_hash(F.col("w"), DNA_K), DNA_K).alias("canonical"), K.forward_hash(F.col("w"), DNA_K).alias("forward"))
 
 
-def q_revcomp_decode(s, d):
-    return _revcomp_decode(dna(s, d).where(F.length("sequence") >= DNA_K).select("doc_id", F.substring("sequence", 1, DNA_K).alias("w")), "doc_id")
-
-
 def q_revcomp_decode_all(s, d):
     return _revcomp_decode(dna(s, d).select("doc_id", F.posexplode(K.kmers(F.col("sequence"), DNA_K)).alias("pos", "w")), "doc_id", "pos")
 
@@ -453,7 +445,6 @@ SQL = {
     "occupied": BASKET + "SELECT sample, count(*) AS occupied FROM counts WHERE tab = 0 GROUP BY sample",
     "unique_kmers": D + "SELECT sample, count(*) AS n_unique FROM exact GROUP BY sample",
     "abundance_distribution": D + "SELECT CAST(least(c, 65535) AS INTEGER) AS abundance, count(*) AS n_kmers FROM (SELECT kmer, sum(\"count\") AS c FROM exact GROUP BY kmer) GROUP BY 1",
-    "counts_by_position": D + "SELECT pos, count(*) AS n_kmers FROM occ WHERE pos < 200 AND \"count\" = 1 GROUP BY pos",
     "read_median": D + "SELECT doc_id, list_sort(list(\"count\"))[len(list(\"count\")) // 2 + 1] AS median, round(avg(\"count\"), 6) + 0.0 AS mean, round(stddev_pop(\"count\"), 6) + 0.0 AS stddev FROM occ GROUP BY doc_id",
     "read_extremes": D + "SELECT doc_id, least(min(\"count\"), 255) AS min_count, max(\"count\") AS max_count FROM occ GROUP BY doc_id",
     "median_at_least": D + "SELECT doc_id, count(*) FILTER (\"count\" >= 3) >= floor(0.5 + count(*) / 2.0) AS enough FROM occ GROUP BY doc_id",
@@ -465,7 +456,6 @@ SQL = {
  SELECT doc_id, count(place) AS n, CAST(coalesce(sum(place), 0) AS BIGINT) AS total FROM p GROUP BY doc_id""",
     "sketch_lookup": D + "SELECT sample, kmer, least(sum(\"count\") OVER (PARTITION BY sample, kmer % 9973), sum(\"count\") OVER (PARTITION BY sample, kmer % 9967), 255)::INTEGER AS \"count\" FROM exact",
     "filter_present": D + "SELECT DISTINCT doc_id FROM km WHERE doc_id NOT IN (SELECT doc_id FROM km WHERE kmer IN (SELECT kmer FROM km WHERE sample = 'src0'))",
-    "revcomp_decode": D + f", x AS (SELECT doc_id, w, kmer, f FROM words JOIN codes USING (w) WHERE pos = 0) SELECT doc_id, reverse(translate(w, 'ACGT', 'TGCA')) AS revcomp, CASE WHEN kmer = f THEN w ELSE reverse(translate(w, 'ACGT', 'TGCA')) END AS canonical, f AS forward FROM x",
     "read_validate": "SELECT doc_id, count(*) FILTER (length(w) >= 3 AND regexp_full_match(upper(w), '[ACGT]+')) AS n_valid, count(*) AS n_words FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY doc_id",
     "graph_degree": GRAPH + "SELECT d.kmer, coalesce(n, 0) AS degree FROM nodes d LEFT JOIN (SELECT kmer, count(*) AS n FROM links GROUP BY kmer) n ON n.kmer = d.kmer",
     "position_lines": D + "SELECT doc_id, string_agg(CAST(\"count\" AS VARCHAR), ' ' ORDER BY pos) AS line FROM occ GROUP BY doc_id",
