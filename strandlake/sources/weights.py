@@ -3,7 +3,7 @@ line of bin and weight for every bin, of which only the order counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import FileFormatError
@@ -21,14 +21,20 @@ def weights_to_text(weights: DataFrame, size: int) -> DataFrame:
 
 
 def weights_from_text(spark: SparkSession, path: str) -> DataFrame:
-    """(tab 0, bin, weight), zero weights left out."""
+    """(tab 0, bin, weight) by the order of lines, whatever index they name; zero weights left out."""
     head = spark.read.text(path).first()
     if head is None or head[0].split("\t")[0] != HEAD:
         raise FileFormatError("no weight file")
     size = int(head[0].split("\t")[1])
-    part = F.split("value", r"\s+")
-    rows = spark.read.text(path).where(~F.col("value").startswith(HEAD) & (F.trim("value") != ""))
-    out = rows.select(F.lit(0).alias("tab"), part[0].cast("long").alias("bin"), part[1].cast("double").alias("weight"))
-    if out.count() != size:
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    rows = lines.where(~F.col("value").startswith(HEAD) & (F.trim("value") != ""))
+    blocks, base, before = sorted((r["block"], r["count"]) for r in rows.groupBy("block").count().collect()), 0, []  # a row a file block
+    for block, n in blocks:
+        before.append((block, base))
+        base += n
+    at = F.broadcast(spark.createDataFrame(before, "block long, base long"))
+    place = F.col("base") + F.row_number().over(Window.partitionBy("block").orderBy("n")) - 1
+    out = rows.join(at, "block").select(F.lit(0).alias("tab"), place.cast("long").alias("bin"), F.split(F.trim("value"), r"\s+")[1].cast("double").alias("weight"))
+    if base != size:
         raise FileFormatError(f"{size} bins were announced")
     return out.where("weight <> 0")

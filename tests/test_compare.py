@@ -109,3 +109,11 @@ def test_contract_imports():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert os.path.exists(e.__file__)
+
+
+def test_weights_by_order_of_lines(spark, tmp_path):
+    from strandlake.sources import weights
+
+    (tmp_path / "w.txt").write_text(f"{weights.HEAD}\t4\n9 0.5\n\n0 0\n3 0.25\n2 1\n")
+    got = weights.weights_from_text(spark, str(tmp_path / "w.txt"))
+    assert sorted(map(tuple, got.collect())) == [(0, 0, 0.5), (0, 2, 0.25), (0, 3, 1.0)]
