@@ -263,9 +263,10 @@ def q_approx_unique_band(s, d):
 
 def q_cardinality_union(s, d):
     km = dna_kmers(s, d)
-    one = spectrum.sketch_estimate(spectrum.union_sketches(spectrum.cardinality_sketch(km))).withColumnRenamed("n_unique", "approx")
+    whole = spectrum.cardinality_sketch(km).withColumn("sample", F.lit("all"))
+    one = spectrum.sketch_estimate(spectrum.union_sketches(whole, "sample")).withColumnRenamed("n_unique", "approx")
     exact = km.select(F.lit("all").alias("sample"), "kmer").groupBy("sample").agg(F.count_distinct("kmer").alias("n_unique"))
-    return exact.crossJoin(F.broadcast(one)).select("n_unique", (F.abs(F.col("approx") - F.col("n_unique")) <= 0.1 * F.col("n_unique")).alias("near"))  # one row each
+    return exact.join(one, "sample").select("n_unique", (F.abs(F.col("approx") - F.col("n_unique")) <= 0.1 * F.col("n_unique")).alias("near"))
 
 
 def q_sample_names(s, d):
