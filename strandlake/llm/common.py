@@ -100,10 +100,6 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 
-def parallelism(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
 def crc_remainder(doc_id, mod: int):
     """crc32 of the id written as text, modulo mod (null ids: the remainder of the empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))

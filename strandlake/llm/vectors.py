@@ -1,8 +1,10 @@
 """Vector search: vantage-point trees (approximate cosine) and a pivot-distance index (exact inner product).
 
-Layout shared by both: valid vectors are dealt by a hash of vec_id to shards of bounded size; the stated
-query rows are dealt to blocks of bounded size and meet every shard; a shard returns its own best k for
-each query, and a ranked window with a map-side limit merges the shards. Nothing is broadcast.
+Layout shared by both: vectors belong to the cell of their nearest pivot (the pivots are a bounded sample, the cells all
+rows); large cells are dealt to shards of bounded size by a hash. A query first meets its own cell. The k-th best found there
+bounds what other cells must offer: by the triangle inequality a cell whose span of distances, or whose border, is farther than that
+is never sent the query. Queries of a cell are dealt to blocks of bounded size. A ranked window with a map-side limit
+merges what the shards return. Tables smaller than two shards are one cell.
 
 Defined cases: null, non-finite or (cosine) zero vectors take no part; vectors only meet vectors of the
 same length; a vec_id never meets itself; a row repeated with the same vec_id and vector counts once; ties
@@ -16,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism, ship
+from .common import drop_tables, few, shared_table, ship
 
-MAX_SHARD, MIN_SHARD, QUERY_BLOCK = 8192, 512, 4096
+#: Rows of a shard, queries of a block, rows sampled as pivots, pivots.
+SHARD, QUERY_BLOCK, SAMPLE, MAX_CELLS = 2048, 4096, 4096, 1024
 LARGEST = 2**63 - 1
 
 
@@ -40,18 +43,135 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids[~same], np.ascontiguousarray(m[~same])
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, score_type: str, make) -> DataFrame:
-    """vectors, queries: (id, v). make(ids, matrix) -> find(query ids, query matrix, k) -> rows, ids, scores."""
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    sq = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None] - 2.0 * (a @ b.T)
+    return np.sqrt(np.maximum(0.0, sq))
+
+
+class Cosine:
+    """Directions: the nearest by angle are the nearest points of the unit sphere."""
+
+    def points(self, m, dim):
+        return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+
+    queries = points
+
+    def reach(self, scores, q, dim):
+        """The distance within which a point has at least that score, with a slack above rounding."""
+        return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * scores)) + 1e-6
+
+
+class Product:
+    """One more coordinate makes all vectors of a length as long as the longest, so the largest product is the nearest."""
+
+    def __init__(self, longest: dict[int, float]):
+        self.longest = longest
+
+    def points(self, m, dim):
+        return np.concatenate([m, np.sqrt(np.maximum(0.0, self.longest[dim] - np.einsum("ij,ij->i", m, m)))[:, None]], axis=1)
+
+    def queries(self, m, dim):
+        return np.concatenate([m, np.zeros((len(m), 1))], axis=1)
+
+    def reach(self, scores, q, dim):
+        own = np.einsum("ij,ij->i", q, q) + self.longest[dim]
+        near = np.sqrt(np.maximum(0.0, own - 2.0 * scores)) + 1e-6 * (1.0 + np.sqrt(own))
+        return np.where(np.abs(scores) >= float(LARGEST), np.inf, near)
+
+
+def _by_length(batch: pa.RecordBatch):
+    """(length, rows, matrix) of the vectors of each length."""
+    column = batch.column("v")
+    sizes, flat = column.value_lengths().to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+    start = np.cumsum(sizes) - sizes
+    for dim in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == dim)
+        yield dim, rows, flat[start[rows][:, None] + np.arange(dim)].astype(np.float64)
+
+
+def _pivots(vectors: DataFrame, n: int, cells: int) -> dict[int, np.ndarray]:
+    """Different vectors of a sample of about SAMPLE rows, for each length in proportion; none for a single cell."""
+    if cells < 2:
+        return {}
+    wide = 1 << 40
+    share = F.pmod(F.xxhash64("id", "v"), F.lit(wide)) < F.lit(max(1, wide * min(n, SAMPLE) // n))
+    drawn: dict[int, dict[bytes, np.ndarray]] = {}
+    for row in vectors.where(share).select("v").toArrow().to_batches():
+        for dim, _, m in _by_length(row):
+            drawn.setdefault(dim, {}).update((x.tobytes(), x) for x in m)
+    total = sum(map(len, drawn.values()))
+    rng = np.random.default_rng(7)
+    out = {}
+    for dim, found in sorted(drawn.items()):
+        m = np.array([found[key] for key in sorted(found)])
+        want = min(len(m), -(-cells * len(m) // total))
+        out[dim] = m[np.sort(rng.permutation(len(m))[:want])]
+    return out
+
+
+def _place(rows: DataFrame, pivots: dict[int, np.ndarray], space, asked: bool) -> DataFrame:
+    """(id, v, dim, cell, away): the nearest pivot and its distance; cell -1 for lengths without pivots."""
+
+    def run(batches):
+        for b in batches:
+            cell, away = np.full(b.num_rows, -1, np.int32), np.zeros(b.num_rows)
+            for dim, at, m in _by_length(b):
+                if dim in pivots:
+                    d = _distances((space.queries if asked else space.points)(m, dim), space.points(pivots[dim], dim))
+                    cell[at] = d.argmin(axis=1)
+                    away[at] = d[np.arange(len(at)), cell[at]]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "v", "dim")), pa.array(cell), pa.array(away)], names=["id", "v", "dim", "cell", "away"])
+
+    placed = rows.select("id", "v", F.size("v").alias("dim"))
+    if not pivots:
+        return placed.withColumns({"cell": F.lit(-1), "away": F.lit(0.0)})
+    return placed.mapInArrow(run, "id long, v array<double>, dim int, cell int, away double")
+
+
+def _route(asked: DataFrame, pivots: dict[int, np.ndarray], spans: dict[int, np.ndarray], space, relax: float) -> DataFrame:
+    """(id, v, dim, cell) of the cells beside a query's own that can still hold one of its k best. asked: (id, v, least),
+    least: the k-th best score so far or null; spans: least and largest distance from each pivot (NaN for empty cells)."""
+
+    def run(batches):
+        for b in batches:
+            least = b.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+            for dim, at, m in _by_length(b):
+                if dim not in pivots:
+                    continue
+                q, (low, high) = space.queries(m, dim), spans[dim]
+                d = _distances(q, space.points(pivots[dim], dim))
+                own = d.argmin(axis=1)
+                tau = np.where(np.isnan(least[at]), np.inf, space.reach(least[at], m, dim))
+                border = (d - d.min(axis=1)[:, None]) / 2
+                gap = np.maximum(border, np.maximum(d - high[None], low[None] - d))
+                meets = ~(gap * relax > tau[:, None]) & ~np.isnan(high)[None]
+                meets[np.arange(len(at)), own] = False
+                for a in range(0, len(at), 64):  # bounds the vectors that a batch repeats
+                    row, cell = np.nonzero(meets[a : a + 64])
+                    if len(row):
+                        take = pa.array(at[a + row])
+                        yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("id", "v")), pa.array(np.full(len(row), dim, np.int32)), pa.array(cell.astype(np.int32))], names=["id", "v", "dim", "cell"])
+
+    return asked.mapInArrow(run, "id long, v array<double>, dim int, cell int")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, score_type: str, make, space=None, relax: float = 1.0, cells: int | None = None) -> DataFrame:
+    """vectors, queries: (id, v). make(ids, matrix) -> find(query ids, query matrix, k) -> rows, ids, scores. space: Cosine or
+    Product, by default the products of these vectors. Gaps between a query and a cell count relax times. cells: about how many."""
     spark = vectors.sparkSession
     ship(spark)
-    n, nq = vectors.count(), queries.count()
-    per_shard = min(MAX_SHARD, max(MIN_SHARD, -(-n // (2 * parallelism(spark)))))
-    shards, blocks = max(1, -(-n // per_shard)), max(1, -(-nq // QUERY_BLOCK))
-    key = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    dim = F.size("v").alias("dim")
-    left = vectors.select("id", "v", dim, key(shards).alias("shard")).select("*", every(blocks).alias("block"))
-    right = queries.select("id", "v", dim, key(blocks).alias("block")).select("*", every(shards).alias("shard"))
+    vectors, queries = vectors.dropDuplicates(["id", "v"]), queries.dropDuplicates(["id", "v"])
+    n = vectors.count()
+    pivots = _pivots(vectors, n, min(MAX_CELLS, n // SHARD) if cells is None else cells)
+    if space is None:
+        square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+        longest = vectors.where(F.size("v").isin(list(pivots))).groupBy(F.size("v").alias("dim")).agg(F.max(square).alias("most")).collect() if pivots else []
+        space = Product({r["dim"]: r["most"] for r in longest})
+    on = ["dim", "cell"]
+    placed = shared_table(_place(vectors, pivots, space, False))
+    shards = F.ceil(F.count("*") / SHARD).cast("int").alias("shards")
+    sizes = shared_table(placed.groupBy(on).agg(shards, F.min("away").alias("low"), F.max("away").alias("high")))
+    tables = [placed, sizes]
     out_type = pa.int64() if score_type == "long" else pa.float64()
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", out_type)])
 
@@ -62,10 +182,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, score_type: str, make
         rows, ids, scores = make(*_matrix(points))(qids, q, k)
         return pa.table([pa.array(qids[rows], pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, out_type)], schema=schema)
 
-    on = ["dim", "shard", "block"]
-    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def meet(routed: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score) of the k best of each shard for the queries that are sent to its cell."""
+        blocks = shared_table(routed.groupBy(on).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks")))
+        tables.append(blocks)
+        deal = lambda rows: rows.join(few(sizes.select(*on, "shards")), on).join(few(blocks), on)
+        key = lambda m: F.pmod(F.xxhash64("id", "v"), F.col(m)).cast("int")
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+        left = deal(placed.drop("away")).select("id", "v", *on, key("shards").alias("shard"), every("blocks").alias("block"))
+        right = deal(routed).select("id", "v", *on, key("blocks").alias("block"), every("shards").alias("shard"))
+        by = [*on, "shard", "block"]
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    best = ranked(meet(_place(queries, pivots, space, True).drop("away")))
+    if pivots:
+        best = shared_table(best)
+        tables.append(best)
+        spans = {dim: np.full((2, len(m)), np.nan) for dim, m in pivots.items()}
+        for r in sizes.where("cell >= 0").collect():  # a row a pivot
+            spans[r["dim"]][:, r["cell"]] = r["low"], r["high"]
+        least = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("least"))
+        others = meet(_route(queries.join(least, "id", "left").select("id", "v", "least"), pivots, spans, space, relax))
+        best = ranked(best.drop("rank").unionByName(others))
+    best = shared_table(best)
+    drop_tables(*tables)
+    return best
 
 
 def _best(rows, ids, scores, k):
@@ -144,10 +289,10 @@ class VantageTree:
         return rows, got[rows, col], best[rows, col]
 
 
-def vantage_knn(vectors: DataFrame, queries: DataFrame, k: int = 5, relax: float = 4.0) -> DataFrame:
+def vantage_knn(vectors: DataFrame, queries: DataFrame, k: int = 5, relax: float = 4.0, cells: int | None = None) -> DataFrame:
     """The k nearest by cosine. relax divides the distance within which far sides of a tree are still visited;
     1 gives exact search, larger values prune more."""
-    return search(vectors, queries, k, "double", lambda ids, m: VantageTree(ids, m, relax))
+    return search(vectors, queries, k, "double", lambda ids, m: VantageTree(ids, m, relax), Cosine(), relax, cells)
 
 
 class PivotIndex:
@@ -177,10 +322,7 @@ class PivotIndex:
             chosen.append(draw[self._dist(draw, np.array(chosen)).min(axis=1).argmax()])
         return np.array(chosen)
 
-    @staticmethod
-    def _dist(a, b):
-        sq = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None] - 2.0 * (a @ b.T)
-        return np.sqrt(np.maximum(0.0, sq))
+    _dist = staticmethod(_distances)
 
     def _scores(self, at, x):
         if self.m.shape[1] * float(np.abs(x).max()) * self.top < 2.0**52:
@@ -235,9 +377,9 @@ class PivotIndex:
         return np.concatenate(rows), np.concatenate(ids), np.concatenate(scores)
 
 
-def pivot_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def pivot_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, cells: int | None = None) -> DataFrame:
     """The k largest inner products of whole-number vectors, exactly."""
-    return search(vectors, queries, k, "long", PivotIndex)
+    return search(vectors, queries, k, "long", PivotIndex, cells=cells)
 
 
 def embeddings(spark, sf_dir: str) -> DataFrame:

@@ -62,17 +62,18 @@ def vector_table(spark):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
 
+@pytest.mark.parametrize("cells", [None, 12])
 @pytest.mark.parametrize("exact_product", [True, False])
-def test_vector_search(spark, exact_product):
+def test_vector_search(spark, exact_product, cells):
     rows, df = vector_table(spark)
     v = vectors.valid_vectors(df, zero_ok=exact_product)
     if exact_product:
         from pyspark.sql import functions as F
 
         v = v.select("id", F.transform("v", lambda x: F.floor(x * 256).cast("double")).alias("v"))
-        got = vectors.pivot_top_k(v, v.where("id % 50 = 0"))
+        got = vectors.pivot_top_k(v, v.where("id % 50 = 0"), cells=cells)
     else:
-        got = vectors.vantage_knn(v, v.where("id % 50 = 0"), relax=1.0)
+        got = vectors.vantage_knn(v, v.where("id % 50 = 0"), relax=1.0, cells=cells)
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect())
     keep = {i: np.array(x, float) for i, x in rows if x and None not in x and np.isfinite(x).all() and (exact_product or any(x))}
     prepare = (lambda x: np.floor(256 * x)) if exact_product else (lambda x: x / np.sqrt((x * x).sum()))
@@ -85,6 +86,36 @@ def test_vector_search(spark, exact_product):
     assert vectors.pivot_top_k(v.where("id < 0"), v.where("id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("exact_product", [True, False])
+def test_queries_meet_few_cells(spark, monkeypatch, exact_product):
+    """Clustered vectors of two lengths, one vector on a third of the rows, one vec_id on many: cells that bounds rule out are not
+    sent the query, no shard outgrows its bound, and the result is that of brute force."""
+    rng = np.random.default_rng(11)
+    centre = np.floor(rng.normal(size=(20, 6)) * 200)
+    m = np.concatenate([np.floor(centre[rng.integers(20, size=800)] + rng.normal(size=(800, 6)) * 8), np.repeat(centre[:1], 400, axis=0)])
+    rows = [(i, x.tolist()) for i, x in enumerate(m)] + [(50, x.tolist()) for x in m[800:]] + [(5000 + i, x[:3].tolist()) for i, x in enumerate(m[:60])]
+    v = vectors.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    sent, met = [], vectors._route
+    monkeypatch.setattr(vectors, "SHARD", 100)
+    monkeypatch.setattr(vectors, "_route", lambda *a: sent.append(met(*a)) or sent[-1])
+    search = (lambda v, q: vectors.pivot_top_k(v, q, cells=20)) if exact_product else (lambda v, q: vectors.vantage_knn(v, q, relax=1.0, cells=20))
+    monkeypatch.setattr(vectors, "drop_tables", lambda *t: None)
+    got = {}
+    for r in search(v, v.where("id % 50 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(float(r["score"]), 9)))
+    pairs, asked = sent[0].count(), {i for i, _ in rows if i % 50 == 0}
+    assert pairs <= 0.5 * 20 * sum(1 for i, x in {(i, tuple(x)) for i, x in rows} if i in asked)
+    every = sorted({(i, tuple(x)) for i, x in rows})
+    for q in asked:
+        found = []
+        for x in (x for i, x in every if i == q):
+            for i, y in every:
+                if i != q and len(x) == len(y):
+                    s = float(np.dot(x, y))
+                    found.append((-round(s if exact_product else s / np.sqrt(np.dot(x, x) * np.dot(y, y)), 9), i))
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(sorted(found)[:5])]
+
+
 def test_products_beyond_64_bits():
     m = np.array([[9e18, 9e18], [-9e18, -9e18], [9e18, 1.0], [3.0, 4.0]])
     rows, ids, scores = vectors.PivotIndex(np.arange(4), m)(np.array([0]), m[:1], 5)
