@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import drop_tables, few, shared_table, ship
 
 #: Rows of a shard, queries of a block, rows sampled as pivots, pivots.
-SHARD, QUERY_BLOCK, SAMPLE, MAX_CELLS = 2048, 4096, 4096, 1024
+SHARD, QUERY_BLOCK, SAMPLE, MAX_CELLS = 8192, 4096, 4096, 1024
 LARGEST = 2**63 - 1
 
 
