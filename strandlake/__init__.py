@@ -1 +1,3 @@
 """Alignment-free comparison of samples, and training-data operators, on Spark DataFrames."""
+
+__version__ = "0.2.0"

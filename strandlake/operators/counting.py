@@ -100,8 +100,12 @@ def cap(counts: DataFrame, most: int) -> DataFrame:
     return counts.withColumn("count", F.least("count", F.lit(most)).cast("smallint"))
 
 
+def shape(k: int, sizes: list[int], bigcount: bool = False) -> list[Column]:
+    return [F.lit(k).alias("ksize"), F.array(*(F.lit(s).cast("long") for s in sizes)).alias("tablesizes"), F.lit(bigcount).alias("use_bigcount")]
+
+
 def samples(counts: DataFrame, k: int, sizes: list[int], bigcount: bool = False) -> DataFrame:
-    return occupied(counts).select("sample", F.lit(k).alias("ksize"), F.array(*(F.lit(s).cast("long") for s in sizes)).alias("tablesizes"), F.lit(bigcount).alias("use_bigcount"), "occupied")
+    return occupied(counts).select("sample", *shape(k, sizes, bigcount), "occupied")
 
 
 def check_compatible(described: DataFrame) -> None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import struct
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -115,13 +116,36 @@ def read_sketches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return counts, files.mapInPandas(heads, "sample string, ksize int, tablesizes array<long>, use_bigcount boolean, occupied long")
 
 
-def sketch_bytes(counts: DataFrame, k: int, sizes: list[int], compress: bool = False) -> DataFrame:
-    """(sample, content): one dense file a sample, as the format asks for."""
+def read_big_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, kmer, count) above 255 of all sketch files of a path."""
+    files = spark.read.format("binaryFile").load(path).select(K.sample_name(F.col("path")).alias("sample"), "content")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def bigs(frames):
+        for f in frames:
+            for sample, data in zip(f["sample"], f["content"], strict=True):
+                rows = [(sample, Decimal(kmer), n) for kmer, n in decode_counts(data)["bigcounts"]]
+                yield pd.DataFrame(rows, columns=["sample", "kmer", "count"])
+
+    return files.mapInPandas(bigs, "sample string, kmer decimal(20,0), count int")
+
+
+def sketch_bytes(counts: DataFrame, k: int, sizes: list[int], compress: bool = False, big: DataFrame | None = None) -> DataFrame:
+    """(sample, content): one dense file a sample, as the format asks for; with the big counts (sample, kmer, count) if given."""
+    use_bigcount = big is not None
+
+    def content(pdf: pd.DataFrame, bigs=()) -> bytes:
         tables = [np.zeros(s, np.uint8) for s in sizes]
         for tab, g in pdf.groupby("tab"):
             tables[int(tab)][g["bin"].to_numpy()] = g["count"].to_numpy()
-        return pd.DataFrame({"sample": [pdf["sample"].iloc[0]], "content": [encode_counts(k, tables, compress=compress)]})
+        return encode_counts(k, tables, sorted(bigs), use_bigcount, compress)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"sample": [pdf["sample"].iloc[0]], "content": [content(pdf)]})
+
+    def both(pdf: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        name = (pdf if len(pdf) else more)["sample"].iloc[0]
+        return pd.DataFrame({"sample": [name], "content": [content(pdf, [(int(a), int(c)) for a, c in zip(more["kmer"], more["count"], strict=True)])]})
 
-    return counts.groupBy("sample").applyInPandas(one, "sample string, content binary")
+    if big is None:
+        return counts.groupBy("sample").applyInPandas(one, "sample string, content binary")
+    return counts.groupBy("sample").cogroup(big.groupBy("sample")).applyInPandas(both, "sample string, content binary")

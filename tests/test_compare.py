@@ -85,6 +85,39 @@ def test_command_line(spark, counts, tmp_path):
         compare.main(["dist", files[0]], spark)
 
 
+def test_from_reads_to_matrices_by_commands(spark, tmp_path):
+    from strandlake.plans import compare
+
+    for s, own in SAMPLES.items():
+        (tmp_path / f"{s}.fa").write_text("".join(f">{r}\n{R[r]}\n" for r in own))
+    reads, out = [f"file://{tmp_path}/{s}.fa" for s in SAMPLES], str(tmp_path / "sketches")
+    assert compare.main(["sketch", "-k", "5", "-x", "97", "-b", "-o", out, *reads], spark) == 0
+    for files in ([out], [f"{out}/{s}.fa.ct.gz" for s in SAMPLES]):
+        assert compare.main(["dist", "-v", "-k", str(tmp_path / "k.txt"), "-d", str(tmp_path / "d.txt"), *files], spark) == 0
+        assert np.allclose(matrix.from_text((tmp_path / "k.txt").read_text())[1], KERNEL, rtol=1e-4)
+        assert np.allclose(matrix.from_text((tmp_path / "d.txt").read_text())[1], DISTANCE, rtol=1e-4)
+    assert compare.main(["dist", "-q", "-C", "-w", str(tmp_path / "w.txt"), out], spark) == 0
+    assert (tmp_path / "w.txt").read_text().endswith("\n") and len((tmp_path / "w.txt").read_text().splitlines()) == 98
+    assert compare.main(["stats", "-o", str(tmp_path / "s.txt"), out], spark) == 0
+    assert [line.split("\t")[:2] for line in (tmp_path / "s.txt").read_text().splitlines()[1:]] == [[s, "39"] for s in SAMPLES]
+    for bad in (["dist", "-C", out], ["--version"], ["dist", str(tmp_path / "sketches" / "d1.fa.ct.gz")]):
+        with pytest.raises(SystemExit):
+            compare.main(bad, spark)
+
+
+def test_big_counts_through_files(spark, tmp_path):
+    from strandlake.plans import compare
+
+    (tmp_path / "a.fa").write_text(f">x\n{'A' * 404}\n")
+    (tmp_path / "b.fa").write_text(">x\nACGTACGT\n")
+    out = str(tmp_path / "o")
+    assert compare.main(["sketch", "-k", "5", "-x", "97", "89", "-b", "-B", "-o", out, f"file://{tmp_path}/a.fa", f"file://{tmp_path}/b.fa"], spark) == 0
+    got = sketch_file.decode_counts(open(f"{out}/a.fa.ct.gz", "rb").read())
+    assert got["use_bigcount"] and got["bigcounts"] == [(0, 400)] and got["tables"][0][0] == 255
+    assert [(r["sample"], int(r["kmer"]), r["count"]) for r in sketch_file.read_big_counts(spark, f"file://{out}/*.ct.gz").collect()] == [("a.fa", 0, 400)]
+    assert sketch_file.decode_counts(open(f"{out}/b.fa.ct.gz", "rb").read())["bigcounts"] == []
+
+
 def test_read_files(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">one a\nACGT\nACGT\n>two\nTTTT\n")
     got = sequences.read_sequences(spark, f"file://{tmp_path}/x.fa").orderBy("read_idx").collect()
