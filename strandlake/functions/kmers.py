@@ -3,6 +3,8 @@ form the smaller of both strands. Up to 31 bases the number is a BIGINT, for 32
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,3 +132,45 @@ def valid_pair(name1: Column, name2: Column) -> Column:
     word = r"^(\S+)\s+([12]):[YN]:\d+:[ACGTN0-9]+.*$"
     by_word = (F.regexp_extract(name1, word, 2) == "1") & (F.regexp_extract(name2, word, 2) == "2") & (F.regexp_extract(name1, word, 1) == F.regexp_extract(name2, word, 1))
     return by_slash | by_word
+
+
+def _murmur(words: np.ndarray) -> np.ndarray:
+    """The low half of the 128-bit MurmurHash3 (x64, seed 0) of each row of bytes."""
+    u = np.uint64
+    c1, c2 = u(0x87C37B91114253D5), u(0x4CF5AD432745937F)  # fixed values of the hash, as are the shifts and sums below
+    turn = lambda x, n: (x << u(n)) | (x >> u(64 - n))
+    count, size = words.shape
+    padded = np.zeros((count, (size // 16 + 1) * 16), np.uint8)
+    padded[:, :size] = words
+    lanes = np.ascontiguousarray(padded).view("<u8")
+    h1, h2 = np.zeros(count, u), np.zeros(count, u)
+    with np.errstate(over="ignore"):
+        for block in range(size // 16):
+            h1 = h1 ^ turn(lanes[:, 2 * block] * c1, 31) * c2
+            h1 = (turn(h1, 27) + h2) * u(5) + u(0x52DCE729)
+            h2 = h2 ^ turn(lanes[:, 2 * block + 1] * c2, 33) * c1
+            h2 = (turn(h2, 31) + h1) * u(5) + u(0x38495AB5)
+        h1 = h1 ^ turn(lanes[:, -2] * c1, 31) * c2 ^ u(size)
+        h2 = h2 ^ turn(lanes[:, -1] * c2, 33) * c1 ^ u(size)
+        h1 = h1 + h2
+        h2 = h2 + h1
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h1, h2 = ((h ^ (h >> u(33))) * u(m) for h in (h1, h2))
+        return (h1 ^ (h1 >> u(33))) + (h2 ^ (h2 >> u(33)))
+
+
+def murmur_hash(kmer: Column) -> Column:
+    """The 64 bits, as a BIGINT, of a k-mer's murmur hash and that of its other strand, by exclusive or."""
+
+    def run(words: pd.Series) -> pd.Series:
+        out = np.zeros(len(words), np.int64)
+        sizes = words.str.len().fillna(-1).to_numpy()
+        for size in np.unique(sizes[sizes >= 0]).astype(int):
+            rows = np.flatnonzero(sizes == size)
+            own = np.frombuffer("".join(words.iloc[rows]).encode("latin-1"), np.uint8).reshape(-1, size)
+            mate = np.zeros(256, np.uint8)
+            mate[np.frombuffer(b"ACGT", np.uint8)] = np.frombuffer(b"TGCA", np.uint8)
+            out[rows] = (_murmur(own) ^ _murmur(mate[own][:, ::-1])).view(np.int64)
+        return pd.Series(pd.arrays.IntegerArray(out, sizes < 0))  # not floats beside nulls
+
+    return F.pandas_udf(run, "long")(kmer)

@@ -162,3 +162,52 @@ def partition_reads(reads: DataFrame, kmers: DataFrame, parts: DataFrame, read:
     """(read, partition_id, single) of all reads: null where no k-mer has a partition; single is false for reads that are not valid."""
     valid = K.is_valid(K.normalise(F.col("sequence")), k)
     return reads.join(read_partitions(kmers, parts, read), read, "left").select(*read, "partition_id", (valid & F.coalesce("single", F.lit(True))).alias("single"))
+
+
+def tag_links(nodes: DataFrame, tags: DataFrame, k: int, density: int, stop: DataFrame | None = None) -> DataFrame:
+    """(tag, found): tags met from each tag within 2 * density + 1 steps on paths that pass no other tag and no stop tag."""
+    open_ = nodes if stop is None else nodes.join(stop.select("kmer"), "kmer", "left_anti")
+    near = written(edges(open_, k).select("kmer", "other").distinct())
+    own = written(tags.select("kmer").distinct().join(open_, "kmer", "left_semi"))
+    front = seen = written(own.select(F.col("kmer").alias("tag"), "kmer"))
+    found = None
+    for _ in range(2 * density + 1):
+        met = front.join(near, "kmer").select("tag", F.col("other").alias("kmer")).distinct()
+        met = written(met.join(seen, ["tag", "kmer"], "left_anti").join(own.withColumn("is_tag", F.lit(True)), "kmer", "left"))
+        hits = met.where("is_tag").select("tag", F.col("kmer").alias("found"))
+        found = hits if found is None else found.unionByName(hits)
+        if met.isEmpty():
+            break
+        front, seen = met.where("is_tag IS NULL").select("tag", "kmer"), seen.unionByName(met.select("tag", "kmer"))
+    return found
+
+
+def tag_partitions(nodes: DataFrame, tags: DataFrame, k: int, density: int, stop: DataFrame | None = None) -> DataFrame:
+    """(kmer, partition_id) of the tags: those that find each other, directly or by others, are one partition, named by the least."""
+    links = tag_links(nodes, tags, k, density, stop).select(F.col("tag").alias("kmer"), F.col("found").alias("other"))
+    return components(links, tags.select("kmer").distinct())
+
+
+def transfer_to_stop_tags(kmers: DataFrame, counts: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(stop tags, counts after): k-mers counted threshold times and more become stop tags, the others count once more.
+    kmers: (kmer); counts: (kmer, count)."""
+    held = kmers.select("kmer").distinct().join(counts, "kmer", "left").select("kmer", F.coalesce("count", F.lit(0)).alias("count"))
+    more = held.where(F.col("count") < threshold).select("kmer", F.lit(1).alias("count"))
+    return held.where(F.col("count") >= threshold).select("kmer"), counts.unionByName(more).groupBy("kmer").agg(F.sum("count").alias("count"))
+
+
+def largest_split(parts: DataFrame) -> DataFrame:
+    """(kmer, partition_id) of the largest partition, for another traversal of it; of equal ones the higher id."""
+    first = largest(parts).orderBy(F.desc("size"), F.desc("partition_id")).limit(1).select("partition_id")
+    return parts.join(F.broadcast(first), "partition_id", "left_semi").select("kmer", "partition_id")  # one row
+
+
+def tag_lines(tags: DataFrame, k: int) -> DataFrame:
+    """(kmer, value): tags as bases, to be written in ascending order of k-mers."""
+    return tags.select("kmer").distinct().select("kmer", K.decode(F.col("kmer"), k).alias("value"))
+
+
+def unassigned_reads(reads: DataFrame, kmers: DataFrame, parts: DataFrame, read: list[str]) -> DataFrame:
+    """Names of reads none of whose k-mers has a partition, those that are not valid too."""
+    met = kmers.join(parts.select("kmer").distinct(), "kmer", "left_semi").select(*read).distinct()
+    return reads.select(*read).distinct().join(met, read, "left_anti")

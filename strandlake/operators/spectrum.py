@@ -4,9 +4,14 @@ occurrences: (read columns, pos, kmer, count), one row for each k-mer of a valid
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: By precision from 4 on, the estimates up to which linear counting is the better one.
+LINEAR_BELOW = (10, 20, 40, 80, 220, 400, 900, 1800, 3100, 6500, 11500, 20000, 50000)
+
 
 def read_median(occurrences: DataFrame, read: list[str]) -> DataFrame:
     """Upper median, mean and population deviation of the counts of a read's k-mers, from each read's histogram of counts."""
@@ -104,3 +109,33 @@ def union_sketches(sketches: DataFrame, *by: str) -> DataFrame:
 
 def sketch_estimate(sketches: DataFrame) -> DataFrame:
     return sketches.withColumn("n_unique", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
+def precision(error: float) -> int:
+    """Address bits of registers for a relative error."""
+    p = math.ceil(math.log2((1.04 / error) ** 2)) if error > 0 else 0
+    if not 4 <= p <= 16:
+        raise ValueError("an error of 0.0040625 to 0.367")
+    return p
+
+
+def registers(hashed: DataFrame, p: int, *by: str) -> DataFrame:
+    """(by, register, rank) of 64-bit hashes h: the low p bits address a register, which holds the largest rank, that is 1 and
+    the leading zeros of the other bits. Empty registers have no row; registers of parts merge by merge_registers."""
+    rest = F.shiftrightunsigned("h", p)
+    rank = F.when(rest == 0, 65 - p).otherwise(65 - p - F.length(F.bin(rest)))
+    return hashed.where(F.col("h").isNotNull()).groupBy(*by, F.col("h").bitwiseAND(F.lit((1 << p) - 1)).alias("register")).agg(F.max(rank).cast("int").alias("rank"))
+
+
+def merge_registers(first: DataFrame, second: DataFrame, *by: str) -> DataFrame:
+    return first.unionByName(second).groupBy(*by, "register").agg(F.max("rank").alias("rank"))
+
+
+def register_estimate(held: DataFrame, p: int, *by: str) -> DataFrame:
+    """(by, n_unique): linear counting below its bound, else the harmonic mean of the registers, without a bias table."""
+    m = 1 << p
+    alpha = {4: 0.673, 5: 0.697, 6: 0.709}.get(p, 0.7213 / (1 + 1.079 / m))
+    got = held.groupBy(*by).agg(F.count("*").alias("used"), F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("total"))
+    linear = m * F.log(F.lit(float(m)) / F.nullif(F.lit(m) - F.col("used"), F.lit(0)))
+    raw = alpha * m * m / (F.col("total") + m - F.col("used"))
+    return got.select(*by, F.floor(F.when(linear <= LINEAR_BELOW[p - 4], linear).otherwise(raw)).alias("n_unique"))

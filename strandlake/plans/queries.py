@@ -358,6 +358,43 @@ def q_stop_tag_positions(s, d):
     got = graph.stop_tag_positions(km, km.where("sample = 'src1'"), ["doc_id"])
     return got.select("doc_id", F.size("positions").cast("long").alias("n"), F.element_at("positions", 1).cast("long").alias("first"), F.element_at("positions", -1).cast("long").alias("last"))
 
+def _tags(s, d) -> DataFrame:
+    return _nodes(s, d).where("kmer % 97 = 0")
+
+
+def q_tag_links(s, d):
+    return graph.tag_links(_nodes(s, d), _tags(s, d), GRAPH_K, 1)
+
+
+def q_tag_partitions(s, d):
+    return graph.tag_partitions(_nodes(s, d), _tags(s, d), GRAPH_K, 1)
+
+
+def q_transfer_to_stop_tags(s, d):
+    counts = dna_kmers(s, d).groupBy("kmer").agg(F.count("*").alias("count"))
+    stop, left = graph.transfer_to_stop_tags(counts.where("kmer % 2 = 0"), counts, 5)
+    return left.join(stop.withColumn("stop", F.lit(True)), "kmer", "left").select("kmer", "count", F.coalesce("stop", F.lit(False)).alias("stop"))
+
+
+def q_largest_split(s, d):
+    return graph.largest_split(_by_remainder(s, d))
+
+
+def q_tag_lines(s, d):
+    return graph.tag_lines(_tags(s, d), GRAPH_K)
+
+
+def q_unassigned_reads(s, d):
+    km = dna_kmers(s, d)
+    return graph.unassigned_reads(dna(s, d), km, km.where("sample = 'src0'").select("kmer"), ["doc_id"])
+
+
+def q_murmur_registers(s, d):
+    """Without SQL, which has no such hash: tested against plain code."""
+    words = dna(s, d).select("sample", F.explode(K.kmers(F.col("sequence"), DNA_K)).alias("w")).distinct()
+    p = spectrum.precision(0.02)
+    return spectrum.register_estimate(spectrum.registers(words.select("sample", K.murmur_hash(F.col("w")).alias("h")), p, "sample"), p, "sample")
+
 
 BASKET = """
 WITH hits AS (SELECT printf('n%02d', s_nationkey) AS sample, l_partkey AS item FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
@@ -417,6 +454,13 @@ def _cc(nodes: str, links: str) -> str:
 
 
 D, W = _dna(DNA_K), _kernel("e.w")
+WALK = (
+    GRAPH
+    + """, walk(tag, kmer, depth) AS (SELECT kmer, kmer, 0 FROM nodes WHERE kmer % 97 = 0
+  UNION SELECT w.tag, l.o, depth + 1 FROM walk w JOIN links l ON l.kmer = w.kmer WHERE depth < 3 AND (depth = 0 OR w.kmer % 97 <> 0)),
+ met AS MATERIALIZED (SELECT DISTINCT tag AS x, kmer AS y FROM walk WHERE kmer % 97 = 0 AND kmer <> tag)
+"""
+)
 CC = GRAPH + ", twoway AS MATERIALIZED (SELECT DISTINCT kmer AS x, o AS y FROM links)" + _cc("SELECT kmer FROM nodes", "twoway") + ", parts AS (SELECT node AS kmer, label AS partition_id FROM cc) "
 R = "round(value, 6) + 0.0 AS value"
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
@@ -505,4 +549,14 @@ SQL = {
     "stop_tag_positions": D + "SELECT doc_id, count(*) AS n, min(pos) AS first, max(pos) AS last FROM km WHERE kmer IN (SELECT kmer FROM exact WHERE sample = 'src1') GROUP BY doc_id",
     "counts_by_every_position": D + "SELECT pos, count(*) AS n_kmers FROM occ WHERE \"count\" = 1 GROUP BY pos",
     "revcomp_decode_all": D + "SELECT doc_id, pos, reverse(translate(w, 'ACGT', 'TGCA')) AS revcomp, CASE WHEN kmer = f THEN w ELSE reverse(translate(w, 'ACGT', 'TGCA')) END AS canonical, f AS forward FROM words JOIN codes USING (w)",
+    "tag_links": WALK + "SELECT x AS tag, y AS found FROM met",
+    "tag_partitions": WALK + _cc("SELECT kmer FROM nodes WHERE kmer % 97 = 0", "met") + "SELECT node AS kmer, label AS partition_id FROM cc",
+    "transfer_to_stop_tags": D
+    + """, n AS (SELECT kmer, count(*) AS c FROM km GROUP BY kmer)
+SELECT kmer, CAST(c + CASE WHEN kmer % 2 = 0 AND c < 5 THEN 1 ELSE 0 END AS BIGINT) AS "count", kmer % 2 = 0 AND c >= 5 AS stop FROM n""",
+    "tag_lines": _dna(GRAPH_K) + "SELECT kmer, any_value(CASE WHEN kmer = f THEN w ELSE reverse(translate(w, 'ACGT', 'TGCA')) END) AS value FROM codes WHERE kmer % 97 = 0 GROUP BY kmer",
+    "unassigned_reads": D + "SELECT doc_id FROM reads WHERE doc_id NOT IN (SELECT doc_id FROM km WHERE kmer IN (SELECT kmer FROM km WHERE sample = 'src0'))",
+    "largest_split": _dna(GRAPH_K)
+    + """, held AS (SELECT DISTINCT kmer, kmer % 5003 AS partition_id FROM codes)
+SELECT kmer, partition_id FROM held WHERE partition_id = (SELECT partition_id FROM held GROUP BY partition_id ORDER BY count(*) DESC, partition_id DESC LIMIT 1)""",
 }

@@ -2,7 +2,8 @@
 
 Count sketches: "OXLI", u8 version 4, u8 type 1, u8 big counts, u32 k, u8 tables, u64 occupied; for each table u64 size and a
 byte a bin; then u64 entries of (u64 k-mer, u16 count). Presence sketches: type 2, without the big-count byte and entries,
-and a bit a bin. Tag sets: types 3 (tags) and 4 (stop tags)."""
+and a bit a bin. Tag sets: types 3 (tags) and 4 (stop tags). Partition maps and labels: types 5 and 6, u32 k, u64 entries of (u64 k-mer,
+u32 partition) or (u64 k-mer, u64 label)."""
 
 from __future__ import annotations
 
@@ -20,7 +21,7 @@ from ..functions import kmers as K
 from .sequences import unpacked
 
 #: Fixed values of the format.
-SIGNATURE, VERSION, COUNTS, PRESENCE, TAGS, STOP_TAGS = b"OXLI", 4, 1, 2, 3, 4
+SIGNATURE, VERSION, COUNTS, PRESENCE, TAGS, STOP_TAGS, PARTITIONS, LABELS = b"OXLI", 4, 1, 2, 3, 4, 5, 6
 
 
 def _head(data: bytes, kind: int) -> int:
@@ -94,6 +95,44 @@ def decode_tags(data: bytes, stop: bool = False) -> tuple[int, int, list[int]]:
     return k, density, np.frombuffer(data, "<u8", n, 22).tolist()
 
 
+#: Names and layout of the entries of a partition map and of labels.
+ENTRIES = {PARTITIONS: np.dtype([("kmer", "<u8"), ("partition_id", "<u4")]), LABELS: np.dtype([("kmer", "<u8"), ("label", "<u8")])}
+
+
+def encode_entries(kind: int, k: int, entries) -> bytes:
+    """A file of PARTITIONS or LABELS from (k-mer, value) pairs, in ascending order."""
+    rows = np.array(sorted(set(entries)), ENTRIES[kind])
+    return SIGNATURE + struct.pack("<BBIQ", VERSION, kind, k, len(rows)) + rows.tobytes()
+
+
+def decode_entries(data: bytes, kind: int) -> tuple[int, list[tuple[int, int]]]:
+    """(k, pairs); a file that holds fewer or more entries than it announces is an error."""
+    data = unpacked(data)
+    at = _head(data, kind)
+    if len(data) < at + 12:
+        raise FileFormatError("cut off")
+    k, n = struct.unpack_from("<IQ", data, at)
+    if len(data) != at + 12 + n * ENTRIES[kind].itemsize:
+        raise FileFormatError(f"{n} entries were announced")
+    return k, np.frombuffer(data, ENTRIES[kind], n, at + 12).tolist()
+
+
+def read_entries(spark: SparkSession, path: str, kind: int) -> DataFrame:
+    """(file, kmer, partition_id or label) of all files of a path."""
+    value = ENTRIES[kind].names[1]
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+
+    def rows(frames):
+        for f in frames:
+            for name, data in zip(f["file"], f["content"], strict=True):
+                _, pairs = decode_entries(data, kind)
+                for a in range(0, len(pairs), 1 << 16):
+                    part = pairs[a : a + (1 << 16)]
+                    yield pd.DataFrame({"file": name, "kmer": [Decimal(x) for x, _ in part], value: [Decimal(y) for _, y in part]})
+
+    return files.mapInPandas(rows, f"file string, kmer decimal(20,0), {value} decimal(20,0)")
+
+
 def read_sketches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(counts, samples) of all sketch files of a path: bins are emitted where a file is read."""
     files = spark.read.format("binaryFile").load(path).select(K.sample_name(F.col("path")).alias("sample"), "content")

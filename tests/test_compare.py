@@ -150,3 +150,43 @@ def test_weights_by_order_of_lines(spark, tmp_path):
     (tmp_path / "w.txt").write_text(f"{weights.HEAD}\t4\n9 0.5\n\n0 0\n3 0.25\n2 1\n")
     got = weights.weights_from_text(spark, str(tmp_path / "w.txt"))
     assert sorted(map(tuple, got.collect())) == [(0, 0, 0.5), (0, 2, 0.25), (0, 3, 1.0)]
+
+
+def test_partition_maps_and_labels_in_files(spark, tmp_path):
+    for kind, pairs in ((sketch_file.PARTITIONS, [(5, 2), (2**64 - 1, 2**32 - 1)]), (sketch_file.LABELS, [(5, 2), (5, 3), (9, 2**64 - 1)])):
+        data = sketch_file.encode_entries(kind, 9, reversed(pairs))
+        assert sketch_file.decode_entries(data, kind) == (9, pairs)
+        (tmp_path / f"{kind}.bin").write_bytes(data)
+        got = sketch_file.read_entries(spark, f"file://{tmp_path}/{kind}.bin", kind).collect()
+        assert [(int(r[1]), int(r[2])) for r in got] == pairs and got[0]["file"] == f"{kind}.bin"
+        for bad in (data[:-1], data + b"x", data[:8], data[:5] + b"\x09" + data[6:]):
+            with pytest.raises(FileFormatError):
+                sketch_file.decode_entries(bad, kind)
+    assert sketch_file.decode_entries(sketch_file.encode_entries(sketch_file.LABELS, 9, []), sketch_file.LABELS) == (9, [])
+
+
+def test_murmur_hash_and_registers(spark):
+    from pyspark.sql import functions as F
+
+    from strandlake.functions import kmers as K
+    from strandlake.operators import spectrum
+
+    known = K._murmur(np.frombuffer(b"foo", np.uint8).reshape(1, 3)).view(np.int64)  # the published value of this text
+    assert known.tolist() == [-2129773440516405919]
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("ACGT"), size=n)) for n in (1, 5, 16, 17, 31, 32) for _ in range(300)]
+    df = spark.createDataFrame([(w,) for w in words] + [(None,)], "w string")
+    both = df.select(K.murmur_hash(F.col("w")).alias("h"), K.murmur_hash(K.reverse_complement(F.col("w"))).alias("r"))
+    got = both.collect()
+    assert all(r["h"] == r["r"] for r in got) and got[-1]["h"] is None
+    p, want = spectrum.precision(0.1), {}
+    for h in {r["h"] for r in got[:-1]}:
+        u = h % 2**64
+        want[u % 2**p] = max(want.get(u % 2**p, 0), 64 - p - (u >> p).bit_length() + 1)
+    half = [both.where(F.col("h") % 2 == 0), both.where("h % 2 <> 0 OR h IS NULL")]
+    held = spectrum.merge_registers(*(spectrum.registers(x, p) for x in half))
+    assert {r["register"]: r["rank"] for r in held.collect()} == want
+    estimate = spectrum.register_estimate(held, p).first()["n_unique"]
+    assert abs(estimate / len({r["h"] for r in got[:-1]}) - 1) < 0.3
+    with pytest.raises(ValueError):
+        spectrum.precision(0.9)
