@@ -34,4 +34,15 @@ def written(df: DataFrame) -> DataFrame:
     keeps the products that joins guess, whose digits grow from round to round)."""
     path = f"{ensure_checkpoints(df.sparkSession)}/strandlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._strandlake_path = path
+    return found
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete written tables whose readers are done; None is skipped."""
+    for t in tables:
+        if t is not None:
+            spark, path = t.sparkSession, t._strandlake_path
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
