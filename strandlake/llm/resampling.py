@@ -4,9 +4,8 @@ a seeded Gumbel draw takes the highest scores.
 1. Postings: a document's words (A-Z lower-cased, runs of letters, digits and characters beyond ASCII) and the runs of them that are
    asked for become (bucket, document, count), bucket the crc32 of the feature's bytes modulo BUCKETS. The postings of a document that
    fall into one of SHARDS groups of buckets travel as one row with two arrays.
-2. They are shuffled once, by group of buckets and salt: SALTS tasks may share a group, so a bucket that every document has is in
-   no single task. Both readers of the shuffle find its rows where they are: the first sums each bucket (a partial sum a task and bucket, at most
-   BUCKETS rows leave a task), the second weighs the rows.
+2. Postings are written once and shuffled once, by group of buckets and salt: SALTS tasks may share a group, so a bucket that every
+   document has is in no single task. The sum of each bucket comes from partial sums, at most BUCKETS rows a task.
 3. Sums of corpus and target meet by bucket and give its gain; the gains of a group of buckets, an array, go to the tasks that hold its postings.
 4. Tasks emit a contribution a document and group of buckets, which are reduced by document.
 5. Scores of documents with enough words are sorted by ranges, counted by range and numbered; the share asked for is drawn.
@@ -79,7 +78,7 @@ def postings(docs: DataFrame, runs: int, buckets: int) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(F.lit(1), doc_id, text).alias("k2"))
     found = rows.mapInArrow(tidy("buckets", run), "shard int, k1 long, k2 long, doc_id long, own int, words long, at array<int>, counts array<int>")
-    return found.withColumn("salt", F.pmod("k2", F.lit(SALTS)).cast("int")).repartition("shard", "salt")
+    return found.withColumn("salt", F.pmod("k2", F.lit(SALTS)).cast("int"))
 
 
 def bucket_sums(posted: DataFrame) -> DataFrame:
@@ -91,7 +90,7 @@ def bucket_sums(posted: DataFrame) -> DataFrame:
 def weigh(docs: DataFrame, target: DataFrame, runs: int = 1, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, k1, k2, rows, n_words, n_features, weight) of the different (doc_id, text) of docs, each with its number of rows. A written table."""
     spark = docs.sparkSession
-    posted = postings(docs, runs, buckets)
+    posted = shared_table(postings(docs, runs, buckets))
     own = bucket_sums(posted).withColumnRenamed("n", "s")
     wanted = bucket_sums(postings(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), runs, buckets)).withColumnRenamed("n", "t")
     sums = shared_table(spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(own, "bucket", "left").join(wanted, "bucket", "left").na.fill(0))
@@ -102,10 +101,10 @@ def weigh(docs: DataFrame, target: DataFrame, runs: int = 1, buckets: int = BUCK
     gains = gains.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("shuffle_hash")
     given = F.aggregate(F.arrays_zip("at", "counts"), F.lit(0).cast("long"), lambda a, x: a + F.get("gains", x["at"]) * x["counts"])
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    met = posted.join(gains, ["shard", "salt"]).select("k1", "k2", "doc_id", "own", "words", total.alias("features"), given.alias("given"))
+    met = posted.repartition("shard", "salt").join(gains, ["shard", "salt"]).select("k1", "k2", "doc_id", "own", "words", total.alias("features"), given.alias("given"))
     each = lambda c: F.floor(F.sum(c) / F.sum("own")).cast("long")  # noqa: E731  # equal rows have equal sums
     out = shared_table(met.groupBy("k1", "k2").agg(F.max("doc_id").alias("doc_id"), F.sum("own").alias("rows"), each("words").alias("n_words"), each("features").alias("n_features"), each("given").alias("weight")))
-    drop_tables(sums)
+    drop_tables(posted, sums)
     return out
 
 
