@@ -81,10 +81,8 @@ def reverse_number(number: Column, k: int) -> Column:
     """The number of the other strand from a strand's, k up to 31: digits in reverse order, each with its last bit turned."""
     if k > 31:
         raise ValueError("integers hold k up to 31")
-    x = number
-    for width, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
-        x = F.shiftright(x, width).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(mask)), width))
-    return F.shiftrightunsigned(x, 64 - 2 * k).bitwiseXOR(F.lit(0x5555555555555555 & ((1 << 2 * k) - 1)))
+    digits = F.lpad(F.conv(number.cast("string"), 10, 4), k, "0")
+    return _number(F.reverse(F.translate(digits, "0123", "1032")), k)
 
 
 def neighbours(f: Column, r: Column, k: int, side: str) -> Column:

@@ -11,9 +11,9 @@ from ..session import written
 
 def edges(nodes: DataFrame, k: int) -> DataFrame:
     """(kmer, side, other) of existing neighbours. nodes: (kmer), distinct canonical numbers."""
-    f, r = F.col("kmer"), K.reverse_number(F.col("kmer"), k)
-    sides = F.array(*(F.struct(F.lit(s).alias("side"), K.neighbours(f, r, k, s).alias("to")) for s in ("left", "right")))
-    near = nodes.select("kmer", F.explode(sides).alias("s")).select("kmer", "s.side", F.explode("s.to").alias("other"))
+    sides = F.array(*(F.struct(F.lit(s).alias("side"), K.neighbours(F.col("kmer"), F.col("r"), k, s).alias("to")) for s in ("left", "right")))
+    both = nodes.select("kmer", K.reverse_number(F.col("kmer"), k).alias("r"))
+    near = both.select("kmer", F.explode(sides).alias("s")).select("kmer", "s.side", F.explode("s.to").alias("other"))
     return near.join(nodes.select(F.col("kmer").alias("other")), "other", "left_semi").select("kmer", "side", "other")
 
 

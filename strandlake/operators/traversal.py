@@ -22,10 +22,10 @@ TURN = (0, 2, 3, 1)  # A, C, G, T among the digits A, T, C, G
 
 def adjacency(nodes: DataFrame, k: int) -> DataFrame:
     """(kmer, at, other): existing neighbours with their place in the order of visits. A written table."""
-    f, r = F.col("kmer"), K.reverse_number(F.col("kmer"), k)
-    right, left = K.neighbours(f, r, k, "right"), K.neighbours(f, r, k, "left")
-    every = F.array(*(F.element_at(side, t + 1) for side in (right, left) for t in TURN))
-    near = nodes.select("kmer", F.posexplode(every).alias("at", "other"))
+    both = nodes.select("kmer", K.reverse_number(F.col("kmer"), k).alias("r"))
+    both = both.select("kmer", *(K.neighbours(F.col("kmer"), F.col("r"), k, side).alias(side) for side in ("right", "left")))
+    every = F.array(*(F.element_at(side, t + 1) for side in ("right", "left") for t in TURN))
+    near = both.select("kmer", F.posexplode(every).alias("at", "other"))
     return written(near.join(nodes.select(F.col("kmer").alias("other")), "other", "left_semi").select("kmer", "at", "other"))
 
 
