@@ -124,6 +124,11 @@ def partition_of_name(name: Column) -> Column:
     return F.coalesce(part, F.raise_error(F.concat(F.lit("no partition id in "), name)).cast("int"))
 
 
+def first_of_pair(name: Column) -> Column:
+    """Whether a name is marked as that of a pair's first read (the pattern is a fixed value)."""
+    return F.coalesce(name.rlike("^.+(/1| 1:[YN]:[0-9]+:[A-Za-z]+)"), F.lit(False))
+
+
 def valid_pair(name1: Column, name2: Column) -> Column:
     """Names that end in /1 and /2, or whose second words start with 1: and 2:, after the same beginning."""
     by_slash = name1.rlike("/1$") & name2.rlike("/2$") & (F.regexp_replace(name1, "/1$", "") == F.regexp_replace(name2, "/2$", ""))
