@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aligner, graph, paths, tagging, traversal
-from .queries import DNA_K, _cc, _dna, dna, dna_kmers
+from ..sources import sequences
+from .queries import DNA_K, _cc, _dna, dna, dna_kmers, table
 
 DENSITY, TAG_EVERY, NEAR, BIG, BAND, SIZE = 40, 97, 2, 60, (2, 40), 12
 
@@ -109,6 +110,14 @@ def q_align_reads(s, d):
     return got.withColumns({"score": F.round("score", 6), "counts": F.array_join("counts", ",")})
 
 
+def q_paired_reads(s, d):
+    """Turns of conversations as interleaved reads: questions are marked as first ones, answers as second ones."""
+    mark = F.when(F.col("role") == "user", "/1").when(F.col("role") == "assistant", "/2").otherwise("")
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"), mark)
+    reads = table(s, d, "conversations").select(F.lit("all").alias("sample"), (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("read_idx"), name.alias("name"), F.col("text").alias("sequence"), F.lit(None).cast("string").alias("quality"))
+    return sequences.pairs(reads, "ignore").select("first.name", F.length("first.sequence").alias("n_first"), F.length("second.sequence").alias("n_second"), F.md5(F.concat("first.sequence", F.lit(" "), "second.sequence")).alias("digest"))
+
+
 def q_component_sizes(s, d):
     """Partitions of a graph that falls into many components."""
     nodes = dna_kmers(s, d, 15).select("kmer").distinct()
@@ -184,6 +193,12 @@ SQL = {
     "label_sweep": G
     + f""", own AS (SELECT DISTINCT doc_id, kmer FROM km), step AS (SELECT doc_id, kmer FROM own UNION SELECT doc_id, o FROM own JOIN links USING (kmer) WHERE kmer % {TAG_EVERY} <> 0)
  SELECT DISTINCT s.doc_id, e.sample AS label FROM step s JOIN exact e ON e.kmer = s.kmer WHERE s.kmer % {TAG_EVERY} = 0""",
+    "paired_reads": """
+WITH turns AS (SELECT conv_id, text, role, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations),
+ runs AS (SELECT *, n - coalesce(max(CASE WHEN role <> 'user' THEN n END) OVER (ORDER BY n), 0) AS place, lead(conv_id) OVER (ORDER BY n) AS next_id, lead(role) OVER (ORDER BY n) AS next_role, lead(text) OVER (ORDER BY n) AS answer FROM turns)
+ SELECT 'c' || conv_id || '/1' AS name, CAST(length(text) AS INTEGER) AS n_first, CAST(length(answer) AS INTEGER) AS n_second, md5(text || ' ' || answer) AS digest
+ FROM runs WHERE role = 'user' AND place % 2 = 1 AND next_role = 'assistant' AND next_id = conv_id""",
+    "partition_sizes": CC15 + "SELECT partition_id, count(*) AS size FROM parts GROUP BY partition_id",
     "component_sizes": CC15 + "SELECT size, count(*) AS n_partitions FROM (SELECT count(*) AS size FROM parts GROUP BY partition_id) GROUP BY size",
     "component_coverage": CC15 + "SELECT partition_id, CAST(floor(avg(n)) AS BIGINT) AS coverage FROM parts JOIN nodes USING (kmer) GROUP BY partition_id",
 }

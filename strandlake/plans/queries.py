@@ -400,6 +400,8 @@ BASKET = """
 WITH hits AS (SELECT printf('n%02d', s_nationkey) AS sample, l_partkey AS item FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
 counts AS (SELECT sample, 0 AS tab, item % 1999 AS bin, CAST(least(count(*), 255) AS BIGINT) AS "count" FROM hits GROUP BY ALL
  UNION ALL SELECT sample, 1, item % 2003, CAST(least(count(*), 255) AS BIGINT) FROM hits GROUP BY ALL),
+"""
+POPULATION = """
 names AS (SELECT DISTINCT sample FROM counts), total AS (SELECT count(*) AS n FROM names),
 pop AS (SELECT tab, bin, count(*) AS n_samples, CAST(sum("count") AS BIGINT) AS total FROM counts GROUP BY ALL),
 ent AS (SELECT tab, bin, n_samples, CASE WHEN n_samples < n THEN -(n_samples/n)*log2(n_samples/n)-(1-n_samples/n)*log2(1-n_samples/n) ELSE 0 END AS w
@@ -407,9 +409,12 @@ ent AS (SELECT tab, bin, n_samples, CASE WHEN n_samples < n THEN -(n_samples/n)*
 """
 
 
-def _kernel(weight: str, given: bool = False) -> str:
+BASKET += POPULATION
+
+
+def _kernel(weight: str, base: str = BASKET) -> str:
     return (
-        BASKET
+        base
         + f""", dots AS (SELECT x.sample AS a, y.sample AS b, x.tab AS tab, e.n_samples AS pc, any_value({weight}) AS w, CAST(sum(x."count" * y."count") AS BIGINT) AS dot
  FROM counts x JOIN counts y ON x.tab = y.tab AND x.bin = y.bin AND x.sample <= y.sample JOIN ent e ON e.tab = x.tab AND e.bin = x.bin GROUP BY x.sample, y.sample, x.tab, e.n_samples),
 tabs AS (SELECT x.sample AS a, y.sample AS b, tab FROM names x, names y, (VALUES (0), (1)) t(tab) WHERE x.sample <= y.sample),
@@ -429,7 +434,7 @@ WITH RECURSIVE reads AS (SELECT source AS sample, doc_id, regexp_replace(upper(t
 words AS (SELECT sample, doc_id, pos - 1 AS pos, substr(seq, pos, {k}) AS w FROM (SELECT *, unnest(range(1, length(seq) - {k} + 2)) AS pos FROM reads WHERE length(seq) >= {k})),
 codes AS (SELECT w, least({number("w")}, {number("reverse(translate(w, 'ATCG', 'TAGC'))")}) AS kmer, {number("w")} AS f, {number("reverse(translate(w, 'ATCG', 'TAGC'))")} AS r FROM (SELECT DISTINCT w FROM words)),
 km AS (SELECT sample, doc_id, pos, kmer FROM words JOIN codes USING (w)),
-exact AS (SELECT sample, kmer, count(*) AS "count" FROM km GROUP BY ALL),
+exact AS MATERIALIZED (SELECT sample, kmer, count(*) AS "count" FROM km GROUP BY ALL),
 occ AS (SELECT km.*, "count" FROM km JOIN exact USING (sample, kmer)),
 bins AS (SELECT sample, 0 AS tab, kmer % 9973 AS bin, CAST(least(sum("count"), 255) AS BIGINT) AS "count" FROM exact GROUP BY sample, kmer % 9973
  UNION ALL SELECT sample, 1, kmer % 9967, CAST(least(sum("count"), 255) AS BIGINT) FROM exact GROUP BY sample, kmer % 9967)
@@ -479,6 +484,7 @@ SQL = {
     "kernel_normalised": W + f"SELECT a, b, {R} FROM norm",
     "distance_weighted": W + f"SELECT a, b, {R} FROM dist",
     "distance_unweighted": _kernel("1") + f"SELECT a, b, {R} FROM dist",
+    "distance_dna": _kernel("e.w", D + ", counts AS MATERIALIZED (SELECT * FROM bins), " + POPULATION) + f"SELECT a, b, {R} FROM dist",
     "occupancy_rate": BASKET + "SELECT round(product(n / CASE WHEN tab = 0 THEN 1999.0 ELSE 2003.0 END), 6) + 0.0 AS rate FROM (SELECT tab, CAST(count(*) AS DOUBLE) AS n FROM pop GROUP BY tab)",
     "sample_stats": BASKET
     + """, h AS (SELECT sample, "count" AS c, count(*) AS n FROM counts WHERE tab = 0 GROUP BY ALL UNION ALL SELECT sample, 0, 1999 - count(*) FROM counts WHERE tab = 0 GROUP BY sample),

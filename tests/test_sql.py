@@ -5,9 +5,11 @@ import os
 import duckdb
 import pytest
 
+from strandlake.plans import graph_queries
 from strandlake.plans import queries as Q
 
 DIR = "/root/testdata/sf0.001"
+QUERIES, SQL = Q.QUERIES | graph_queries.QUERIES, Q.SQL | graph_queries.SQL
 
 
 @pytest.fixture(scope="module")
@@ -18,9 +20,9 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(Q.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, con, name):
-    a, b = Q.QUERIES[name](spark, DIR).toPandas(), con.sql(Q.SQL[name]).df()
+    a, b = QUERIES[name](spark, DIR).toPandas(), con.sql(SQL[name]).df()
     columns = sorted(a.columns)
     assert columns == sorted(b.columns)
     assert sorted(map(tuple, a[columns].values.tolist()), key=str) == sorted(map(tuple, b[columns].values.tolist()), key=str)
