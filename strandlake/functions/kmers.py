@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,17 +65,61 @@ def kmers(seq: Column, k: int) -> Column:
     return F.when(F.length(seq) >= k, F.transform(starts, lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
-def kmer_hashes(seq: Column, k: int, canonical: bool = True) -> Column:
-    """The numbers of all overlapping k-mers of a valid read, in order. Both strands are written in digits once for the read."""
+#: The digit of each base's byte (the order of bases is a fixed value).
+DIGITS = np.zeros(256, np.int64)
+DIGITS[np.frombuffer(b"ATCG", np.uint8)] = range(4)
+
+
+def _rolling(digits: np.ndarray, k: int, high_first: bool) -> np.ndarray:
+    """The numbers of all stretches of k digits, put together from stretches of 1, 2, 4 ... digits."""
+    out, have, part, width = None, 0, digits, 1
+    join = lambda a, n, b, m: (a << 2 * m) | b if high_first else a | (b << 2 * n)
+    while k:
+        if k & 1:
+            n = len(part) - have
+            out = part if out is None else join(out[:n], have, part[have:], width)
+            have += width
+        k >>= 1
+        if k:
+            part = join(part[:-width], width, part[width:], width)
+            width *= 2
+    return out
 
-    def numbers(x):
+
+def kmer_hashes(seq: Column, k: int, canonical: bool = True) -> Column:
+    """The numbers of all overlapping k-mers of a valid read, in order (an empty array for shorter ones and null). The bases of a
+    batch of reads are numbered together; for k of 32, whose numbers are decimals, by expressions."""
+    if k > 31:
+        return _wide_hashes(seq, k, canonical)
+
+    @F.arrow_udf("array<bigint>")
+    def numbers(reads: pa.Array) -> pa.Array:
+        reads = pc.fill_null(reads, "").cast(pa.binary())
+        at = np.frombuffer(reads.buffers()[1], np.int32)[reads.offset : reads.offset + len(reads) + 1].astype(np.int64)
+        sizes, total = np.diff(at), int(at[-1] - at[0])
+        own = np.maximum(sizes - k + 1, 0)
+        ends = pa.array(np.concatenate([[0], np.cumsum(own)]), pa.int32())
+        if not own.any():
+            return pa.ListArray.from_arrays(ends, pa.array([], pa.int64()))
+        digits = DIGITS[np.frombuffer(reads.buffers()[2], np.uint8)[at[0] : at[-1]]]
+        found = _rolling(digits, k, True)
+        if canonical:
+            found = np.minimum(found, _rolling(digits ^ 1, k, False))
+        inside = np.repeat(at[1:] - at[0], sizes) - np.arange(total) >= k  # no k-mer reaches into the next read
+        return pa.ListArray.from_arrays(ends, pa.array(found[inside[: len(found)]]))
+
+    return numbers(seq)
+
+
+def _wide_hashes(seq: Column, k: int, canonical: bool) -> Column:
+    def pick(x):
         at = lambda digits, i: _number(F.substring(digits, i, F.lit(k)), k)
         n = F.length(x["f"])
-        pick = lambda i: F.least(at(x["f"], i), at(x["r"], n - k + 2 - i)) if canonical else at(x["f"], i)
-        return F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), pick)
+        one = lambda i: F.least(at(x["f"], i), at(x["r"], n - k + 2 - i)) if canonical else at(x["f"], i)
+        return F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), one)
 
     both = F.struct(F.translate(seq, "ATCG", "0123").alias("f"), F.reverse(F.translate(seq, "ATCG", "1032")).alias("r"))
-    once = F.element_at(F.transform(F.array(both), numbers), 1)  # a name in a lambda is computed once
+    once = F.element_at(F.transform(F.array(both), pick), 1)  # a name in a lambda is computed once
     return F.when(F.length(seq) >= k, once).otherwise(F.array().cast(f"array<{kmer_type(k)}>"))
 
 

@@ -119,14 +119,14 @@ def q_paired_reads(s, d):
 
 
 def q_component_sizes(s, d):
-    """Partitions of a graph that falls into many components."""
-    nodes = dna_kmers(s, d, 15).select("kmer").distinct()
-    return graph.size_distribution(graph.partitions(nodes, 15))
+    """Partitions of a graph of k-mers that are neither single nor frequent, which falls into many components."""
+    rare = _counts(s, d).where(F.col("count").between(*BAND))
+    return graph.size_distribution(graph.partitions(rare.select("kmer"), DNA_K))
 
 
 def q_component_coverage(s, d):
-    c = dna_kmers(s, d, 15).groupBy("kmer").agg(F.count("*").alias("count"))
-    return graph.mean_coverage(graph.partitions(c.select("kmer"), 15), c)
+    rare = _counts(s, d).where(F.col("count").between(*BAND))
+    return graph.mean_coverage(graph.partitions(rare.select("kmer"), DNA_K), rare)
 
 
 def _graph(k: int) -> str:
@@ -157,7 +157,13 @@ def _tag_walk(open_: str = "true") -> str:
     )
 
 
-CC15 = _graph(15) + ", twoway AS MATERIALIZED (SELECT DISTINCT kmer AS x, o AS y FROM links)" + _cc("SELECT kmer FROM nodes", "twoway") + ", parts AS MATERIALIZED (SELECT node AS kmer, label AS partition_id FROM cc) "
+RARE = (
+    G
+    + f""", few AS MATERIALIZED (SELECT kmer, n FROM nodes WHERE n BETWEEN {BAND[0]} AND {BAND[1]}),
+ twoway AS MATERIALIZED (SELECT DISTINCT kmer AS x, o AS y FROM links WHERE kmer IN (SELECT kmer FROM few) AND o IN (SELECT kmer FROM few))"""
+    + _cc("SELECT kmer FROM few", "twoway")
+    + ", parts AS MATERIALIZED (SELECT node AS kmer, label AS partition_id FROM cc) "
+)
 BANDED = "{}.n BETWEEN " + f"{BAND[0]} AND {BAND[1]}"
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
 SQL = {
@@ -198,7 +204,6 @@ WITH turns AS (SELECT conv_id, text, role, row_number() OVER (ORDER BY conv_id,
  runs AS (SELECT *, n - coalesce(max(CASE WHEN role <> 'user' THEN n END) OVER (ORDER BY n), 0) AS place, lead(conv_id) OVER (ORDER BY n) AS next_id, lead(role) OVER (ORDER BY n) AS next_role, lead(text) OVER (ORDER BY n) AS answer FROM turns)
  SELECT 'c' || conv_id || '/1' AS name, CAST(length(text) AS INTEGER) AS n_first, CAST(length(answer) AS INTEGER) AS n_second, md5(text || ' ' || answer) AS digest
  FROM runs WHERE role = 'user' AND place % 2 = 1 AND next_role = 'assistant' AND next_id = conv_id""",
-    "partition_sizes": CC15 + "SELECT partition_id, count(*) AS size FROM parts GROUP BY partition_id",
-    "component_sizes": CC15 + "SELECT size, count(*) AS n_partitions FROM (SELECT count(*) AS size FROM parts GROUP BY partition_id) GROUP BY size",
-    "component_coverage": CC15 + "SELECT partition_id, CAST(floor(avg(n)) AS BIGINT) AS coverage FROM parts JOIN nodes USING (kmer) GROUP BY partition_id",
+    "component_sizes": RARE + "SELECT size, count(*) AS n_partitions FROM (SELECT count(*) AS size FROM parts GROUP BY partition_id) GROUP BY size",
+    "component_coverage": RARE + "SELECT partition_id, CAST(floor(avg(n)) AS BIGINT) AS coverage FROM parts JOIN few USING (kmer) GROUP BY partition_id",
 }
