@@ -90,7 +90,7 @@ def q_traverse_from_tags(s, d):
 
 def q_split_largest(s, d):
     counts = _counts(s, d)
-    got = traversal.split_largest(counts, _tags(s, d), counts, DNA_K, NEAR, 3, 12, 6)
+    got = traversal.split_largest(counts, _tags(s, d), counts, DNA_K, 1, 2, 8, 6, rounds=1)
     return got["parts"]
 
 
@@ -106,7 +106,7 @@ def q_align_reads(s, d):
     km = dna_kmers(s, d, 15)
     reads = dna(s, d).select("doc_id", F.posexplode(F.regexp_extract_all("sequence", F.lit("([ACGT]{60})"))).alias("part", "sequence"))
     graph_ = km.groupBy("kmer").agg(F.count("*").alias("count")).where("count > 1")
-    got = aligner.align_reads(reads, graph_, ["doc_id", "part"], 15, 3, theta=1.7)
+    got = aligner.align_reads(reads, graph_, ["doc_id", "part"], 15, 3, theta=1.8)
     return got.withColumns({"score": F.round("score", 6), "counts": F.array_join("counts", ",")})
 
 

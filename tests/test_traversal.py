@@ -54,8 +54,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(x,) for x in rows], "kmer long")
 
 
-@pytest.mark.parametrize("threshold", [None, 1, 10, 100])
-@pytest.mark.parametrize("hubs", [False, True])
+@pytest.mark.parametrize("threshold,hubs", [(None, False), (None, True), (10, True), (25, False)])
 def test_connected_sizes(spark, nodes, threshold, hubs):
     stop = set(NODES[::7])
     enter = (lambda x: len(near(x)) <= 4) if hubs else (lambda x: True)
@@ -65,7 +64,7 @@ def test_connected_sizes(spark, nodes, threshold, hubs):
     assert {r["source"]: r["size"] for r in got.collect()} == want and len(set(want.values())) > (1 if threshold != 1 else 0)
 
 
-@pytest.mark.parametrize("most", [None, 3, 12])
+@pytest.mark.parametrize("most", [None, 12])
 def test_traverse_keeps_the_first_in_order(spark, nodes, most):
     stop = set(NODES[::9])
     want = {(t, x, d) for t in TAGS for x, d in visit([t], 4, stop, most=None if most is None else most + 1)[0].items()}
@@ -73,8 +72,7 @@ def test_traverse_keeps_the_first_in_order(spark, nodes, most):
     assert set(map(tuple, traversal.traverse(nodes, starts, K, 4, frame(spark, stop), most).collect())) == want
 
 
-@pytest.mark.parametrize("big", [None, 8])
-@pytest.mark.parametrize("band", [None, (2, 9)])
+@pytest.mark.parametrize("big,band", [(8, None), (None, (2, 9))])
 def test_find_tags(spark, nodes, big, band):
     stop = set(NODES[::10])
     inside = (lambda x: band[0] <= COUNT[x] <= band[1]) if band else (lambda x: True)
@@ -104,7 +102,7 @@ def one_after_the_other(tags, radius, threshold, frequency, stop=(), skip=()):
     return stop, counts, small
 
 
-@pytest.mark.parametrize("radius,threshold,frequency", [(3, 6, 5), (2, 3, 3), (5, 12, 8), (4, 1, 2)])
+@pytest.mark.parametrize("radius,threshold,frequency", [(3, 6, 5), (4, 1, 2)])
 def test_traverse_from_tags(spark, nodes, radius, threshold, frequency):
     first = set(NODES[::31])
     stop, counts, small = one_after_the_other(NODES[::5], radius, threshold, frequency, first)
@@ -145,7 +143,7 @@ def test_repartition_largest(spark, nodes):
     assert {r["kmer"]: r["partition_id"] for r in looped["parts"].collect()} == want
 
 
-@pytest.mark.parametrize("radius,big", [(0, None), (3, None), (3, 60)])
+@pytest.mark.parametrize("radius,big", [(0, None), (3, 60)])
 def test_sweep(spark, nodes, radius, big):
     stop, rows, want, labels = set(NODES[::17]), [], set(), [(x, x % 4) for x in TAGS for _ in range(2)]
     for i, s in VALID[:30]:
