@@ -81,19 +81,13 @@ def q_band_partitions(s, d):
 
 
 def q_traverse_from_tags(s, d):
-    """Without SQL: each search depends on those before it. Tested against one search after the other, as the one after it."""
+    """Without SQL: each search depends on those before it. Tested against one search after the other."""
     counts = _counts(s, d)
     stop, after, small = traversal.traverse_from_tags(counts, _tags(s, d), counts, DNA_K, 3, 12, 6)
     said = after.join(stop.select("kmer", "since"), "kmer", "left").join(small.withColumn("small", F.lit(True)), "kmer", "left")
     return said.select("kmer", "count", "since", F.coalesce("small", F.lit(False)).alias("small"))
 
 
-def q_split_largest(s, d):
-    counts = _counts(s, d)
-    got = traversal.split_largest(counts, _tags(s, d), counts, DNA_K, 1, 2, 8, 6, rounds=1)
-    return got["parts"]
-
-
 def q_label_sweep(s, d):
     km = dna_kmers(s, d)
     labels = km.where(F.col("kmer") % TAG_EVERY == 0).select(F.col("kmer").alias("tag"), F.col("sample").alias("label")).distinct()
