@@ -338,7 +338,7 @@ def test_hmm_rounds_against_plain_baum_welch(docs, monkeypatch):
         move = mv / mv.sum(axis=1, keepdims=True)
     m = hmm.train(own, states=k, rounds=2, tolerance=-1, keep_lists=True)
     got = emitted(m)
-    assert np.allclose(m.start, start, rtol=0.02) and np.allclose(m.move, move, rtol=0.02) and all(np.allclose(got[w], emit[w], rtol=0.05) for w in emit)
+    assert np.allclose(m.start, start, rtol=1e-4) and np.allclose(m.move, move, rtol=1e-4) and all(np.allclose(got[w], emit[w], rtol=1e-4) for w in emit)
     assert m.likelihoods[1] > m.likelihoods[0]
     for r in hmm.score(m).collect():
         x, want = m.start, 0.0
@@ -348,6 +348,24 @@ def test_hmm_rounds_against_plain_baum_welch(docs, monkeypatch):
         assert np.isclose(r["score"], want, rtol=1e-6)
 
 
+def test_hmm_trains_until_the_tolerance_is_met(docs):
+    own = docs.select("doc_id", "text").fillna("").selectExpr("*", "doc_id % 3 <> 0 AS learn")
+    m = hmm.train(own, states=2, tolerance=0.02)
+    rise = np.diff(m.likelihoods)
+    assert len(rise) > 3 and rise[-3:-1].sum() < 0.04 and all(rise[i : i + 2].sum() >= 0.04 for i in range(len(rise) - 3))
+    for r in hmm.score(m).collect():
+        assert np.isfinite(r["score"]) and r["score"] <= 0
+    plain = hmm.train(own, states=2, rounds=len(m.likelihoods), tolerance=-1, relax=1.0)
+    assert m.likelihoods[:3] == pytest.approx(plain.likelihoods[:3], rel=1e-5) and m.likelihoods[-1] > plain.likelihoods[-1] - 0.04
+
+
+def test_relaxed_steps_keep_fixed_points():
+    x = np.array([0.2, 0.3, 0.5])
+    assert np.allclose(hmm.relaxed(x, x, 1.8), x) and hmm.relaxed(x, 2 * x, 1.0) is x
+    beyond = hmm.relaxed(np.array([0.3, 0.7]), np.array([0.2, 0.8]), 1.8)
+    assert beyond[0] > 0.3 and beyond[1] < 0.7
+
+
 def test_hmm_expected_counts_over_whole_texts():
     rng = np.random.default_rng(1)
     m = hmm.Model.first(np.full(10, 0.1), 3)
