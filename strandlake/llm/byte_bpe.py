@@ -8,7 +8,9 @@
    pieces -> rank of their concatenation, in hash buckets).
 3. A cell's words that the dictionary lacks are folded beside the cell by the same expression, so every id comes from the fold
    or is a whole word's piece, and nothing of the texts is shuffled. The words' ids, put in the order of the texts, are the result.
-4. Decoding concatenates the binary pieces of the ids.
+4. A fold step copies its word, so words of more than LONG bytes take another way to the same ids: merge_long, a heap of the
+   word's pairs by rank and place, in n log n. Such words are in no dictionary; the worker that holds the cell merges them.
+5. Decoding concatenates the binary pieces of the ids.
 
 The dictionary goes to the workers as hashes and ids, at most about 20 bytes a word, and a hit is accepted only if its pieces
 spell the word. Defined cases: null text is empty and has no ids; every row is encoded, repeated ones too; ids of documents
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 from array import array
 from functools import lru_cache
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import drop_tables, shared_table, ship, texts, tidy
 from .tokens import PATTERNS, PLAIN
 
-DICTIONARY, BUCKETS, WORDS_A_ROW, CELL_WORDS = 2_500_000, 1 << 17, 2048, 2_000_000
+DICTIONARY, BUCKETS, WORDS_A_ROW, CELL_WORDS, LONG = 2_500_000, 1 << 17, 2048, 2_000_000, 512
 
 
 @lru_cache(2)
@@ -105,6 +108,38 @@ def fold_words(df: DataFrame, words: str, out: str, ranks: DataFrame) -> DataFra
     return beside.select(*names, F.transform(words, fold).alias(out))
 
 
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word of any length: the pair of least rank is merged, first from the left, until no pair has a rank."""
+    if word in ranks:
+        return [ranks[word]]
+    end, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))  # of the piece that begins at a place; -1: none, or merged
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(a: int) -> None:
+        b = end[a]
+        if b < len(word) and (rank := ranks.get(word[a : end[b]])) is not None:
+            heapq.heappush(heap, (rank, a, end[b]))
+
+    for a in range(len(word)):
+        offer(a)
+    while heap:
+        _, a, z = heapq.heappop(heap)
+        b = end[a]
+        if b < 0 or b == len(word) or end[b] != z:
+            continue  # one of the two was merged since
+        end[a], end[b] = z, -1
+        if z < len(word):
+            before[z] = a
+        offer(a)
+        if before[a] >= 0:
+            offer(before[a])
+    ids, a = [], 0
+    while a < len(word):
+        ids.append(ranks[word[a : end[a]]])
+        a = end[a]
+    return ids
+
+
 CELL = "doc_ids array<long>, size binary, ids binary, words array<string>, c array<int>"
 
 
@@ -195,6 +230,19 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def with_long(words: list[bytes], hit: np.ndarray, sizes: np.ndarray, ids: np.ndarray, ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What Dictionary.find gives, and the words of more than LONG bytes as well."""
+    far = [i for i, w in enumerate(words) if len(w) > LONG]
+    if not far:
+        return hit, sizes, ids
+    own = [merge_long(words[i], ranks) for i in far]
+    at = np.searchsorted(np.flatnonzero(hit), far)  # none of them is hit
+    between = np.split(ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)[at])
+    ids = np.concatenate([x for pair in zip(between, [*own, []], strict=True) for x in pair]).astype(np.int64)
+    hit[far] = True
+    return hit, np.insert(sizes, at, [len(x) for x in own]), ids
+
+
 def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
     out = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
@@ -212,7 +260,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     constant = rank_table(spark, ranks)
 
     made = cells(docs, pattern)
-    counts = shared_table(count_words(made))
+    counts = shared_table(count_words(made).where(F.octet_length("word") <= LONG))
     levels = sorted(((r["c"], r["n"]) for r in counts.groupBy("c").agg(F.count("*").alias("n")).where("c < 1000").collect()), reverse=True)  # under 1000 rows
     many, least = counts.where("c >= 1000").count(), 1000  # at most a thousandth of all words
     for c, n in levels:
@@ -257,7 +305,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
         for b in batches:
             for i in range(b.num_rows):
                 words = [w.encode() for w in b.column("words")[i].as_py()]
-                hit, sizes, ids = carried.value.find(words, pieces)
+                hit, sizes, ids = with_long(words, *carried.value.find(words, pieces), known)
                 missing = [words[j] for j in np.flatnonzero(~hit).tolist()]
                 spelled = [[known[w]] if w in known else [single[x] for x in w] for w in missing]
                 held = [hit.astype(np.uint8).tobytes(), sizes.astype("<u4").tobytes(), ids.astype("<u4").tobytes()]

@@ -169,6 +169,29 @@ def test_byte_bpe(docs, empty, size):
     assert sorted(at_once.collect()) == sorted(got) and byte_bpe.encode(byte_bpe.texts(empty)).count() == 0
 
 
+@pytest.mark.parametrize("size", [0, 10**6])
+def test_byte_bpe_of_very_long_words(spark, size):
+    """Words of 100 000 letters, of one letter, beside LONG and among short ones, give the library's ids."""
+    rng = random.Random(2)
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    at = byte_bpe.LONG
+    rows = [text("etaoinshrdlu", 100_000), "a" * 50_000, text("éñ漢字", 20_000), *(text("abc", n) for n in (at - 1, at, at + 1)), f"two {text('xyz', at)} {text('xyz', 3 * at)} {text('xyz', 2 * at)} and one"]
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(), special_tokens={})
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r in byte_bpe.encode(df, dictionary=size).collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == enc.encode_ordinary(rows[r["doc_id"]])
+
+
+def test_long_words_merge_as_in_the_library():
+    ranks = byte_bpe.load_ranks()
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    for n in [*range(1, 40), 700, 5000]:
+        for letters in ("a", "ab", "etaoin", "é字"):
+            w = "".join(rng.choice(letters) for _ in range(n))
+            assert byte_bpe.merge_long(w.encode(), ranks) == enc.encode_ordinary(w)
+
+
 def test_dictionary_refuses_words_of_another_hash():
     import xxhash
 
