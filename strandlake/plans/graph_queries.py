@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aligner, graph, paths, tagging, traversal
+from ..operators import aligner, graph, partition_map, paths, tagging, traversal
 from ..sources import sequences
 from .queries import DNA_K, _cc, _dna, dna, dna_kmers, table
 
@@ -151,6 +151,21 @@ def _tag_walk(open_: str = "true") -> str:
     )
 
 
+def q_assigned_partitions(s, d):
+    """Partitions of tags that reads share: reads of one source first, then all others join them."""
+    met = dna_kmers(s, d).where(F.col("kmer") % TAG_EVERY == 0).select("sample", F.col("doc_id").alias("group_id"), "kmer").distinct()
+    none = met.limit(0).select("kmer", F.lit(0).cast("long").alias("partition_id"))
+    return partition_map.assign(partition_map.assign(none, met.where("sample = 'src1'")), met.where("sample <> 'src1'"))
+
+
+def q_updated_partitions(s, d):
+    """A map of tags (the first read of each), whose tags in reads of one source get the last read's number, or go if that is 0."""
+    met = dna_kmers(s, d).where(F.col("kmer") % TAG_EVERY == 0).select("sample", "doc_id", "kmer")
+    parts = met.groupBy("kmer").agg((F.min("doc_id") + 1).alias("partition_id"))
+    updates = met.where("sample = 'src1'").groupBy("kmer").agg((F.max("doc_id") % 5).alias("partition_id"))
+    return partition_map.get_ids(partition_map.set_ids(parts, updates), met)
+
+
 RARE = (
     G
     + f""", few AS MATERIALIZED (SELECT kmer, n FROM nodes WHERE n BETWEEN {BAND[0]} AND {BAND[1]}),
@@ -198,6 +213,20 @@ WITH turns AS (SELECT conv_id, text, role, row_number() OVER (ORDER BY conv_id,
  runs AS (SELECT *, n - coalesce(max(CASE WHEN role <> 'user' THEN n END) OVER (ORDER BY n), 0) AS place, lead(conv_id) OVER (ORDER BY n) AS next_id, lead(role) OVER (ORDER BY n) AS next_role, lead(text) OVER (ORDER BY n) AS answer FROM turns)
  SELECT 'c' || conv_id || '/1' AS name, CAST(length(text) AS INTEGER) AS n_first, CAST(length(answer) AS INTEGER) AS n_second, md5(text || ' ' || answer) AS digest
  FROM runs WHERE role = 'user' AND place % 2 = 1 AND next_role = 'assistant' AND next_id = conv_id""",
+    "assigned_partitions": _dna(DNA_K)
+    + f""", met AS MATERIALIZED (SELECT DISTINCT sample = 'src1' AS early, doc_id, kmer FROM km WHERE kmer % {TAG_EVERY} = 0),
+ hub AS (SELECT kmer, min(doc_id) AS h, min(CASE WHEN early THEN doc_id END) AS e FROM met GROUP BY kmer),
+ twoway AS MATERIALIZED (SELECT doc_id AS x, h AS y FROM met JOIN hub USING (kmer) UNION SELECT h, doc_id FROM met JOIN hub USING (kmer)),
+ before AS MATERIALIZED (SELECT doc_id AS x, e AS y FROM met JOIN hub USING (kmer) WHERE early UNION SELECT e, doc_id FROM met JOIN hub USING (kmer) WHERE early)"""
+    + _cc("SELECT DISTINCT doc_id FROM met WHERE early", "before").replace("cc(node", "first(node").replace("FROM cc c", "FROM first c").replace("recurring.cc", "recurring.first")
+    + _cc("SELECT DISTINCT doc_id FROM met", "twoway")
+    + """, ids AS MATERIALIZED (SELECT node, dense_rank() OVER (ORDER BY label) AS id FROM first),
+ had AS (SELECT label, min(id) AS id, min(cc.node) AS doc FROM cc LEFT JOIN ids ON ids.node = cc.node GROUP BY label),
+ names AS (SELECT label, coalesce(id, (SELECT coalesce(max(id), 0) FROM ids) + count(*) FILTER (id IS NULL) OVER (ORDER BY doc)) AS id FROM had)
+ SELECT DISTINCT kmer, CAST(id AS BIGINT) AS partition_id FROM met JOIN cc ON node = doc_id JOIN names USING (label)""",
+    "updated_partitions": _dna(DNA_K)
+    + f""", met AS MATERIALIZED (SELECT DISTINCT sample, doc_id, kmer FROM km WHERE kmer % {TAG_EVERY} = 0)
+ SELECT kmer, coalesce(max(CASE WHEN sample = 'src1' THEN doc_id END) % 5, min(doc_id) + 1) AS partition_id FROM met GROUP BY kmer""",
     "component_sizes": RARE + "SELECT size, count(*) AS n_partitions FROM (SELECT count(*) AS size FROM parts GROUP BY partition_id) GROUP BY size",
     "component_coverage": RARE + "SELECT partition_id, CAST(floor(avg(n)) AS BIGINT) AS coverage FROM parts JOIN few USING (kmer) GROUP BY partition_id",
 }

@@ -76,17 +76,26 @@ def decode_presence(data: bytes) -> dict:
 
 
 def encode_presence(k: int, sizes: list[int], bins: list[np.ndarray]) -> bytes:
-    out = [SIGNATURE, struct.pack("<BBIBQ", VERSION, PRESENCE, k, len(sizes), len(bins[0]) if bins else 0)]
+    tables = []
     for size, own in zip(sizes, bins, strict=True):
         bits = np.zeros((size // 8 + 1) * 8, np.uint8)
         bits[np.asarray(own, np.int64)] = 1
-        out += [struct.pack("<Q", size), np.packbits(bits, bitorder="little").tobytes()]
+        tables.append(np.packbits(bits, bitorder="little"))
+    return encode_presence_bits(k, sizes, tables)
+
+
+def encode_presence_bits(k: int, sizes: list[int], tables: list[np.ndarray]) -> bytes:
+    """The same from tables whose bits are packed, the lowest first, in size // 8 + 1 bytes each."""
+    used = int(np.bitwise_count(tables[0]).sum()) if tables else 0
+    out = [SIGNATURE, struct.pack("<BBIBQ", VERSION, PRESENCE, k, len(sizes), used)]
+    for size, own in zip(sizes, tables, strict=True):
+        out += [struct.pack("<Q", size), own.tobytes()]
     return b"".join(out)
 
 
 def encode_tags(k: int, tags, density: int, stop: bool = False) -> bytes:
-    tags = sorted(tags)
-    return SIGNATURE + struct.pack("<BBIQI", VERSION, STOP_TAGS if stop else TAGS, k, len(tags), density) + np.array(tags, "<u8").tobytes()
+    tags = np.sort(np.fromiter(tags, "<u8"))
+    return SIGNATURE + struct.pack("<BBIQI", VERSION, STOP_TAGS if stop else TAGS, k, len(tags), density) + tags.tobytes()
 
 
 def decode_tags(data: bytes, stop: bool = False) -> tuple[int, int, list[int]]:
@@ -100,8 +109,8 @@ ENTRIES = {PARTITIONS: np.dtype([("kmer", "<u8"), ("partition_id", "<u4")]), LAB
 
 
 def encode_entries(kind: int, k: int, entries) -> bytes:
-    """A file of PARTITIONS or LABELS from (k-mer, value) pairs, in ascending order."""
-    rows = np.array(sorted(set(entries)), ENTRIES[kind])
+    """A file of PARTITIONS or LABELS from (k-mer, value) pairs, or an array of ENTRIES, in ascending order."""
+    rows = np.unique(np.asarray(entries if isinstance(entries, np.ndarray) else list(entries), ENTRIES[kind]))
     return SIGNATURE + struct.pack("<BBIQ", VERSION, kind, k, len(rows)) + rows.tobytes()
 
 
