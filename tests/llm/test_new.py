@@ -193,3 +193,28 @@ def test_pairs_order_good_above_bad():
     right = np.concatenate([np.arange(2400) % 20, np.arange(20).repeat(8)])
     x = good[left] - bad[right]
     assert np.abs(x.T @ (1 / (1 + np.exp(x @ w))) - w).max() < 1e-5
+
+
+def test_quality_learns_from_all_labelled_rows(spark):
+    """Rows beyond the first 20 000 by hash were left out; blocks of rows are joined, so their number is part of what is tested."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.repeat(F.when(F.col("id") % 5 == 0, "|# x ").otherwise("calm text. "), (F.col("id") % 7 + 1).cast("int"))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 5 != 0).cast("int").alias("quality"))
+    train = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 != 2]
+    model = quality.learn(docs, labels, 100, 20)
+    assert model["prior"] == (sum(i % 5 != 0 for i in train) + 0.5) / (len(train) + 1)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    worth = np.array([quality.features(text[i]) for i in train]) @ np.array(model["weights"])
+    assert abs(np.quantile(worth, 1 - np.mean([i % 5 != 0 for i in train])) - model["middle"]) < 1e-9
+
+
+def test_exact_quantile_in_bins(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(quality, "HELD", 5)
+    v = np.random.default_rng(2).normal(0, 1, 500).round(2)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    for share in (0.0, 0.013, 0.5, 0.77, 1.0):
+        assert abs(quality.quantile(df, 500, share) - np.quantile(v, share)) < 1e-12
