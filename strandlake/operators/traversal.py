@@ -245,8 +245,14 @@ def sweep(nodes: DataFrame, kmers: DataFrame, tags: DataFrame, k: int, radius: i
     """(source, kmer): the tags within radius of any k-mer of a read. kmers: (source, kmer). Searches do not leave tags. big: reads whose search
     visits more than so many nodes find nothing."""
     near = adjacency(nodes.select("kmer"), k)
-    found = search(near, kmers.select("source", "kmer"), radius, stop, tags, most=big, then="clear", multi=True)
-    out = written(found.where("tag").select("source", "kmer"))
+    if big is None:  # ways go both ways: the k-mers around each tag are found once, and reads meet them
+        own = tags.select("kmer").distinct()
+        found = search(near, own.select(F.col("kmer").alias("source"), "kmer"), radius, stop, own)
+        ball = found.where("depth = 0 OR NOT tag").select("kmer", F.col("source").alias("tag"))  # a read's own tag is not left
+        out = written(kmers.select("source", "kmer").join(ball, "kmer").select("source", F.col("tag").alias("kmer")).distinct())
+    else:
+        found = search(near, kmers.select("source", "kmer"), radius, stop, tags, most=big, then="clear", multi=True)
+        out = written(found.where("tag").select("source", "kmer"))
     dropped(near, found)
     return out
 
