@@ -9,13 +9,17 @@ Neighbours are visited in the order right A, C, G, T, left A, C, G, T; this orde
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kmers as K
 from ..session import dropped, written
 from .graph import components
+from .order import numbered
 
+WAVE = 1_000_000
 BIG = 200  # fixed value: searches that visit more nodes than this count as big
 TURN = (0, 2, 3, 1)  # A, C, G, T among the digits A, T, C, G
 
@@ -166,47 +170,88 @@ def found_partitions(tags: DataFrame, links: DataFrame) -> DataFrame:
     return components(links.select(F.col("source").alias("kmer"), F.col("kmer").alias("other")), tags.select("kmer").distinct())
 
 
-def traverse_from_tags(nodes: DataFrame, tags: DataFrame, counts: DataFrame, k: int, radius: int, threshold: int, frequency: int, stop: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def traverse_from_tags(nodes: DataFrame, tags: DataFrame, counts: DataFrame, k: int, radius: int, threshold: int, frequency: int, stop: DataFrame | None = None, wave: int = WAVE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(stop tags (kmer, since), counts (kmer, count) after it, tags of small searches): searches within radius from every tag, in ascending order. Those that visit threshold
     nodes count each of them once more, or make it a stop tag where its count is above frequency already; later searches avoid it.
 
-    All searches run at once. At first none avoids any new stop tag; then those that visited one too late run again, until the stop tags and the
-    tags that set them stay. A search depends on the tags below its own only, so what stays is what one search after the other gives."""
+    Successive tags are a wave. All of its searches run at once and avoid the stop tags of the waves before; what they visit holds all that they would
+    visit one after the other. The nodes found, their neighbours and counts go to one task, which searches among them in order. The next wave has as
+    many tags as promise about wave rows (source, k-mer), so no task is told more than about so many nodes."""
     near = adjacency(nodes.select("kmer"), k)
-    starts = tags.select(F.col("kmer").alias("source"), "kmer").distinct()
-    fixed = None if stop is None else stop.select("kmer", F.lit(-1).cast("long").alias("since"))
-    balls = new = None
-    todo = starts
-    while True:
-        avoid = new if fixed is None else fixed if new is None else fixed.unionByName(new)
-        fresh = search(near, todo, radius, avoid)
-        kept = fresh if balls is None else balls.join(todo.select("source"), "source", "left_anti").unionByName(fresh)
-        now = written(kept)
-        large = now.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select("source")
-        turn = F.row_number().over(Window.partitionBy("kmer").orderBy("source")) - 1  # a k-mer is met by the tags within radius of it
-        met = now.join(large, "source", "left_semi").join(counts, "kmer", "left").select("kmer", "source", (turn + F.coalesce("count", F.lit(0))).alias("before"))
-        said = written(met.where(F.col("before") > frequency).groupBy("kmer").agg(F.min("source").alias("since")))
-        old = said.limit(0) if new is None else new
-        moved = said.join(old.withColumnRenamed("since", "old"), "kmer", "full").where(~F.col("since").eqNullSafe(F.col("old")))
-        late = moved.select("kmer", F.least("since", "old").alias("least"))
-        # a search is concerned where it meets, or may meet from now on, a node whose time has moved: only those above the earlier time
-        held = now.select("source", "kmer").unionByName(starts.select("source", "kmer"))
-        again = written(held.join(_around(near, late), "kmer").where("source > least").select("source").distinct().select("source", F.col("source").alias("kmer")))
-        dropped(balls, new, fresh)
-        balls, new, todo = now, said, again
-        if todo.isEmpty():
-            break
-    large = balls.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select("source")
-    more = balls.join(large, "source", "left_semi").join(new, "kmer", "left").where("since IS NULL OR source < since").select("kmer", F.lit(1).cast("long").alias("count"))
+    starts = numbered(tags.select(F.col("kmer").alias("source"), "kmer").distinct(), ["source"], "turn")
+    counted = counts.groupBy("kmer").agg(F.sum("count").cast("long").alias("count"))
+    fixed, done, at, most = None if stop is None else stop.select("kmer"), [], 0, starts.count()
+    span = max(1, wave // (1 + sum(8 * 7**i for i in range(radius))))  # a search visits no more
+
+    def settle(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield _in_order(pa.Table.from_batches(held).combine_chunks(), radius, threshold, frequency)
+
+    while at < most:
+        avoid, so_far = fixed, None
+        for d in done:
+            so_far = d if so_far is None else so_far.unionByName(d)
+        if so_far is not None:
+            new = so_far.where("since IS NOT NULL").select("kmer")
+            avoid = new if fixed is None else fixed.unionByName(new)
+        balls = search(near, starts.where(F.col("turn").between(at, at + span - 1)).select("source", "kmer"), radius, avoid)
+        own = balls.groupBy("kmer").agg((F.min("depth") == 0).alias("tag"))  # only a search's own tag has depth 0
+        own = own.join(counted, "kmer", "left")
+        if so_far is not None:
+            own = own.join(so_far.groupBy("kmer").agg(F.sum("more").alias("more")), "kmer", "left").withColumn("count", F.coalesce("count", F.lit(0)) + F.coalesce("more", F.lit(0)))
+        ways = near.join(balls.select("kmer").distinct(), "kmer", "left_semi").groupBy("kmer").agg(F.collect_list("other").alias("others"))
+        told = own.join(ways, "kmer", "left").select("kmer", "tag", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("others", F.array().cast("array<long>")).alias("others"))
+        done.append(written(told.repartition(1).mapInArrow(settle, "kmer long, more long, since long, large boolean")))
+        rows = balls.count()
+        dropped(balls)
+        at += span
+        span = max(1, min(8 * span, int(span * wave / max(1, rows))))
+    every = done[0] if done else nodes.sparkSession.createDataFrame([], "kmer long, more long, since long, large boolean")
+    for d in done[1:]:
+        every = every.unionByName(d)
+    new = written(every.where("since IS NOT NULL").select("kmer", "since"))
+    more = every.where("more > 0").select("kmer", F.col("more").alias("count"))
     after = written(counts.select("kmer", F.col("count").cast("long").alias("count")).unionByName(more).groupBy("kmer").agg(F.sum("count").alias("count")))
-    little = written(starts.select("kmer").join(large.select(F.col("source").alias("kmer")), "kmer", "left_anti"))
-    dropped(balls, near)
+    little = written(starts.select("kmer").join(every.where("large").select("kmer"), "kmer", "left_anti"))
+    dropped(near, starts, *done)
     return new, after, little
 
 
-def _around(near: DataFrame, late: DataFrame) -> DataFrame:
-    """(kmer, least) of the nodes given and their neighbours: a search that may newly enter a node visits a neighbour of it."""
-    return late.unionByName(near.join(late, "kmer").select(F.col("other").alias("kmer"), "least")).groupBy("kmer").agg(F.min("least").alias("least"))
+def _in_order(told: pa.Table, radius: int, threshold: int, frequency: int) -> pa.RecordBatch:
+    """(kmer, more, since, large) of a wave's nodes (kmer, tag, count, others) of which anything changed: searches from its tags one after the other."""
+    told = told.sort_by("kmer").combine_chunks()
+    kmer, count = (told.column(c).to_numpy() for c in ("kmer", "count"))
+    others = told.column("others").combine_chunks()
+    other, size = others.flatten().to_numpy(), np.diff(others.offsets.to_numpy())
+    to = np.minimum(np.searchsorted(kmer, other), len(kmer) - 1)
+    here = kmer[to] == other  # what no search of the wave visits is told of by no row
+    size = np.bincount(np.repeat(np.arange(len(kmer)), size)[here], minlength=len(kmer))
+    to, end = to[here], np.cumsum(size)
+    seen, stopped = np.full(len(kmer), -1), np.zeros(len(kmer), bool)
+    more, since, large = np.zeros(len(kmer), np.int64), np.full(len(kmer), -1), np.zeros(len(kmer), bool)
+    for t in np.flatnonzero(told.column("tag").to_numpy()).tolist():
+        if stopped[t]:
+            continue
+        front = np.array([t])
+        seen[t], every = t, [front]
+        for _ in range(radius):
+            n = size[front]
+            met = to[np.repeat(end[front] - np.cumsum(n), n) + np.arange(n.sum())]
+            front = np.unique(met[(seen[met] != t) & ~stopped[met]])
+            if not len(front):
+                break
+            seen[front] = t
+            every.append(front)
+        ball = np.concatenate(every)
+        if len(ball) < threshold:
+            continue
+        full = count[ball] + more[ball] > frequency
+        large[t], since[ball[full]], stopped[ball[full]] = True, kmer[t], True
+        more[ball[~full]] += 1
+    changed = np.flatnonzero((more > 0) | stopped | large)
+    first = pa.array(since[changed], pa.int64(), mask=~stopped[changed])
+    return pa.RecordBatch.from_arrays([pa.array(kmer[changed]), pa.array(more[changed]), first, pa.array(large[changed])], names=["kmer", "more", "since", "large"])
 
 
 def repartition_largest(nodes: DataFrame, tags: DataFrame, parts: DataFrame, counts: DataFrame, k: int, density: int, radius: int, threshold: int, frequency: int, stop: DataFrame | None = None, small: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -112,6 +112,18 @@ def test_traverse_from_tags(spark, nodes, radius, threshold, frequency):
     assert {r["kmer"] for r in little.collect()} == small
 
 
+@pytest.mark.parametrize("wave,most", [(10**6, 1), (6000, 20)])
+def test_traverse_from_tags_in_waves(spark, nodes, monkeypatch, wave, most):
+    """Searches that avoided a stop tag too late were run again, in as many rounds as tags depend on each other."""
+    asked, search = [], traversal.search
+    monkeypatch.setattr(traversal, "search", lambda *a, **b: asked.append(1) or search(*a, **b))
+    tags = NODES[::2][:240]
+    stop, counts, small = one_after_the_other(tags, 2, 2, 1)
+    new, after, little = traversal.traverse_from_tags(nodes, frame(spark, tags), nodes, K, 2, 2, 1, **({} if most == 1 else {"wave": wave}))
+    assert {r["kmer"] for r in new.collect()} == stop and {r["kmer"]: r["count"] for r in after.collect()} == counts
+    assert {r["kmer"] for r in little.collect()} == small and len(asked) <= most and (most == 1 or len(asked) > 1)
+
+
 def groups(tags, links):
     root = {t: t for t in tags}
 
