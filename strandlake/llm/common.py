@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 _SHIPPED: set[str] = set()
 
 
@@ -26,8 +28,7 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent).as_posix())
     spark.sparkContext.addPyFile(target)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # whole texts: bounds a worker's memory
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    small_batches(spark)
     _SHIPPED.add(app)
 
 

@@ -55,3 +55,13 @@ def test_sweep_from_tags(spark, nodes, radius):
         want |= {(i, x) for x in visit(own, radius, stop, set(TAGS), multi=True)[1]}
     got = traversal.sweep(nodes, spark.createDataFrame(rows, "source long, kmer long"), frame(spark, TAGS), SIZE, radius, frame(spark, stop))
     assert set(map(tuple, got.collect())) == want and want
+
+
+def test_batches_of_reads_are_bounded(spark):
+    """A batch held 10 000 reads, and eight bytes for each of their bases."""
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    reads = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('ACGT', 2000) AS sequence")
+    sizes = counting.valid_reads(reads, SIZE).select("sequence").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long")
+    n = [r["n"] for r in sizes.collect()]
+    assert sum(n) == 4000 and max(n) * 8000 < 1 << 22
