@@ -6,8 +6,8 @@ count of the word plus STRENGTH times its share of the unigram (c + 0.1), so a w
 1. Texts are tokenised once, where they are read, into cells of up to CELL_TOKENS tokens: ids in the cell's own word list, which
    is sorted by 128-bit hashes of the words. Blocks are ranges of these hashes, so a cell's list is a row of block slices.
 2. For each block the slices of all cells are numbered in the block's words and their training counts summed, once.
-3. A round is one job: cells meet their slices of the emissions, run forward and backward over their training texts and
-   send slices of expected counts to the blocks; the blocks add them up and cut the next emissions for the cells. Slices
+3. A round is two jobs: cells meet their slices of the emissions, run forward and backward over their training texts and
+   write slices of expected counts; then the emissions go, the blocks add the counts up and cut the next emissions for the cells. Slices
    are 32-bit floats. No worker and no driver holds the table of all words, and what is gathered grows with the corpus.
 4. After PLAIN rounds a step is over-relaxed: new = old * (re-estimated / old) ** RELAX, normalised. It has the fixed points of the
    plain step and converges where that does for any factor below 2, in fewer rounds.
@@ -401,6 +401,8 @@ def train(docs: DataFrame, states: int = STATES, rounds: int | None = None, tole
         found = meet(made, table, k, (start, move, totals(table, -1) + other), run, "block long, cell long, em binary")
         if power != 1:
             found = found.unionByName(table.where("cell = -1").select("block", "cell", "em"))
+        found = shared_table(found)
+        drop_tables(table)  # with its shuffle: what cells are sent and what they send back are not on disk at once
         new = emissions(indexed, found, k, tokens, types, last, power)
         sums = totals(new, -2)
         likelihoods.append(float(sums[-1]) / tokens)
@@ -409,8 +411,7 @@ def train(docs: DataFrame, states: int = STATES, rounds: int | None = None, tole
         moved = np.eye(k) * STICK + 1.0 + sums[k:-1].reshape(k, k)
         move = relaxed(moved / moved.sum(axis=1, keepdims=True), move, power)
         move, other = move / move.sum(axis=1, keepdims=True), relaxed(unseen, other, power)
-        del found
-        drop_tables(table)
+        drop_tables(found)
         table = new
         if last:
             break

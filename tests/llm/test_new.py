@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import re
 import zlib
 
@@ -10,7 +11,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from strandlake.llm import filter_audit, quality, resampling
+from strandlake.llm import filter_audit, hmm, quality, resampling
 
 LONG = "Wort " * 20_000
 TEXTS = [None, "", " \t\n", "one", "a b " * 30, "A B C D " * 20, LONG, LONG, LONG + "x", "x#", "w1 w2 w3", "w1 w2 w3", "same text", "same text", "same text", "$ " * 60]
@@ -218,3 +219,19 @@ def test_exact_quantile_in_bins(spark, monkeypatch):
     df = spark.createDataFrame([(float(x),) for x in v], "v double")
     for share in (0.0, 0.013, 0.5, 0.77, 1.0):
         assert abs(quality.quantile(df, 500, share) - np.quantile(v, share)) < 1e-12
+
+
+def test_hmm_rounds_keep_one_table_of_slices(spark, monkeypatch):
+    """The emissions that cells were sent stayed on disk, with their shuffle, while the next ones were made."""
+    made, other = [], hmm.emissions
+
+    def emissions(indexed, found, *rest):
+        for table in made[-1:]:
+            assert not os.path.exists(table._strandlake_path.removeprefix("file:")) and found._strandlake_path
+        made.append(other(indexed, found, *rest))
+        return made[-1]
+
+    monkeypatch.setattr(hmm, "emissions", emissions)
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c{i % 5} d", True) for i in range(40)], "doc_id long, text string, learn boolean")
+    m = hmm.train(docs, states=2, rounds=4)
+    assert len(made) == 5 and len(m.likelihoods) == 4 and hmm.score(m).count() == 40
