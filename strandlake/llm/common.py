@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,14 +55,29 @@ def shared_table(df: DataFrame) -> DataFrame:
     return found
 
 
-def shared_parts(df: DataFrame, by: str, columns: list[list[str]]) -> list[DataFrame]:
-    """df written once as several shared tables: the rows whose column by is 0, 1, ... with the columns given for each."""
+def shared_runs(runs: Iterable[DataFrame], by: str | None = None) -> DataFrame:
+    """The rows of one or more runs as one shared table, with a folder for each value of the column by. A run is written, and its shuffle
+    given up, before the next one is asked for."""
+    path = None
+    for df in runs:
+        spark, schema = df.sparkSession, df.schema
+        path = path or f"{shared_dir(spark)}/strandlake-{uuid.uuid4().hex}"
+        df.write.mode("append").partitionBy(*([by] if by else [])).parquet(path)
+        del df
+    found = spark.read.schema(schema).parquet(path)
+    found._strandlake_path = path
+    return found
+
+
+def shared_parts(df: DataFrame, by: list[str], columns: list[list[str]]) -> list[DataFrame]:
+    """df written once as several shared tables: the rows whose first column of by is 0, 1, ... with the columns given for each, which
+    have a folder for each value of the other columns of by."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandlake-{uuid.uuid4().hex}"
-    df.write.partitionBy(by).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = []
     for i, names in enumerate(columns):
-        kind, at = df.select(*names).schema, f"{path}/{by}={i}"
+        kind, at = df.select(*names).schema, f"{path}/{by[0]}={i}"
         p = spark._jvm.org.apache.hadoop.fs.Path(at)
         there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)  # not without rows
         found = spark.read.schema(kind).parquet(at) if there else spark.createDataFrame([], kind)
@@ -70,6 +86,16 @@ def shared_parts(df: DataFrame, by: str, columns: list[list[str]]) -> list[DataF
     return out
 
 
+def drop_folders(table: DataFrame, by: str, values: Iterable) -> None:
+    """Delete the folders of a shared table for these values of the column by, when their readers are done, as drop_tables does."""
+    spark = table.sparkSession
+    for v in values:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{table._strandlake_path}/{by}={v}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_tables(*tables: DataFrame) -> None:
     """Delete shared tables whose readers are done, and have Spark delete the shuffle files of plans that are done (it does so
     when the driver's JVM collects its garbage)."""

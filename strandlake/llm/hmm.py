@@ -6,9 +6,11 @@ count of the word plus STRENGTH times its share of the unigram (c + 0.1), so a w
 1. Texts are tokenised once, where they are read, into cells of up to CELL_TOKENS tokens: ids in the cell's own word list, which
    is sorted by 128-bit hashes of the words. Blocks are ranges of these hashes, so a cell's list is a row of block slices.
 2. For each block the slices of all cells are numbered in the block's words and their training counts summed, once.
-3. A round is two jobs: cells meet their slices of the emissions, run forward and backward over their training texts and
-   write slices of expected counts; then the emissions go, the blocks add the counts up and cut the next emissions for the cells. Slices
+3. A round has two steps: cells meet their slices of the emissions, run forward and backward over their training texts and
+   write slices of expected counts; then the blocks add the counts up and cut the next emissions for the cells. Slices
    are 32-bit floats. No worker and no driver holds the table of all words, and what is gathered grows with the corpus.
+   Each step goes over one of up to RUNS shares of the cells (of the blocks) after the other; what a share has read is deleted, with
+   its shuffle, before the next one starts, so the disk holds little more than the slices once.
 4. After PLAIN rounds a step is over-relaxed: new = old * (re-estimated / old) ** RELAX, normalised. It has the fixed points of the
    plain step and converges where that does for any factor below 2, in fewer rounds.
 5. Rounds end when the log likelihood a token rises by less than TOLERANCE a round over two rounds (an over-relaxed step may
@@ -31,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, drop_tables, shared_parts, shared_table, ship, texts, tidy
+from .common import crc_remainder, drop_folders, drop_tables, shared_parts, shared_runs, ship, texts, tidy
 
 STATES, PLAIN, RELAX, TOLERANCE, CELL_TOKENS, BLOCK_PAIRS = 6, 2, 1.8, 0.005, 4_000_000, 131_072
 END = " end"  # holds a space, so no word equals it
-STRENGTH, STICK, BATCH_TOKENS, TURNS = 0.1, 20.0, 200_000, 64
+STRENGTH, STICK, BATCH_TOKENS, TURNS, RUNS, RUN_CELLS = 0.1, 20.0, 200_000, 64, 4, 6
 
 
 def words(text: str) -> list[bytes]:
@@ -74,9 +76,10 @@ def operators(model: Model, ids: np.ndarray, begin: np.ndarray, size: np.ndarray
     return out
 
 
-def expect(model: Model, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, whole: int = 1024, chunk: int = 256) -> float:
+def expect(model: Model, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, whole: int = 4096, chunk: int = 256) -> float:
     """Adds the expected counts of the texts ids[begin : begin + size] to start, move and emit; returns their log likelihood.
-    Texts of more than whole ids are taken in chunks, each with what the chained operators bring to both of its ends."""
+    Texts of more than whole ids are taken in chunks, each with what the chained operators bring to both of its ends.
+    All texts take a step at once: the rows of a step follow each other, longest texts first, so texts of like sizes are quick."""
     k = len(model.start)
     parts = np.where(size > whole, -(-size // chunk), 1)
     row, first = np.repeat(np.arange(len(size)), parts), np.cumsum(parts) - parts
@@ -99,31 +102,35 @@ def expect(model: Model, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, s
     order = np.argsort(-size, kind="stable")
     begin, size, enter, leave, before, opens = begin[order], size[order], enter[order], leave[order], before[order], nth[order] == 0
     longest = int(size[0])
-    live = np.append(np.searchsorted(-size, -np.arange(longest), side="left"), 0).tolist()  # chunks longer than t
-    a, scales, seen, ones = [], [], [], np.ones(k)
+    live = np.append(np.searchsorted(-size, -np.arange(longest), side="left"), 0)  # chunks longer than t
+    at = np.append(0, np.cumsum(live))
+    step = np.repeat(np.arange(longest), live[:-1])
+    w = ids[begin[np.arange(len(step)) - at[step]] + step]
+    back, scale, ones, live, at = model.emit.take(w, axis=0), np.empty(len(w)), np.ones(k), live.tolist(), at.tolist()
+    a, beta = np.empty_like(back), np.empty_like(back)
     for t in range(longest):
-        n = live[t]
-        w = ids[begin[:n] + t]
-        x = (enter if t == 0 else a[-1][:n] @ model.move) * model.emit[w]
-        s = x @ ones
-        x /= s[:, None]
-        a.append(x)
-        scales.append(s)
-        seen.append(w)
-    gammas, back = [None] * longest, np.empty((0, k))
+        i, j = at[t], at[t + 1]
+        x = a[i:j]
+        if t:
+            np.matmul(a[at[t - 1] : at[t - 1] + j - i], model.move, out=x)
+            x *= back[i:j]
+        else:
+            np.multiply(enter, back[:j], out=x)
+        np.matmul(x, ones, out=scale[i:j])
+        x /= scale[i:j, None]
+    back /= scale[:, None]
     for t in range(longest - 1, -1, -1):
-        n, m = live[t + 1], live[t]
-        move += (a[t][:n].T @ back) * model.move
-        ends = leave[n:m] / (a[t][n:] * leave[n:m]).sum(axis=1, keepdims=True)
-        beta = np.concatenate([back @ model.move.T, ends])
-        gammas[t] = a[t] * beta
-        back = model.emit[seen[t]] * beta / scales[t][:, None]
+        i, j, n, m = at[t], at[t + 1], live[t + 1], live[t]
+        np.matmul(back[j : j + n], model.move.T, out=beta[i : i + n])
+        if n < m:
+            beta[i + n : j] = leave[n:m] / (a[i + n : j] * leave[n:m]).sum(axis=1, keepdims=True)
+        back[i:j] *= beta[i:j]
+    before = np.concatenate([before, *(a[i : i + n] for i, n in zip(at, live[1:-1], strict=False))])
     move += (before.T @ back) * model.move
-    start += gammas[0][opens].sum(axis=0)
-    g, w = np.concatenate(gammas), np.concatenate(seen)
-    for j in range(k):
-        emit[:, j] += np.bincount(w, g[:, j], minlength=len(emit))
-    return float(sum(np.log(s).sum() for s in scales))
+    a *= beta
+    start += a[: live[0]][opens].sum(axis=0)
+    np.add.at(emit.reshape(-1), (w.astype(np.int64)[:, None] * k + np.arange(k)).reshape(-1), a.reshape(-1))
+    return float(np.log(scale).sum())
 
 
 def log_likelihood(model: Model, docs: list[np.ndarray], whole: int = 4096, chunk: int = 256) -> np.ndarray:
@@ -169,14 +176,14 @@ def log_likelihood(model: Model, docs: list[np.ndarray], whole: int = 4096, chun
 
 
 def cells(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts dealt to cells, as two tables written at once: (cell, ids, size, learn, rows, place), the ids of the texts one after the
+    """Texts dealt to cells, as two tables written at once, with a folder for each share of the cells: (cell, ids, size, learn, rows, place), the ids of the texts one after the
     other, ranked by frequency and packed, sizes, which texts train, docs' other columns, and the ids of the cell's words in
     order of their hashes; and (cell, hashes, c), these hashes and the counts in the cell's training texts."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kept = docs.drop("text")
     kind = pa.struct(list(to_arrow_schema(kept.schema)))
-    schema = pa.schema([("part", pa.int32()), ("cell", pa.int64()), ("ids", pa.binary()), ("size", pa.binary()), ("learn", pa.binary()), ("rows", pa.list_(kind)), ("place", pa.binary()), ("hashes", pa.binary()), ("c", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("share", pa.int32()), ("cell", pa.int64()), ("ids", pa.binary()), ("size", pa.binary()), ("learn", pa.binary()), ("rows", pa.list_(kind)), ("place", pa.binary()), ("hashes", pa.binary()), ("c", pa.binary())])
 
     def run(batches):
         import xxhash
@@ -201,7 +208,8 @@ def cells(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             c = np.bincount(own[np.repeat(learn, lengths).astype(bool)], minlength=len(local))[place].astype("<i4")
             pack = zstandard.ZstdCompressor(level=1).compress
             planes = np.ascontiguousarray(own.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-            rows = ((0, nth, pack(planes.tobytes()), lengths.tobytes(), learn.tobytes(), held, place.astype("<i4").tobytes(), None, None), (1, nth, None, None, None, None, None, hashes[order].tobytes(), c.tobytes()))
+            share = ((nth >> 32) + (nth & 0xFFFFFFFF)) % RUNS
+            rows = ((0, share, nth, pack(planes.tobytes()), lengths.tobytes(), learn.tobytes(), held, place.astype("<i4").tobytes(), None, None), (1, share, nth, None, None, None, None, None, hashes[order].tobytes(), c.tobytes()))
             both = [pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema) for row in rows]
             local.clear()
             held.clear()
@@ -220,8 +228,8 @@ def cells(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if size:
             yield from out()
 
-    made = docs.mapInArrow(tidy("hmm", run), f"part int, cell long, ids binary, size binary, learn binary, rows array<{kept.schema.simpleString()}>, place binary, hashes binary, c binary")
-    return shared_parts(made, "part", [["cell", "ids", "size", "learn", "rows", "place"], ["cell", "hashes", "c"]])
+    made = docs.mapInArrow(tidy("hmm", run), f"part int, share int, cell long, ids binary, size binary, learn binary, rows array<{kept.schema.simpleString()}>, place binary, hashes binary, c binary")
+    return shared_parts(made, ["part", "share"], [["cell", "ids", "size", "learn", "rows", "place", "share"], ["cell", "hashes", "c", "share"]])
 
 
 def unpacked(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,7 +245,7 @@ def unpacked(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 @dataclass
 class Trained:
     """lists: the cells' words (deleted once the index is made, unless train is told to keep it). emissions (block, cell, em): the slices of
-    all cells, 32-bit floats (word, state), and c, the words' counts; the emission of a word is its float over total. tokens and types: of the training rows. likelihoods: natural logs a token, round by round."""
+    all cells, 32-bit floats (word, state), and c, the words' counts; runs: the shares of cells that are gone over one after the other; the emission of a word is its float over total. tokens and types: of the training rows. likelihoods: natural logs a token, round by round."""
 
     made: DataFrame
     lists: DataFrame | None
@@ -248,10 +256,11 @@ class Trained:
     move: np.ndarray
     total: np.ndarray
     likelihoods: list[float]
+    runs: list[list[int]]
 
 
 def index(lists: DataFrame) -> DataFrame:
-    """(block, cell, at, hashes, c): for each block and cell the places of the cell's words in the block's; where cell is -1,
+    """(block, cell, at, hashes, c, share of the blocks): for each block and cell the places of the cell's words in the block's; where cell is -1,
     the block's words and their training counts."""
     pairs = lists.agg(F.sum(F.length("c") / 4)).first()[0] or 0
     bits = max(0, int(pairs // BLOCK_PAIRS).bit_length())
@@ -275,19 +284,35 @@ def index(lists: DataFrame) -> DataFrame:
         return pa.table({"block": pa.array([key[0].as_py()] * (len(at) + 1), pa.int64()), "cell": pa.array([*rows.column("cell").to_pylist(), -1], pa.int64()), "at": pa.array([*at, None], pa.binary()), "hashes": pa.array([*none, word.tobytes()], pa.binary()), "c": pa.array([*none, c.tobytes()], pa.binary())})
 
     dealt = lists.mapInArrow(tidy("hmm", slices), "block long, cell long, hashes binary, c binary")
-    return shared_table(dealt.groupBy("block").applyInArrow(number, "block long, cell long, at binary, hashes binary, c binary"))
+    return shared_runs([dealt.groupBy("block").applyInArrow(number, "block long, cell long, at binary, hashes binary, c binary").withColumn("share", block_share())], "share")
 
 
 EMISSIONS = "block long, cell long, em binary, c binary, sums array<double>"
 
 
+def block_share():
+    return F.pmod(F.col("block"), F.lit(RUNS)).cast("int")
+
+
+def cell_share():
+    """The share that the cell was written with; RUNS for the blocks' own rows."""
+    nth = F.shiftright("cell", 32) + F.col("cell").bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.when(F.col("cell") < 0, RUNS).otherwise(F.pmod(nth, F.lit(RUNS))).cast("int")
+
+
+def in_shares(count: int) -> list[list[int]]:
+    """The shares that are gone over at once, run after run: few cells are one run."""
+    n = next(n for n in (RUNS, 2, 1) if n == 1 or count >= n * RUN_CELLS)
+    return [list(range(i * RUNS // n, (i + 1) * RUNS // n)) for i in range(n)]
+
+
 def relaxed(new: np.ndarray, old: np.ndarray, power: float) -> np.ndarray:
     """new where power is 1, beyond it (seen from old) where it is more; factors common to a state's values may differ."""
     return new if power == 1 else new * (new / old) ** (power - 1)
 
 
-def emissions(indexed: DataFrame, found: DataFrame | None, k: int, tokens: int, types: int, last: bool, power: float = 1.0) -> DataFrame:
-    """EMISSIONS rows for all cells from the expected counts found (block, cell, em), or first ones. In the rows of cell -1, em is a
+def emissions(indexed: DataFrame, found: DataFrame | None, k: int, tokens: int, types: int, last: bool, power: float = 1.0, runs: list[list[int]] | None = None) -> DataFrame:
+    """EMISSIONS rows for all cells from the expected counts found (block, cell, em), which are deleted share by share, or first ones. In the rows of cell -1, em is a
     block's whole table and sums are the sums by state of its training words, in those of cell -2 the sums of the start, of moves, and
     of the log likelihood. found holds the rows of cell -1 of the round before as well where power is not 1."""
     strength = STRENGTH * max(tokens, 1) / k
@@ -329,20 +354,29 @@ def emissions(indexed: DataFrame, found: DataFrame | None, k: int, tokens: int,
                     out.append((block, who, table[x].tobytes(), c[x].tobytes() if last else None, None))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    if found is None:
-        return shared_table(indexed.groupBy("block").applyInArrow(lambda key, rows: give(key[0].as_py(), rows, None), EMISSIONS))
-    met = indexed.groupBy("block").cogroup(found.groupBy("block"))
-    return shared_table(met.applyInArrow(lambda key, rows, sent: give(key[0].as_py(), rows, sent), EMISSIONS))
+    def made():
+        for shares in runs or in_shares(0):
+            own = indexed.where(F.col("share").isin(shares)).drop("share").groupBy("block")
+            if found is None:
+                new = own.applyInArrow(lambda key, rows: give(key[0].as_py(), rows, None), EMISSIONS)
+            else:
+                met = own.cogroup(found.where(F.col("share").isin(shares)).drop("share").groupBy("block"))
+                new = met.applyInArrow(lambda key, rows, sent: give(key[0].as_py(), rows, sent), EMISSIONS)
+            yield new.withColumn("share", cell_share())
+            if found is not None:
+                drop_folders(found, "share", shares)
+
+    return shared_runs(made(), "share")
 
 
 def totals(table: DataFrame, cell: int) -> np.ndarray:
     """The sums of the rows of that cell, added up by Spark: as many numbers as one row has."""
-    rows = table.where(F.col("cell") == cell).select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    rows = table.where((F.col("share") == RUNS) & (F.col("cell") == cell)).select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
     return np.array([r["x"] for r in sorted(rows.collect(), key=lambda r: r["i"])])
 
 
-def meet(made: DataFrame, table: DataFrame, k: int, model, run, schema: str, *columns: str) -> DataFrame:
-    """run(Model of a cell's words, slices, cell) for all cells."""
+def meet(made: DataFrame, table: DataFrame, shares: list[int], k: int, model, run, schema: str, *columns: str) -> DataFrame:
+    """run(Model of a cell's words, slices, cell) for all cells of the shares."""
     start, move, total = model
 
     def task(key, slices, cell):
@@ -351,8 +385,8 @@ def meet(made: DataFrame, table: DataFrame, k: int, model, run, schema: str, *co
         em = np.concatenate([np.frombuffer(x, "<f4") for x in raw]).reshape(-1, k) / total
         return run(em, start, move, slices, cell)
 
-    cells_ = made.select("cell", "ids", "size", "learn", "place", *columns)
-    return table.where("cell >= 0").groupBy("cell").cogroup(cells_.groupBy("cell")).applyInArrow(task, schema)
+    cells_ = made.where(F.col("share").isin(shares)).select("cell", "ids", "size", "learn", "place", *columns)
+    return table.where(F.col("share").isin(shares)).drop("share").groupBy("cell").cogroup(cells_.groupBy("cell")).applyInArrow(task, schema)
 
 
 def spread(size: np.ndarray):
@@ -377,14 +411,17 @@ def train(docs: DataFrame, states: int = STATES, rounds: int | None = None, tole
     start, move, likelihoods = np.full(k, 1 / k), lasting(k), []
     unseen = np.full(k, STRENGTH * max(tokens, 1) / k * 0.1 / (tokens + 0.1 * (types + 1)))  # a word that training lacks
     other, rounds = unseen, rounds if tokens else 0
-    table = emissions(indexed, None, k, tokens, types, rounds == 0)
+    runs = in_shares(made.count())
+    table = emissions(indexed, None, k, tokens, types, rounds == 0, 1.0, runs)
 
     def run(em, start, move, slices, cell):
         ids, size, learn, place = unpacked(cell)
         emit = np.empty_like(em, dtype=float)
         emit[place] = em
         begin = np.cumsum(size) - size
-        begin, size = begin[learn], size[learn]
+        by_size = np.argsort(-size, kind="stable")
+        by_size = by_size[learn[by_size]]
+        begin, size = begin[by_size], size[by_size]
         s, m, e, like = np.zeros(k), np.zeros((k, k)), np.zeros((len(em), k)), 0.0
         for a, b in spread(size):
             like += expect(Model(start, move, emit), ids, begin[a:b], size[a:b], s, m, e)
@@ -395,15 +432,20 @@ def train(docs: DataFrame, states: int = STATES, rounds: int | None = None, tole
         scalars = np.concatenate([s, m.reshape(-1), [like]]).astype("<f8").tobytes()
         return pa.table({"block": pa.array([*blocks, -1 - who % TURNS], pa.int64()), "cell": pa.array([who] * (len(parts) + 1), pa.int64()), "em": pa.array([*parts, scalars], pa.binary())})
 
+    def counts(table, model, power):
+        """The cells' expected counts, run by run; what a run's cells were sent is deleted when it is through, with its shuffle."""
+        for shares in runs:
+            yield meet(made, table, shares, k, model, run, "block long, cell long, em binary").withColumn("share", block_share())
+            drop_folders(table, "share", shares)
+        if power != 1:
+            yield table.where((F.col("share") == RUNS) & (F.col("cell") == -1)).select("block", "cell", "em", block_share().alias("share"))
+
     settled = False
     while rounds is None or len(likelihoods) < rounds:
         last, power = settled or len(likelihoods) + 1 == rounds, relax if len(likelihoods) >= PLAIN else 1.0
-        found = meet(made, table, k, (start, move, totals(table, -1) + other), run, "block long, cell long, em binary")
-        if power != 1:
-            found = found.unionByName(table.where("cell = -1").select("block", "cell", "em"))
-        found = shared_table(found)
-        drop_tables(table)  # with its shuffle: what cells are sent and what they send back are not on disk at once
-        new = emissions(indexed, found, k, tokens, types, last, power)
+        found = shared_runs(counts(table, (start, move, totals(table, -1) + other), power), "share")
+        drop_tables(table)
+        new = emissions(indexed, found, k, tokens, types, last, power, runs)
         sums = totals(new, -2)
         likelihoods.append(float(sums[-1]) / tokens)
         start = relaxed((1 + sums[:k]) / (1 + sums[:k]).sum(), start, power)
@@ -418,7 +460,7 @@ def train(docs: DataFrame, states: int = STATES, rounds: int | None = None, tole
         settled = len(likelihoods) > 2 and likelihoods[-1] - likelihoods[-3] < 2 * tolerance  # one more round, whose emissions score
     total = (totals(table, -1) if tokens else np.zeros(k)) + other
     drop_tables(indexed)
-    return Trained(made, lists if keep_lists else None, table, tokens, types, start, move, total, likelihoods)
+    return Trained(made, lists if keep_lists else None, table, tokens, types, start, move, total, likelihoods, runs)
 
 
 def _count(batches):
@@ -448,7 +490,7 @@ def score(m: Trained) -> DataFrame:
         return pa.Table.from_arrays(cols, names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields if f.name != "learn"), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
-    return meet(m.made, m.emissions, k, (m.start, m.move, m.total), run, schema, "rows")
+    return shared_runs((meet(m.made, m.emissions, shares, k, (m.start, m.move, m.total), run, schema, "rows") for shares in m.runs))
 
 
 def op10_hmm_scores(spark, sf_dir: str) -> DataFrame:

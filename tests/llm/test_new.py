@@ -235,3 +235,25 @@ def test_hmm_rounds_keep_one_table_of_slices(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b{i % 3} c{i % 5} d", True) for i in range(40)], "doc_id long, text string, learn boolean")
     m = hmm.train(docs, states=2, rounds=4)
     assert len(made) == 5 and len(m.likelihoods) == 4 and hmm.score(m).count() == 40
+
+
+def test_hmm_gives_slices_up_share_by_share(spark, monkeypatch):
+    """The slices of all cells stayed on disk, with a shuffle of all of them, until all cells had sent theirs."""
+    import numpy as np
+
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c{i % 5} d{i}", i % 7 > 0) for i in range(40)], "doc_id long, text string, learn boolean").repartition(8, "doc_id")
+    at_once = hmm.train(docs, states=2, rounds=3)
+    assert len(at_once.runs) == 1
+    want, seen, other = sorted(map(tuple, hmm.score(at_once).collect())), [], hmm.meet
+
+    def meet(made, table, shares, *rest):
+        seen.append((shares, sorted(x for x in os.listdir(table._strandlake_path.removeprefix("file:")) if "=" in x)))
+        return other(made, table, shares, *rest)
+
+    monkeypatch.setattr(hmm, "RUN_CELLS", 1)
+    monkeypatch.setattr(hmm, "meet", meet)
+    m = hmm.train(docs, states=2, rounds=3)
+    cells = [f"share={i}" for i in range(hmm.RUNS)]
+    assert seen == [([i], [*cells[i:], f"share={hmm.RUNS}"]) for _ in range(3) for i in range(hmm.RUNS)]
+    got = sorted(map(tuple, hmm.score(m).collect()))
+    assert np.allclose(m.likelihoods, at_once.likelihoods) and [r[:-2] for r in got] == [r[:-2] for r in want] and np.allclose([r[-2:] for r in got], [r[-2:] for r in want], rtol=1e-5)
