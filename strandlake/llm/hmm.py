@@ -37,7 +37,7 @@ from .common import crc_remainder, drop_folders, drop_tables, shared_parts, shar
 
 STATES, PLAIN, RELAX, TOLERANCE, CELL_TOKENS, BLOCK_PAIRS = 6, 2, 1.8, 0.005, 4_000_000, 131_072
 END = " end"  # holds a space, so no word equals it
-STRENGTH, STICK, BATCH_TOKENS, TURNS, RUNS, RUN_CELLS = 0.1, 20.0, 200_000, 64, 4, 6
+STRENGTH, STICK, BATCH_TOKENS, TURNS, RUNS, RUN_CELLS = 0.1, 20.0, 200_000, 64, 4, 20
 
 
 def words(text: str) -> list[bytes]:
@@ -79,7 +79,8 @@ def operators(model: Model, ids: np.ndarray, begin: np.ndarray, size: np.ndarray
 def expect(model: Model, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, whole: int = 4096, chunk: int = 256) -> float:
     """Adds the expected counts of the texts ids[begin : begin + size] to start, move and emit; returns their log likelihood.
     Texts of more than whole ids are taken in chunks, each with what the chained operators bring to both of its ends.
-    All texts take a step at once: the rows of a step follow each other, longest texts first, so texts of like sizes are quick."""
+    All texts take a step at once: the rows of a step follow each other, longest texts first, so texts of like sizes are quick.
+    Shares of states are kept in the type of emit (a share is no less than a move's pseudo-count gives it), sums in the types given."""
     k = len(model.start)
     parts = np.where(size > whole, -(-size // chunk), 1)
     row, first = np.repeat(np.arange(len(size)), parts), np.cumsum(parts) - parts
@@ -106,13 +107,15 @@ def expect(model: Model, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, s
     at = np.append(0, np.cumsum(live))
     step = np.repeat(np.arange(longest), live[:-1])
     w = ids[begin[np.arange(len(step)) - at[step]] + step]
-    back, scale, ones, live, at = model.emit.take(w, axis=0), np.empty(len(w)), np.ones(k), live.tolist(), at.tolist()
-    a, beta = np.empty_like(back), np.empty_like(back)
+    back, live, at = model.emit.take(w, axis=0), live.tolist(), at.tolist()
+    kind = back.dtype
+    a, beta, scale = np.empty_like(back), np.empty_like(back), np.empty(len(w), kind)
+    across, enter, leave, ones = model.move.astype(kind), enter.astype(kind), leave.astype(kind), np.ones(k, kind)
     for t in range(longest):
         i, j = at[t], at[t + 1]
         x = a[i:j]
         if t:
-            np.matmul(a[at[t - 1] : at[t - 1] + j - i], model.move, out=x)
+            np.matmul(a[at[t - 1] : at[t - 1] + j - i], across, out=x)
             x *= back[i:j]
         else:
             np.multiply(enter, back[:j], out=x)
@@ -121,16 +124,16 @@ def expect(model: Model, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, s
     back /= scale[:, None]
     for t in range(longest - 1, -1, -1):
         i, j, n, m = at[t], at[t + 1], live[t + 1], live[t]
-        np.matmul(back[j : j + n], model.move.T, out=beta[i : i + n])
+        np.matmul(back[j : j + n], across.T, out=beta[i : i + n])
         if n < m:
             beta[i + n : j] = leave[n:m] / (a[i + n : j] * leave[n:m]).sum(axis=1, keepdims=True)
         back[i:j] *= beta[i:j]
-    before = np.concatenate([before, *(a[i : i + n] for i, n in zip(at, live[1:-1], strict=False))])
+    before = np.concatenate([before.astype(kind), *(a[i : i + n] for i, n in zip(at, live[1:-1], strict=False))])
     move += (before.T @ back) * model.move
     a *= beta
-    start += a[: live[0]][opens].sum(axis=0)
-    np.add.at(emit.reshape(-1), (w.astype(np.int64)[:, None] * k + np.arange(k)).reshape(-1), a.reshape(-1))
-    return float(np.log(scale).sum())
+    start += a[: live[0]][opens].sum(axis=0, dtype=float)
+    np.add.at(emit.reshape(-1), (w.astype(np.int64)[:, None] * k + np.arange(k)).reshape(-1), a.reshape(-1).astype(float))
+    return float(np.log(scale, dtype=float).sum())
 
 
 def log_likelihood(model: Model, docs: list[np.ndarray], whole: int = 4096, chunk: int = 256) -> np.ndarray:
@@ -416,7 +419,7 @@ def train(docs: DataFrame, states: int = STATES, rounds: int | None = None, tole
 
     def run(em, start, move, slices, cell):
         ids, size, learn, place = unpacked(cell)
-        emit = np.empty_like(em, dtype=float)
+        emit = np.empty_like(em, dtype="f4")
         emit[place] = em
         begin = np.cumsum(size) - size
         by_size = np.argsort(-size, kind="stable")
